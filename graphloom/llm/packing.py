@@ -63,7 +63,7 @@ def pieces(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str =
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    d = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    d = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(key).cast("string").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import os
@@ -80,11 +80,11 @@ def pieces(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str =
                     for n, s in enumerate(range(0, len(ids), length)):
                         p = ids[s : s + length]
                         out.append((rid, k, n, s, len(p), zlib.crc32(p.tobytes())))
-                yield pd.DataFrame(out, columns=["rid", "k", "piece", "start", "length", "ids_crc32"]).astype({"k": some["k"].dtype})
+                yield pd.DataFrame(out, columns=["rid", "k", "piece", "start", "length", "ids_crc32"])
 
     kind = dict(docs.select(F.col(key).alias("k")).dtypes)["k"]
-    got = d.mapInPandas(cut, f"rid long, k {kind}, piece int, start long, length long, ids_crc32 long")
-    return got.withColumnRenamed("k", key)
+    got = d.mapInPandas(cut, "rid long, k string, piece int, start long, length long, ids_crc32 long")
+    return got.select("rid", F.col("k").cast(kind).alias(key), *got.columns[2:])
 
 
 def best_fit(lengths, room: int) -> tuple[list[int], list[int]]:
