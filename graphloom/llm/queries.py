@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, order_minhash, packing, sharding, simhash, substring, topk
+from . import extraction, langid, mixing, order_minhash, packing, sharding, simhash, substring, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,11 @@ def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "_cut.n_words", "_cut.n_removed", F.sha2("_cut.kept", 256).alias("kept_sha256"))
 
 
+def op8_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = extraction.main_text(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return got.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).taken.select("doc_id", "size", "source_size", "target", "taken")
 
