@@ -35,25 +35,71 @@ MEMO = 400_000
 
 
 def encoder(path: str):
-    """texts -> their ids as arrays of 32-bit numbers, without special tokens of the tokenizer's own making.
+    """texts -> their ids as arrays of 32-bit numbers, as the tokenizer itself gives them.
 
     Nothing in the tokenizer crosses a blank or line end, so what stands between
-    them is encoded once and remembered.
+    them is encoded once and remembered. A tokenizer that lower-cases and splits
+    like the one this is made for (checked by its file) has its steps done here
+    for scripts whose letters no Unicode version disputes, and only runs that
+    are new reach its merges; anything else goes through the tokenizer whole.
     """
+    import json
+    import unicodedata
+    from array import array
+
     import numpy as np
+    import regex
     from tokenizers import Tokenizer
 
-    tok, memo = Tokenizer.from_file(path), {}
+    tok, memo, runs = Tokenizer.from_file(path), {}, {}
+    with open(path, encoding="utf-8") as f:
+        parts = json.load(f)
+    steps = [x["type"] for x in (parts["normalizer"] or {}).get("normalizers", [])]
+    splits = (parts["pre_tokenizer"] or {}).get("pretokenizers", [])
+    known = steps == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in splits] == ["Split", "ByteLevel"] and splits[0]["pattern"].get("Regex")
+    marks = [x["content"] for x in parts["added_tokens"]]
+    del parts
+    if known:
+        find = regex.compile(splits[0]["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}")).findall
+    merge = tok.model.tokenize
+    # The byte-level alphabet: printable bytes stand for themselves, the others for 256 and on.
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    alphabet = {b: chr(b if b in plain else next(rest)) for b in range(256)}
+
+    def run(r):
+        got = runs.get(r)
+        if got is None:
+            s = r if r.isascii() and r.isprintable() else r.encode().decode("latin-1").translate(alphabet)
+            got = runs[r] = array("I", [t.id for t in merge(s)]).tobytes()
+        return got
+
+    def word(w):
+        if not (known and (w.isascii() or max(w) < "\u0530")):
+            return array("I", tok.encode(w, add_special_tokens=False).ids).tobytes()
+        if w.isascii():
+            w = w.lower()
+            if w.isalpha():
+                return run(w)
+        else:
+            w = unicodedata.normalize("NFC", w).replace("\u03a3", "\u03c3").lower()
+        return b"".join(map(run, find(w)))
 
     def encode(texts):
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        out, split = [None] * len(texts), []
+        for i, t in enumerate(texts):
+            if any(m in t for m in marks):
+                out[i] = np.array(tok.encode(t, add_special_tokens=False).ids, dtype="<u4")
+                split.append(())
+            else:
+                split.append(t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))
         if len(memo) > MEMO:
             memo.clear()
-        new = list({w for ws in split for w in ws if w not in memo})
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            memo.update(zip(some, [np.array(e.ids, dtype="<u4").tobytes() for e in tok.encode_batch_fast(some, add_special_tokens=False)]))
-        return [np.frombuffer(b"".join([memo[w] for w in ws]), dtype="<u4") for ws in split]
+            runs.clear()
+        for w in set().union(*split) - memo.keys():
+            memo[w] = word(w)
+        get = memo.__getitem__
+        return [np.frombuffer(b"".join(map(get, ws)), dtype="<u4") if o is None else o for o, ws in zip(out, split)]
 
     return encode
 
