@@ -150,7 +150,8 @@ def train(docs: DataFrame, *, key: str = "doc_id", text: str = "text", label: st
         f = featurizer(dim)
         for b in batches:
             got = [(k, l, v.astype(np.float32).tobytes()) for k, l, t in zip(b["key"], b["label"], b["text"]) if (v := f(t)) is not None]
-            yield pd.DataFrame(got, columns=["key", "label", "x"])
+            if got:
+                yield pd.DataFrame(got, columns=["key", "label", "x"])
 
     kind = dict(rows.dtypes)["key"]
     got = chosen.select("key", "label", "text").mapInPandas(features, f"key {kind}, label string, x binary").toPandas()
@@ -179,7 +180,8 @@ def predict(docs: DataFrame, model: Model | None, *, text: str = "text", dim: in
                     for i, b, s, m in zip(there, *model.decode(np.stack([xs[i] for i in there]))):
                         part[i] = (model.languages[b], float(s), bool(m < MARGIN))
                 out += part
-            yield pd.DataFrame(out, columns=["lang_pred", "score", "ambiguous"])
+            if out:
+                yield pd.DataFrame(out, columns=["lang_pred", "score", "ambiguous"])
 
     got = docs.withColumn("_langid", of(F.col(text)))
     return got.withColumns({c: F.col(f"_langid.{c}") for c in ("lang_pred", "score", "ambiguous")}).drop("_langid")

@@ -160,7 +160,8 @@ def compared(docs: DataFrame, *, key: str = "doc_id", text: str = "text", k: int
                 if held is not None:
                     out.append(close(held, t, f))
                 held = (key, t, f) if own else None
-            yield pd.DataFrame(out, columns=names)
+            if out:
+                yield pd.DataFrame(out, columns=names)
 
     kind = dict(docs.select(F.col(key).alias("k")).dtypes)["k"]
     rows = in_order(docs, key=key, text=text).withColumn("k", F.col("k").cast("string"))

@@ -129,7 +129,8 @@ def _search(k: int, dim: int, head: int):
                     s = (x[c].astype(float) @ q[i].astype(float)).astype(np.int64) if exact else np.array([sum(int(a) * int(e) for a, e in zip(q[i], y)) for y in x[c]])
                     top = np.lexsort((xid[c], none[c], -s))[:k]
                     out += [(int(r.q_place), int(i), int(qid[i]), None if none[c[t]] else int(xid[c[t]]), int(s[t])) for t in top if s[t] >= least[i]]
-                yield pd.DataFrame(out, columns=["q_place", "q_row", "query_id", "vec_id", "score"]).astype({"vec_id": "Int64"})
+                if out:
+                    yield pd.DataFrame(out, columns=["q_place", "q_row", "query_id", "vec_id", "score"]).astype({"vec_id": "Int64"})
 
     return go
 

@@ -132,7 +132,8 @@ def write(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: str
                 f.write(z)
                 out.append((url_key(u), k or "", kind, mark, u, name, at, len(z)))
                 at += len(z)
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in CAPTURES.split(", ")])
+            if out:
+                yield pd.DataFrame(out, columns=[c.split()[0] for c in CAPTURES.split(", ")])
         if f is not None:
             f.close()
 
@@ -154,7 +155,8 @@ def read(captures: DataFrame) -> DataFrame:
                     h = parse(m)
                     p = h["payload"]
                     out.append((_page(h["WARC-Record-ID"]), h["WARC-Type"], h["WARC-Target-URI"], h["WARC-Payload-Digest"].removeprefix("sha1:"), None if p is None else len(p), None if p is None else digest(p), _page(h.get("WARC-Refers-To", "")), h.get("WARC-Refers-To-Target-URI")))
-                yield pd.DataFrame(out, columns=["page", "record_type", "url", "payload_digest", "payload_bytes", "checked_digest", "refers_to", "refers_url"]).astype({"payload_bytes": "Int64"})
+                if out:
+                    yield pd.DataFrame(out, columns=["page", "record_type", "url", "payload_digest", "payload_bytes", "checked_digest", "refers_to", "refers_url"]).astype({"payload_bytes": "Int64"})
 
     files = captures.select("folder", "file").distinct()
     return files.repartition(partitions(captures.sparkSession), "file").mapInPandas(load, "page string, record_type string, url string, payload_digest string, payload_bytes long, checked_digest string, refers_to string, refers_url string")
@@ -213,7 +215,8 @@ def lookup(shards: DataFrame, queries: DataFrame) -> DataFrame:
     def shard(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = [(k, i) for k in b["key"] for i in range(bisect.bisect_left(lasts, k), bisect.bisect_right(firsts, k))]
-            yield pd.DataFrame(out, columns=["key", "shard"])
+            if out:
+                yield pd.DataFrame(out, columns=["key", "shard"])
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, near = None, (None, None)
@@ -237,7 +240,8 @@ def lookup(shards: DataFrame, queries: DataFrame) -> DataFrame:
                         x = near[1][at]
                         out.append((k, "" if x[1] == "-" else x[1], x[2], x[3], x[4], int(x[5]), int(x[6])))
                         at += 1
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in FOUND.split(", ")])
+            if out:
+                yield pd.DataFrame(out, columns=[c.split()[0] for c in FOUND.split(", ")])
 
     q = queries.select("key").distinct().mapInPandas(shard, "key string, shard int")
     n = partitions(shards.sparkSession)
@@ -258,7 +262,8 @@ def fetch(found: DataFrame, folder: str) -> DataFrame:
                 f.seek(r.offset)
                 p = parse(zlib.decompress(f.read(r.length), 31))["payload"]
                 out.append((r.record, len(p or b""), digest(p or b"")))
-            yield pd.DataFrame(out, columns=["record", "payload_bytes", "digest"])
+            if out:
+                yield pd.DataFrame(out, columns=["record", "payload_bytes", "digest"])
 
     return found.where("kind = 'response'").repartition(partitions(found.sparkSession), "file", "offset").sortWithinPartitions("file", "offset").mapInPandas(load, "record string, payload_bytes long, digest string")
 
