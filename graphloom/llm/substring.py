@@ -3,13 +3,14 @@
 A passage of `window` words that starts in two places is removed in both. Seeds
 are winnowed anchors: of the k-grams of every window the one with the smallest
 hash (the last of equal ones), so equal windows choose the same anchor at the
-same distance. Anchors that occur once are dropped. Around the others the match
-is extended both ways, by as many words as keep the anchor the window's seed,
-and extensions that meet an equal one elsewhere stay. Windows that overlap join
-into maximal repeats; what these cover is removed.
+same distance. Anchors that occur once are dropped. The others are extended both
+ways, by as many words as keep the anchor the window's seed. Extents that are
+equal elsewhere are repeats as a whole; the others, and one of each kind of
+equal ones, meet window by window. Repeats that overlap join into maximal ones;
+what these cover is removed.
 
 Meeting is counted, never paired: a passage that a third of all documents share
-costs each of them one row per window. Sequences are compared by 128 bits of
+costs each of them a row per anchor. Sequences are compared by 128 bits of
 hashes. Documents are known by a hash of their text, as the result depends on
 nothing else of them.
 
@@ -33,7 +34,7 @@ WINDOW, ANCHOR = 35, 8
 
 
 def hasher():
-    """text -> (words, h1, h2): 64-bit hashes of the words, twice; the same on every machine."""
+    """text -> two 64-bit hashes of each word, and hashes of runs of these; the same on every machine."""
     import numpy as np
 
     rng = np.random.default_rng(7)
@@ -57,10 +58,9 @@ def hasher():
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         return x ^ (x >> np.uint64(31))
 
-    def spans(values, start, end):
-        """Hashes of values[start:end] for arrays of bounds."""
+    def between(values, start, end):
         grow(len(values) + 1)
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(values * powers[: len(values)], dtype=np.uint64)])
+        sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(values * powers[: len(values)], dtype=np.uint64)])
         return mix((sums[end] - sums[start]) * inverses[start] + (end - start).astype(np.uint64))
 
     def words(text):
@@ -68,14 +68,13 @@ def hasher():
         inside = np.concatenate([[False], ~gap[data], [False]])
         edges = np.flatnonzero(inside[1:] != inside[:-1])
         start, end = edges[::2], edges[1::2]
-        return start, end, spans(table[0][data], start, end), spans(table[1][data], start, end)
+        return between(table[0][data], start, end), between(table[1][data], start, end)
 
-    def grams(values, k):
-        n = len(values) - k + 1
-        at = np.arange(max(0, n))
-        return spans(values, at, at + k)
+    def spans(values, start, length):
+        """Hashes of `length` values from each start."""
+        return between(values, start, start + length)
 
-    return words, grams
+    return words, spans
 
 
 def seeds(kgrams, width: int):
@@ -96,71 +95,80 @@ def _freed(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def _rows(names: str, cols) -> pd.DataFrame:
+    import numpy as np
+
+    return pd.DataFrame(dict(zip(names.split(), map(np.concatenate, cols))))
+
+
 def repeats(docs: DataFrame, *, text: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """(t1, t2, starts): for texts with repeated windows the first words of these, counted from 0."""
+    """(t1, t2, spans): for texts with repeated windows the first and last of each run of these, by first word."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     width = window - anchor + 1
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np
 
-        words, grams = hasher()
+        words, spans = hasher()
         for b in batches:
-            cols = [[], [], [], []]
+            cols = [[], [], [], [], [], []]
             for t1, t2, t in zip(b["t1"], b["t2"], b["t"]):
-                _, _, h, _ = words(t)
+                h, g = words(t)
                 if len(h) < window:
                     continue
-                k = grams(h, anchor)
-                at = np.unique(seeds(k, width))
-                cols[0].append(k[at].astype(np.int64))
-                cols[1].append(np.full(len(at), t1, dtype=np.int64))
-                cols[2].append(np.full(len(at), t2, dtype=np.int64))
-                cols[3].append(at.astype(np.int32))
+                k = spans(h, np.arange(len(h) - anchor + 1), anchor)
+                at = seeds(k, width)
+                # Windows with one seed follow each other; their extent is what the seed can grow to.
+                lo = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+                hi = np.concatenate([lo[1:], [len(at)]]) - 1
+                e = spans(g, lo, hi - lo + window) + (at[lo] - lo).astype(np.uint64)
+                for c, v in zip(cols, (k[at[lo]].astype(np.int64), e.astype(np.int64), np.full(len(lo), t1), np.full(len(lo), t2), lo.astype(np.int32), hi.astype(np.int32))):
+                    c.append(v)
             if cols[0]:
-                yield pd.DataFrame(dict(zip(("a", "t1", "t2", "at"), map(np.concatenate, cols))))
+                yield _rows("a e t1 t2 lo hi", cols)
 
     t = docs.select(*text_key(F.col(text)), F.col(text).alias("t")).where(F.col("t").isNotNull())
-    anchors = scratch.keep(t.mapInPandas(find, "a long, t1 long, t2 long, at int"), "anchors")
-    often = scratch.keep(anchors.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a"), "frequent-anchors")
-    # Copies of a text agree in all their anchors, so one row per place is enough from here on.
-    hit = anchors.join(often, "a", "left_semi").groupBy("t1", "t2", "at").agg(F.lit(1).alias("one"))
-    hit = scratch.keep(hit.groupBy("t1", "t2").agg(F.sort_array(F.collect_list("at")).alias("ats")), "seeded")
+    anchors = scratch.keep(t.mapInPandas(find, "a long, e long, t1 long, t2 long, lo int, hi int"), "anchors")
+    often = anchors.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("e").alias("x"), F.max("e").alias("y")).where("n > 1")
+    often = scratch.keep(often.select("a", (F.col("x") != F.col("y")).alias("mixed")), "frequent-anchors")
+    met = scratch.keep(anchors.join(often, "a"), "met")
     _freed(spark)
+    # Where all extents of a seed are equal, everything in them is repeated. Else
+    # equal extents are, and one of each kind meets the others window by window.
+    mixed = met.where("mixed")
+    kinds = mixed.groupBy("a", "e").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("t1", "t2", "lo", "hi")).alias("one"))
+    kinds = scratch.keep(kinds.select("a", "e", "n", "one.*"), "extents")
+    whole = met.where("not mixed").select("t1", "t2", "lo", "hi").union(mixed.join(kinds.where("n > 1").select("a", "e"), ["a", "e"], "left_semi").select("t1", "t2", "lo", "hi"))
+    grow = kinds.groupBy("t1", "t2").agg(F.collect_list(F.struct("lo", "hi", (F.col("n") == 1).alias("alone"))).alias("extents"))
+    grow = scratch.keep(grow, "growing")
 
     def extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np
 
-        words, grams = hasher()
+        words, spans = hasher()
+        names = "w1 w2 t1 t2 at alone"
         for b in batches:
-            cols = [[], [], [], [], []]
-            size = 0
-            for t1, t2, t, ats in zip(b["t1"], b["t2"], b["t"], b["ats"]):
-                _, _, h, g = words(t)
-                k = grams(h, anchor)
-                at = seeds(k, width)
-                ok = np.zeros(len(k), dtype=bool)
-                ok[np.asarray(ats, dtype=np.int64)] = True
-                s = np.flatnonzero(ok[at])
-                cols[0].append(grams(h, window)[s].astype(np.int64))
-                cols[1].append(grams(g, window)[s].astype(np.int64))
-                cols[2].append(np.full(len(s), t1, dtype=np.int64))
-                cols[3].append(np.full(len(s), t2, dtype=np.int64))
-                cols[4].append(s.astype(np.int32))
+            cols, size = [[], [], [], [], [], []], 0
+            for t1, t2, t, extents in zip(b["t1"], b["t2"], b["t"], b["extents"]):
+                h, g = words(t)
+                s = np.concatenate([np.arange(x["lo"], x["hi"] + 1) for x in extents])
+                alone = np.concatenate([np.full(x["hi"] - x["lo"] + 1, x["alone"]) for x in extents])
+                for c, v in zip(cols, (spans(h, s, window).astype(np.int64), spans(g, s, window).astype(np.int64), np.full(len(s), t1), np.full(len(s), t2), s.astype(np.int32), alone)):
+                    c.append(v)
                 size += len(s)
                 if size > 200_000:
-                    yield pd.DataFrame(dict(zip(("w1", "w2", "t1", "t2", "at"), map(np.concatenate, cols))))
-                    cols, size = [[], [], [], [], []], 0
+                    yield _rows(names, cols)
+                    cols, size = [[], [], [], [], [], []], 0
             if cols[0]:
-                yield pd.DataFrame(dict(zip(("w1", "w2", "t1", "t2", "at"), map(np.concatenate, cols))))
+                yield _rows(names, cols)
 
-    both = t.join(hit, ["t1", "t2"])
-    windows = scratch.keep(both.mapInPandas(extend, "w1 long, w2 long, t1 long, t2 long, at int"), "windows")
-    _freed(spark)
-    again = scratch.keep(windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2"), "repeated-windows")
+    windows = t.join(grow, ["t1", "t2"]).select("t1", "t2", "t", "extents").mapInPandas(extend, "w1 long, w2 long, t1 long, t2 long, at int, alone boolean")
+    windows = scratch.keep(windows, "windows")
     _freed(spark)
-    found = windows.join(again, ["w1", "w2"], "left_semi").groupBy("t1", "t2", "at").agg(F.lit(1).alias("one"))
-    out = written(found.groupBy("t1", "t2").agg(F.sort_array(F.collect_list("at")).alias("starts")), "repeats")
+    again = scratch.keep(windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n"), F.max("alone").alias("alone")).where("n > 1 and alone").select("w1", "w2"), "repeated-windows")
+    single = windows.where("alone").join(again, ["w1", "w2"], "left_semi").select("t1", "t2", F.col("at").alias("lo"), F.col("at").alias("hi"))
+    found = whole.union(single).groupBy("t1", "t2", "lo", "hi").agg(F.lit(1).alias("one"))
+    out = written(found.groupBy("t1", "t2").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "repeats")
     scratch.drop()
     _freed(spark)
     return out
@@ -171,23 +179,22 @@ def cut(docs: DataFrame, *, text: str = "text", window: int = WINDOW, anchor: in
     found = repeats(docs, text=text, window=window, anchor=anchor)
 
     @F.pandas_udf("struct<n_words:long,n_removed:long,kept:string>")
-    def rest(texts: pd.Series, starts: pd.Series) -> pd.DataFrame:
+    def rest(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
         import numpy as np
 
         out = []
-        for t, s in zip(texts, starts):
+        for t, s in zip(texts, spans):
             words = (t or "").encode("utf-8", "surrogatepass").split()
             n = len(words)
             if s is not None and len(s):
                 edge = np.zeros(n + 1, dtype=np.int64)
-                s = np.asarray(s, dtype=np.int64)
-                np.add.at(edge, s, 1)
-                np.add.at(edge, s + window, -1)
+                np.add.at(edge, np.array([x["lo"] for x in s]), 1)
+                np.add.at(edge, np.array([x["hi"] for x in s]) + window, -1)
                 words = [words[i] for i in np.flatnonzero(np.cumsum(edge[:-1]) == 0)]
             out.append((n, n - len(words), b" ".join(words).decode("utf-8", "surrogatepass")))
         return pd.DataFrame(out, columns=["n_words", "n_removed", "kept"])
 
     t1, t2 = text_key(F.col(text))
     d = docs.withColumns({"_t1": F.coalesce(t1, F.lit(0)), "_t2": F.coalesce(t2, F.lit(0))})
-    found = found.select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), F.col("starts").alias("_starts"))
-    return d.join(found, ["_t1", "_t2"], "left").withColumn("_cut", rest(F.col(text), F.col("_starts"))).drop("_t1", "_t2", "_starts")
+    found = found.select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), F.col("spans").alias("_spans"))
+    return d.join(found, ["_t1", "_t2"], "left").withColumn("_cut", rest(F.col(text), F.col("_spans"))).drop("_t1", "_t2", "_spans")
