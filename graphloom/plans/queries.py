@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .. import views
+from .. import build, store, views
 from ..graph import Graph
-from ..operators import centrality, closure, communities, coupling, diff, history, measures, topology
+from ..operators import centrality, closure, communities, coupling, diff, history, layout, measures, topology
 from ..operators.project import projection
+from ..sources import english, series
+from ..streaming import metering
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -373,3 +375,91 @@ def unresolved_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_trade(" SELECT 'extracted_truth' AS class, count(*) AS n FROM edges"))
 def graph_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measures.graph_class(views.trade(spark, sf_dir))
+
+
+_SOLD = """WITH sold AS (
+  SELECT concat('r', a.n_regionkey, '::n', a.n_nationkey, '::c', c_custkey) AS src,
+    CASE WHEN l_returnflag = 'R' THEN concat('external::gone', l_suppkey) ELSE concat('r', b.n_regionkey, '::n', b.n_nationkey, '::s', l_suppkey) END AS dst, l_linenumber AS line
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation a ON c_nationkey = a.n_nationkey
+    JOIN supplier ON l_suppkey = s_suppkey JOIN nation b ON s_nationkey = b.n_nationkey)
+"""
+
+
+@query(_SOLD + "SELECT src, dst, min(line) AS line FROM sold GROUP BY src, dst")
+def build_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g, _ = build.build(views.sellers(spark, sf_dir))
+    return g.edges.where("kind = 'calls'").select("src", "dst", "line")
+
+
+@query(_SOLD + """SELECT kind, count(*) AS n FROM (
+  SELECT DISTINCT 'UnresolvedCall' AS kind, dst FROM sold WHERE starts_with(dst, 'external::')) t GROUP BY kind""")
+def build_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return build.build(views.sellers(spark, sf_dir))[1].groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT doc_id AS doc, CAST(count(*) AS BIGINT) AS sentences, CAST(sum(length(s)) AS BIGINT) AS characters FROM (
+  SELECT doc_id, unnest(string_split_regex(regexp_replace(text, '([.!?])[ \\t\\n\\r]+', '\\1\n', 'g'), '\n+')) AS s FROM documents) t WHERE trim(s) <> '' GROUP BY doc_id""".replace("length(s)", "length(trim(s))").replace("\\\\", "\\"))
+def document_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = english.sentences(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return s.groupBy("doc").agg(F.count(F.lit(1)).alias("sentences"), F.sum(F.char_length("sentence")).alias("characters"))
+
+
+@query("""SELECT CAST(user_id AS VARCHAR) AS key_id, strftime(ts, '%Y-%m') AS month, CAST(count(*) FILTER (event_type <> 'signup') AS BIGINT) AS queries,
+  CAST(count(*) FILTER (event_type = 'signup') AS BIGINT) AS indexes, CAST(sum(length(props)) AS BIGINT) AS bytes FROM events GROUP BY 1, 2""")
+def metering_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    sign = F.col("event_type") == "signup"
+    log = e.select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), F.col("user_id").cast("string").alias("key_id"), F.when(sign, "POST").otherwise("GET").alias("method"), F.when(sign, "/v1/index").otherwise("/v1/query").alias("path"), F.length("props").cast("long").alias("response_bytes"))
+    return metering.usage(log)
+
+
+def _yearly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    views.register(spark, sf_dir, ["customer", "orders"])
+    wide = spark.sql("""SELECT model, period_idx, period, flow, CASE WHEN model <> 'n3' OR period_idx <> 1996 THEN flow END AS sparse, CAST(sum(flow) OVER (PARTITION BY model ORDER BY period_idx) AS DOUBLE) + CASE WHEN model = 'n5' THEN period_idx ELSE 0 END AS stock FROM (
+      SELECT concat('n', c_nationkey) AS model, year(o_orderdate) AS period_idx, concat('FY', year(o_orderdate)) AS period, CAST(count(*) AS DOUBLE) AS flow FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2, 3) t""")
+    return series.long_form(wide, ["flow", "sparse", "stock"])
+
+
+_FLOWS = """WITH f AS (SELECT concat('n', c_nationkey) AS model, CAST(year(o_orderdate) AS INTEGER) AS period_idx, CAST(count(*) AS DOUBLE) AS flow FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)
+, w AS (SELECT *, sum(flow) OVER (PARTITION BY model ORDER BY period_idx) + CASE WHEN model = 'n5' THEN period_idx ELSE 0 END AS stock FROM f)
+"""
+
+
+@query(_FLOWS + """SELECT model, 'flow' AS field, period_idx, concat('FY', period_idx) AS period, flow AS value FROM w
+UNION ALL SELECT model, 'sparse', period_idx, concat('FY', period_idx), flow FROM w WHERE model <> 'n3' OR period_idx <> 1996
+UNION ALL SELECT model, 'stock', period_idx, concat('FY', period_idx), stock FROM w""")
+def filed_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _yearly(spark, sf_dir)
+
+
+@query(_FLOWS + """SELECT model, period_idx, lhs, rhs FROM (SELECT model, period_idx, stock AS lhs, lag(stock) OVER (PARTITION BY model ORDER BY period_idx) + flow AS rhs FROM w) t WHERE abs(lhs - rhs) > 0.01""")
+def filed_rollforward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return series.rollforward_breaks(_yearly(spark, sf_dir), "stock", {"flow": 1.0})
+
+
+@query("""WITH h AS (SELECT event_id, sha256(concat_ws('|', event_id, strftime(ts, '%Y-%m-%d %H:%M:%S'), event_type, props, 'GENESIS')) AS hash FROM events)
+SELECT count(*) AS entries, false AS valid, arg_max(hash, event_id) AS head FROM h""")
+def audit_unlinked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries whose hashes are right but whose links are not: the trail must not verify."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    log = e.select(F.col("event_id").alias("seq"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), F.col("event_type").alias("op"), F.col("props").alias("payload"), F.lit("GENESIS").alias("prev_hash"))
+    hashed = F.sha2(F.concat_ws("|", F.col("seq").cast("string"), "ts", "op", "payload", "prev_hash"), 256)
+    return store.audit_verify(log.withColumn("hash", hashed))
+
+
+@query()
+def layout_layered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = projection(views.users(spark, sf_dir))
+    return layout.layered(p.nodes, p.links)
+
+
+@query()
+def layout_force(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = layout.force(projection(views.users(spark, sf_dir)))
+    return got if got is not None else spark.createDataFrame([], "id string, x double, y double")
+
+
+@query(_trade(""" SELECT a.id, CAST(CASE WHEN e.src IS NULL THEN 0 WHEN f.src IS NULL THEN 1 WHEN g.src IS NULL THEN 2 ELSE 3 END AS INTEGER) AS depth, e.src AS parent FROM nodes a
+LEFT JOIN edges e ON e.dst = a.id AND e.kind = 'contains' LEFT JOIN edges f ON f.dst = e.src AND f.kind = 'contains' LEFT JOIN edges g ON g.dst = f.src AND g.kind = 'contains'"""))
+def layout_clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.clustered(views.trade(spark, sf_dir))

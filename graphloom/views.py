@@ -57,10 +57,12 @@ edges AS (
 
 TRADE = f"{PLACES}, {TRADE_NODES}, {TRADE_EDGES}"
 
-#: Who purchased after whom: a graph with cycles.
+#: Who followed whom with a purchase of more than ten times the value: a sparse graph with cycles.
 USERS = """
 steps AS (
-  SELECT lag(user_id) OVER (ORDER BY ts, event_id) AS a, user_id AS b FROM events WHERE event_type = 'purchase' AND event_id % 32 = 0
+  SELECT a, b FROM (
+    SELECT lag(user_id) OVER (ORDER BY ts, event_id) AS a, lag(value) OVER (ORDER BY ts, event_id) AS before, user_id AS b, value FROM events WHERE event_type = 'purchase'
+  ) t WHERE value > 10 * before
 ), edges AS (
   SELECT DISTINCT concat('u::', a) AS src, concat('u::', b) AS dst, 'calls' AS kind, CAST(NULL AS INT) AS line FROM steps WHERE a IS NOT NULL AND a <> b
 ), nodes AS (
@@ -96,3 +98,20 @@ def purchases(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
     tx = line.select(F.col("l_orderkey").alias("tx_id"), F.concat(F.lit("p"), F.col("l_partkey")).alias("file"))
     return tx, part.select(F.col("p_name").alias("id"), F.concat(F.lit("p"), F.col("p_partkey")).alias("file"), F.col("p_size").alias("decisions"))
+
+
+def sellers(spark: SparkSession, sf_dir: str):
+    """Raw extractor rows: nations as files, customers and suppliers as classes, order lines as calls by bare name."""
+    from .build import Raw
+
+    register(spark, sf_dir, ["nation", "customer", "supplier", "orders", "lineitem"])
+    none = "CAST(NULL AS ARRAY<STRING>)"
+    files = spark.sql("SELECT concat('r', n_regionkey) AS package, concat('n', n_nationkey, '.py') AS file, concat('r', n_regionkey, '::n', n_nationkey) AS module_id, CAST(n_nationkey AS BIGINT) AS file_seq FROM nation")
+    symbol = "SELECT CAST(n_nationkey AS BIGINT) AS file_seq, CAST({k} AS INT) AS sym_seq, concat('r', n_regionkey) AS package, concat('n', n_nationkey, '.py') AS file, concat('r', n_regionkey, '::n', n_nationkey) AS module_id, concat('r', n_regionkey, '::n', n_nationkey, '::{p}', {k}) AS id, 'class' AS kind, concat('{p}', {k}) AS label, CAST({k} AS INT) AS line, 1 AS column, {none} AS defines, {none} AS refs, {none} AS writes, CAST(NULL AS INT) AS end_line, CAST(NULL AS STRING) AS signature, CAST(NULL AS INT) AS decisions, CAST(NULL AS MAP<STRING, STRING>) AS measures FROM {t} JOIN nation ON {n} = n_nationkey"
+    symbols = spark.sql(symbol.format(k="c_custkey", p="c", t="customer", n="c_nationkey", none=none)).union(spark.sql(symbol.format(k="s_suppkey", p="s", t="supplier", n="s_nationkey", none=none)))
+    calls = spark.sql("""SELECT CAST(n_nationkey AS BIGINT) AS file_seq, CAST(row_number() OVER (PARTITION BY n_nationkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS INT) AS seq,
+      concat('r', n_regionkey, '::n', n_nationkey, '::c', c_custkey) AS from_id, CASE WHEN l_returnflag = 'R' THEN concat('gone', l_suppkey) ELSE concat('s', l_suppkey) END AS to_name, l_linenumber AS line
+      FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey""")
+    from . import schema
+
+    return Raw(files, symbols, spark.createDataFrame([], schema.IMPORTS), calls, spark.createDataFrame([], schema.HERITAGE))
