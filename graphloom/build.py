@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import Graph, checkpointed, union
+from .graph import Graph, checkpointed, numbered, union
 from .operators.topology import cycles
 from .profile import CODE, Profile
 
@@ -194,4 +194,4 @@ def build(raw: Raw, profile: Profile = CODE) -> tuple[Graph, DataFrame]:
     rings = cycles(g).select(F.lit(3).alias("part"), F.array_join("members", "\x00").alias("o"), F.lit("Cycle").alias("kind"), F.to_json(F.struct("edge_kind", "members")).alias("payload"))
     breaches = breaches.select(F.lit(1).alias("part"), F.col("payload").alias("o"), "kind", "payload")
     diags = union([early, breaches, missed, rings])
-    return g, diags.select((F.row_number().over(Window.orderBy("part", "o", "kind", "payload")) - 1).cast("long").alias("seq"), "kind", "payload")
+    return g, numbered(diags, ["part", "o", "kind", "payload"], "seq").select("seq", "kind", "payload")

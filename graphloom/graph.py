@@ -6,7 +6,7 @@ import tempfile
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .profile import CODE, Profile
@@ -64,3 +64,21 @@ def bounded_pairs(links: DataFrame, most: int = KERNEL_EDGES) -> list[tuple[str,
         return None
     t = links.select("src", "dst").toArrow()
     return list(zip(t["src"].to_pylist(), t["dst"].to_pylist()))
+
+
+def running(df: DataFrame, order: list[Column | str], value: Column, name: str) -> DataFrame:
+    """df with the sum of value over all rows up to each one, in a total order.
+
+    Rows are dealt by ranges of the order; only one sum per range is ordered in
+    a single task.
+    """
+    d = checkpointed(df.repartitionByRange(*order).withColumns({"_pid": F.spark_partition_id(), "_v": value}))
+    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    off = d.groupBy("_pid").agg(F.sum("_v").alias("_s")).select("_pid", F.coalesce(F.sum("_s").over(w), F.lit(0)).alias("_off"))
+    inside = F.sum("_v").over(Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return d.join(F.broadcast(off), "_pid").withColumn(name, (inside + F.col("_off")).cast("long")).drop("_pid", "_v", "_off")
+
+
+def numbered(df: DataFrame, order: list[Column | str], name: str) -> DataFrame:
+    """df with each row's place from 0 in a total order."""
+    return running(df, order, F.lit(1), name).withColumn(name, F.col(name) - 1)

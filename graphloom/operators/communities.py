@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import KERNEL_EDGES
+from ..graph import numbered as in_order
 from .project import Projection
 
 SEED = 20261102
@@ -105,8 +106,7 @@ def communities(p: Projection, most: int = KERNEL_EDGES) -> DataFrame:
 
 def numbered(partition: DataFrame) -> DataFrame:
     """(id, community) from (id, least): communities numbered from 0 by their smallest member."""
-    names = partition.select("least").distinct()
-    order = names.withColumn("community", F.row_number().over(Window.orderBy("least")) - 1)
+    order = in_order(partition.select("least").distinct(), ["least"], "community")
     return partition.join(order, "least").select("id", "community")
 
 

@@ -23,7 +23,7 @@ def type_metrics(g: Graph) -> DataFrame:
     own = _owners(g)
     kinds = g.nodes.select(F.col("id").alias("dst"), F.col("kind").alias("to_kind"))
     e = g.plain().select("src", "dst", "kind").join(own.select(F.col("id").alias("src"), F.col("owner").alias("a"), F.col("kind").alias("from_kind")), "src", "left")
-    e = e.join(own.select(F.col("id").alias("dst"), F.col("owner").alias("b")), "dst", "left").join(kinds, "dst")
+    e = e.join(own.select(F.col("id").alias("dst"), F.col("owner").alias("b")), "dst", "left").join(kinds, "dst").cache()
     lifted = e.where("a is not null and b is not null and a <> b").select("a", "b").distinct()
     cbo = lifted.union(lifted.select("b", "a")).groupBy(F.col("a").alias("id")).agg(F.count_distinct("b").alias("cbo"))
     mine = e.where("a is not null and from_kind = 'method'")
@@ -44,9 +44,9 @@ def type_metrics(g: Graph) -> DataFrame:
 def cohesion(g: Graph) -> DataFrame:
     """(id, sharing, non_sharing, tcc): pairs of a type's methods with and without a common member.
 
-    Null where there are fewer than two methods or none touches a member. Pairs
-    are counted from how many methods touch the same set of members, so a type
-    with many methods gives a row per different set, not per pair of methods.
+    Null where there are fewer than two methods or none touches a member.
+    Methods with equal sets of members count as one set; different sets meet
+    only on members that they share.
     """
     own = _owners(g).where("kind = 'method'").select("id", "owner")
     node = g.nodes.select("id", "label", F.coalesce("refs", F.array().cast("array<string>")).alias("refs"))
@@ -60,9 +60,11 @@ def cohesion(g: Graph) -> DataFrame:
     sets = m.groupBy("owner", seen.alias("s")).agg(F.count(F.lit(1)).alias("n"))
     n = sets.groupBy("owner").agg(F.sum("n").alias("methods"), F.max(F.size("s") > 0).alias("any"))
     own_pairs = sets.select("owner", F.when(F.size("s") > 0, F.col("n") * (F.col("n") - 1) / 2).otherwise(F.lit(0.0)).alias("p"))
-    a, b = sets.where(F.size("s") > 0).alias("a"), sets.where(F.size("s") > 0).alias("b")
-    cross = a.join(b, (F.col("a.owner") == F.col("b.owner")) & (F.col("a.s") < F.col("b.s")) & F.arrays_overlap("a.s", "b.s"))
-    cross = cross.select(F.col("a.owner").alias("owner"), (F.col("a.n") * F.col("b.n")).cast("double").alias("p"))
+    # Different sets meet on the members they share, each pair counted once.
+    key = F.sha1(F.array_join("s", "\x00"))
+    each = sets.where(F.size("s") > 0).select("owner", "n", key.alias("k"), F.explode("s").alias("member"))
+    met = each.join(each.select("owner", "member", F.col("k").alias("k2"), F.col("n").alias("n2")), ["owner", "member"]).where("k < k2")
+    cross = met.select("owner", "k", "k2", "n", "n2").distinct().select("owner", (F.col("n") * F.col("n2")).cast("double").alias("p"))
     shared = own_pairs.union(cross).groupBy("owner").agg(F.sum("p").cast("long").alias("sharing"))
     pairs = (F.col("methods") * (F.col("methods") - 1) / 2).cast("long")
     ok = (F.col("methods") >= 2) & F.col("any")

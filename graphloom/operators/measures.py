@@ -82,7 +82,7 @@ def dossier(g: Graph, id: str) -> DataFrame:
 def neighborhood(g: Graph, id: str, depth: int = 1) -> DataFrame:
     """(id, level): nodes within depth steps over non-containment edges in either direction."""
     e = g.plain().select("src", "dst")
-    either = e.union(e.select("dst", "src")).toDF("src", "dst").distinct()
+    either = e.union(e.select("dst", "src")).toDF("src", "dst").distinct().cache()
     seen = g.nodes.where(F.col("id") == id).select("id", F.lit(0).alias("level"))
     for level in range(1, depth + 1):
         step = either.join(seen.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).distinct()

@@ -8,11 +8,12 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema
 from ..build import Raw
+from ..graph import checkpointed, numbered, running
 
 #: Extensions that the extractors of the raw tables know; fixed values.
 EXTENSIONS = "rs ts tsx js jsx mjs cjs py pyi kt kts c h java go sh bash zsh cpp cc cxx hpp hh hxx swift rb r jl cs php scala sc hs ex exs lua md markdown".split()
@@ -205,8 +206,7 @@ def extract(found: DataFrame) -> Raw:
 
     Files that do not parse give their file row only. Files are numbered by path.
     """
-    w = Window.orderBy("path")
-    numbered = found.withColumn("file_seq", (F.row_number().over(w) - 1).cast("long")).repartition("path")
+    number = numbered(found.select("path").distinct(), ["path"], "file_seq")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cols = [c.split(" ", 1)[0] for c in _OUT.split(", ")]
@@ -235,10 +235,7 @@ def extract(found: DataFrame) -> Raw:
                 d[c] = d[c].astype("Int32")
             yield d
 
-    rows = numbered.select("file_seq", "package", "file", "text").mapInPandas(run, _OUT)
-    from ..graph import checkpointed
-
-    rows = checkpointed(rows)
+    rows = checkpointed(found.join(number, "path").select("file_seq", "package", "file", "text").mapInPandas(run, _OUT))
     of = lambda p, *cols: rows.where(F.col("part") == p).select(*cols)
     c = F.col
     symbols = of("symbol", "file_seq", c("seq").alias("sym_seq"), "package", "file", "module_id", c("a").alias("id"), "kind", c("b").alias("label"), "line", "column", c("x").alias("defines"), c("y").alias("refs"), c("z").alias("writes"), "end_line", "signature", "decisions", F.lit(None).cast(schema.SYMBOLS["measures"].dataType).alias("measures"))
@@ -252,8 +249,7 @@ def extract(found: DataFrame) -> Raw:
 
 def commits(spark: SparkSession, lines: DataFrame) -> DataFrame:
     """transactions(tx_id, file) from log text (line_no, value): a line `commit ...` starts one, others name files."""
-    w = Window.orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    d = lines.withColumn("tx_id", F.sum(F.col("value").startswith("commit ").cast("long")).over(w))
+    d = running(lines, ["line_no"], F.col("value").startswith("commit ").cast("long"), "tx_id")
     return d.where(~F.col("value").startswith("commit ") & (F.trim("value") != "") & (F.col("tx_id") > 0)).select("tx_id", F.trim("value").alias("file"))
 
 

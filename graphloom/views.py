@@ -78,7 +78,8 @@ def register(spark: SparkSession, sf_dir: str, tables: list[str]) -> None:
 
 def _graph(spark: SparkSession, sf_dir: str, sql: str, tables: list[str]) -> Graph:
     register(spark, sf_dir, tables)
-    nodes, edges = (spark.sql(f"WITH {sql} SELECT * FROM {t}") for t in ("nodes", "edges"))
+    # Kept (memory, then disk) for the session: every query of a graph reads it more than once.
+    nodes, edges = (spark.sql(f"WITH {sql} SELECT * FROM {t}").cache() for t in ("nodes", "edges"))
     none = F.lit(None)
     nodes = nodes.withColumns({"refs": none.cast("array<string>"), "measures": none.cast("map<string,string>")})
     return Graph(nodes, edges.withColumn("attrs", none.cast("map<string,string>")))
