@@ -114,12 +114,12 @@ def modularity(p: Projection, partition: DataFrame) -> DataFrame:
     """(q): weighted modularity of partition(id, community); null without links."""
     c = partition.select("id", "community")
     e = p.pairs.join(c.toDF("a", "ca"), "a").join(c.toDF("b", "cb"), "b")
-    m = F.sum("weight")
     inside = e.groupBy("ca").agg(F.sum(F.when(F.col("ca") == F.col("cb"), F.col("weight")).otherwise(0)).alias("l")).withColumnRenamed("ca", "community")
     ends = e.select(F.col("ca").alias("community"), "weight").union(e.select("cb", "weight")).groupBy("community").agg(F.sum("weight").alias("d"))
-    total = p.pairs.agg(m.alias("m"))
-    parts = ends.join(inside, "community", "left").crossJoin(F.broadcast(total))
-    return parts.agg(F.sum(F.coalesce("l", F.lit(0)) / F.col("m") - (F.col("d") / (2.0 * F.col("m"))) * (F.col("d") / (2.0 * F.col("m")))).alias("q"))
+    total = p.pairs.agg(F.sum("weight")).first()[0]
+    parts = ends.join(inside, "community", "left")
+    share = F.col("d") / (2.0 * F.lit(total))
+    return parts.agg(F.sum(F.coalesce("l", F.lit(0)) / F.lit(total) - share * share).alias("q"))
 
 
 def summaries(p: Projection, partition: DataFrame) -> DataFrame:

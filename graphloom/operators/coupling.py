@@ -15,7 +15,7 @@ def _owners(g: Graph) -> DataFrame:
     types = g.nodes.where(F.col("kind").isin(*TYPES)).select(F.col("id").alias("owner"))
     members = g.nodes.where(F.col("kind").isin("method", "variable", "function")).select("id", "kind", parent(F.col("id")).alias("owner"))
     own = g.nodes.where(F.col("kind").isin(*TYPES)).select("id", "kind", F.col("id").alias("owner"))
-    return members.join(types, "owner", "left_semi").select("id", "kind", "owner").unionByName(own)
+    return members.join(types, "owner", "left_semi").select("id", "kind", "owner").unionByName(own).cache()
 
 
 def type_metrics(g: Graph) -> DataFrame:
