@@ -6,7 +6,7 @@ score comes from features of its ancestors and its text, neighbours are tied by
 transition weights, and Viterbi picks the best labelling of the whole page. The
 weights are fitted by gradient ascent on labelled pages.
 
-Scripts, styles, comments of the markup and the document's head are no blocks.
+Scripts, styles, titles and comments of the markup are no blocks.
 Inside a block white space becomes one space; a line break counts as a space.
 
 Defined results: null and empty pages have the empty text; markup that is not
@@ -28,7 +28,7 @@ from . import labelled_pages
 #: Tags that begin and end blocks; fixed values of the markup language.
 BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol optgroup option p pre section select summary table tbody td textarea tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("head noscript script style svg template title iframe object math canvas audio video".split())
+SILENT = frozenset("noscript script style svg template title iframe object math canvas audio video".split())
 #: Opening the tag ends an open one of these, as far as the nearest of STOP.
 ENDS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 STOP = frozenset("article aside body div fieldset footer form header main nav ol section table ul td th dl blockquote".split())

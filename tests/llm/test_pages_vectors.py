@@ -79,6 +79,7 @@ def test_blocks_of_untidy_markup():
     blocks = extraction.block_parser()
     got = [b[1] for b in blocks("<p>a<b>b&amp;c<br>d<p>e <script>var x='</p>'</script>f<ul><li>g<li>h</ul>tail &nbsp; x<!-- <p>no --><td>t</div></p>end")]
     assert got == ["ab&c d", "e f", "g", "h", "tail x", "t", "end"]
+    assert [b[1] for b in blocks("<html><head><title>t</title><meta x><style>p{}</style><body><p>kept")] == ["kept"]
     assert blocks(None) == [] and blocks("") == [] and blocks("<<<>") is not None
 
 
