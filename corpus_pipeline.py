@@ -1,7 +1,7 @@
 """Documents to training sequences: five stages, each a written table that the next one reads.
 
 1. language_id      documents without a language (null, or no letter) go
-2. near_duplicates  of each class of linked fingerprints the smallest doc_id stays
+2. near_duplicates  of each class of texts linked by 80 % common 5-word shingles the smallest doc_id stays
 3. repeats          passages of 35 words and more that occur elsewhere are cut out of the text
 4. mixing           documents as often as the source mix takes them
 5. packing          sequences of 2048 tokens; returns pieces instead of documents
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import langid, mixing, packing, simhash, substring
+from graphloom.llm import langid, mixing, near, packing, substring
 from graphloom.llm._shared import fresh_path
 from graphloom.llm.queries import tokenizer_path
 
@@ -24,7 +24,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.first_of_each(docs)
+    return near.first_of_each(docs)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Operators on documents against plain versions of their results."""
 
 import hashlib
+import random
 import sys
 import zlib
 from collections import Counter, defaultdict
@@ -9,9 +10,10 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).parent))
 
 import cases
+import corpus_pipeline
 import numpy as np
 import pytest
-from graphloom.llm import langid, mixing, order_minhash, packing, queries, sharding, simhash, substring
+from graphloom.llm import langid, mixing, near, order_minhash, packing, queries, sharding, simhash, substring
 
 
 def words(t):
@@ -130,6 +132,72 @@ def test_simhash_links_connect_every_distance(spark):
     assert {frozenset(y for y in fps if find(y) == find(x)) for x in fps} == want
 
 
+def near_classes(rows):
+    grams = []
+    for _, t, _ in rows:
+        w = (t or "").lower().split()
+        grams.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(grams):
+        for j, b in enumerate(grams[:i]):
+            if a == b or 5 * len(a & b) >= 4 * len(a | b):
+                root[find(i)] = find(j)
+    return [find(i) for i in range(len(rows))]
+
+
+def near_rows():
+    """Texts at 0.6 to 1 of each other, chains of them, and a group around one text with a common line."""
+    r = random.Random(11)
+    line = cases.words(r, 12)
+    out = []
+    for base in range(12):
+        w = cases.words(r, r.randint(5, 90)).split()
+        for _ in range(8):
+            out.append(" ".join(w if base % 3 else [*w, line]))
+            at = r.randrange(len(w))
+            w = [*w[:at], cases.words(r, 1), *w[at + r.randint(0, 1) :]]
+    center = cases.words(r, 80).split()
+    for _ in range(60):
+        at = r.randrange(80)
+        out.append(" ".join([*center[:at], cases.words(r, 1), *center[at + 1 :], cases.words(r, r.randint(0, 9))]))
+    return [(i, t, None) for i, t in enumerate(out)]
+
+
+@pytest.mark.parametrize("common", [0, 50_000])
+def test_near_duplicates_are_pairs_of_80_percent(spark, monkeypatch, common):
+    monkeypatch.setattr(near, "SAMPLE", 1)
+    monkeypatch.setattr(near, "COMMON", common)
+    monkeypatch.setattr(near, "CROWD", 1)
+    rows = near_rows()
+    want = defaultdict(set)
+    for (i, _, _), c in zip(rows, near_classes(rows)):
+        want[c].add(i)
+    assert sum(len(x) > 1 for x in want.values()) > 12 and len(want) > 30
+    got = defaultdict(set)
+    d = spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string").repartition(3)
+    for r in near.classes(d).collect():
+        got[r["root"]].add(r["doc_id"])
+    assert {frozenset(x) for x in got.values()} == {frozenset(x) for x in want.values()}
+    assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, d, "").collect()} == {min(x) for x in want.values()}
+
+
+def test_near_duplicates_awkward_rows(spark, docs):
+    rows, got = plain(docs), near.first_of_each(docs)
+    assert got.columns == docs.columns
+    best = {}
+    for (i, t, _), c in zip(rows, near_classes(rows)):
+        if i is not None:
+            best[c] = min(best.get(c, i), i)
+    assert Counter(r["doc_id"] for r in got.collect()) == Counter([*best.values(), None, None])
+    assert near.first_of_each(cases.empty(spark)).count() == 0
+
+
 def test_order_minhash(spark, docs):
     rows = sorted(plain(docs), key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
     texts = [t or "" for _, t, _ in rows]
