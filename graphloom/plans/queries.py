@@ -26,6 +26,11 @@ def query(sql: str | None = None):
     return add
 
 
+def _declined(spark: SparkSession, schema: str) -> DataFrame:
+    """One row of nulls: not measured, the graph is beyond the operator's ceiling."""
+    return spark.createDataFrame([(None,) * len(schema.split(","))], schema)
+
+
 def _sql(view: str, rest: str) -> str:
     return f"WITH RECURSIVE {view.strip()}{rest}"
 
@@ -287,7 +292,8 @@ def rank_closeness(spark: SparkSession, sf_dir: str) -> DataFrame:
 ), part AS (SELECT x.b AS id, sum(x.s * y.s / z.s) AS v FROM paths x JOIN paths y ON x.b = y.a JOIN paths z ON z.a = x.a AND z.b = y.b AND z.d = x.d + y.d WHERE x.d > 0 AND y.d > 0 GROUP BY x.b)
 SELECT n.id, round(coalesce(v, 0) / CASE WHEN {_N} > 2 THEN ({_N} - 1) * ({_N} - 2) ELSE 1 END, 9) AS value FROM nodes n LEFT JOIN part ON n.id = part.id"""))
 def rank_betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return centrality.betweenness(projection(views.users(spark, sf_dir))).withColumn("value", F.round("value", 9))
+    got = centrality.betweenness(projection(views.users(spark, sf_dir)))
+    return got.withColumn("value", F.round("value", 9)) if got is not None else _declined(spark, "id string, value double")
 
 
 _PAIRS = ", reach AS (SELECT src AS a, dst AS b FROM edges UNION SELECT r.a, e.dst FROM reach r JOIN edges e ON r.b = e.src)"
@@ -456,7 +462,7 @@ def layout_layered(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def layout_force(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = layout.force(projection(views.users(spark, sf_dir)))
-    return got if got is not None else spark.createDataFrame([], "id string, x double, y double")
+    return got if got is not None else _declined(spark, "id string, x double, y double")
 
 
 @query(_trade(""" SELECT a.id, CAST(CASE WHEN e.src IS NULL THEN 0 WHEN f.src IS NULL THEN 1 WHEN g.src IS NULL THEN 2 ELSE 3 END AS INTEGER) AS depth, e.src AS parent FROM nodes a

@@ -31,3 +31,14 @@ def test_against_sql(spark, duck, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 20
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_beyond_the_ceiling_is_marked_as_not_measured(spark, monkeypatch):
+    from graphloom.operators import centrality, layout
+    from graphloom.plans import queries
+
+    monkeypatch.setattr(centrality, "BETWEENNESS_NODES", 1)
+    monkeypatch.setattr(layout, "FORCE_NODES", 1)
+    sf = "/root/testdata/sf0.001"
+    assert [tuple(r) for r in queries.rank_betweenness(spark, sf).collect()] == [(None, None)]
+    assert [tuple(r) for r in queries.layout_force(spark, sf).collect()] == [(None, None, None)]
