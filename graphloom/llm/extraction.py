@@ -6,18 +6,31 @@ score comes from features of its ancestors and its text, neighbours are tied by
 transition weights, and Viterbi picks the best labelling of the whole page. The
 weights are fitted by gradient ascent on labelled pages.
 
-Scripts, styles, titles and comments of the markup are no blocks.
-Inside a block white space becomes one space; a line break counts as a space.
+Scripts, styles, titles, drawings, templates, frames and comments of the markup
+are no blocks; each ends at its end tag. One that is never closed ends where the
+markup goes on: a comment at its first `>`, a title at the next tag, a script
+or style at the next block tag, a drawing or template with the element around
+it. What stands for media and formulas (video, object, canvas, math) is text of
+its block, and noscript a block of its own. Inside a block white space becomes
+one space; a line break counts as a space.
+
+Pages are read in one pass. Paths are shared nodes of a tree that remember what
+their ancestors' features weigh, so the cost of a page grows with its length
+however deep its markup is.
 
 Defined results: null and empty pages have the empty text; markup that is not
-closed or wrongly nested is read as far as it goes; repeated rows get equal
-texts; an empty table gives no rows; other columns stay as they are.
+closed or wrongly nested is read as far as it goes; text without any tags is
+one block; repeated rows get equal texts; an empty table gives no rows; other
+columns stay as they are.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from html import unescape
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -26,127 +39,233 @@ from pyspark.sql import functions as F
 from . import labelled_pages
 
 #: Tags that begin and end blocks; fixed values of the markup language.
-BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol optgroup option p pre section select summary table tbody td textarea tfoot th thead tr ul".split())
+BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav noscript ol optgroup option p pre section select summary table tbody td textarea tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("noscript script style svg template title iframe object math canvas audio video".split())
+#: Their content is no text of the page: raw text up to the end tag, and elements with elements in them.
+RAW = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>?", re.I) for t in ("script", "style", "title")}
+SILENT = frozenset(("svg", "template"))
 #: Opening the tag ends an open one of these, as far as the nearest of STOP.
 ENDS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 STOP = frozenset("article aside body div fieldset footer form header main nav ol section table ul td th dl blockquote".split())
+STRONG = frozenset("article main nav header footer aside form section".split())
 
+MARK = re.compile(r"<(?:(/?)([A-Za-z][^\s/>]*)|(!--)|[!?/])")
+#: A quote opens a value only after `=`.
+REST = re.compile(r"""(?>[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+>""")
+ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+COMMENT_END = re.compile(r"--!?>")
+BLOCK_TAG = re.compile(rf"</?(?:{'|'.join(sorted(BLOCK))})(?=[\s/>])", re.I)
+FRAME = re.compile(r"<(/?)iframe(?=[\s/>])[^>]*>?", re.I)
 
-def block_parser():
-    """html -> blocks (path, text, characters in links, label or None); path: (tag, names) from the root."""
-    from html.parser import HTMLParser
 
-    class Parser(HTMLParser):
-        def __init__(self):
-            super().__init__(convert_charrefs=True)
-            self.blocks, self.path, self.parts, self.linked, self.quiet, self.label = [], (), [], 0, 0, None
+class Place:
+    """A path from the root; own holds the features that no ancestor has."""
+
+    __slots__ = ("up", "tag", "own", "strong", "quiet", "next", "score", "base")
+
+    def __init__(self, up=None, tag="", own=(), quiet=False):
+        self.up, self.tag, self.own, self.quiet, self.next, self.score, self.base = up, tag, own, quiet, {}, None, None
+        self.strong = () if up is None else (*up.strong[-1:], tag) if tag in STRONG else up.strong
+
+    def form(self) -> bool:
+        return "form" in self.strong
+
+    def leaf(self) -> list[str]:
+        """Features of the path's end."""
+        out = [f"leaf={'' if self.tag in ('html', 'body') else self.tag}"]
+        if self.strong:
+            out += [f"near={self.strong[-1]}", "chain=" + ">".join(self.strong)]
+        if self.form():
+            out.append(f"form>{self.tag}")
+        return out
+
+
+def path_features(place: Place) -> list[str]:
+    out = place.leaf()
+    while place is not None:
+        out += place.own
+        place = place.up
+    return sorted(out)
+
+
+def names_of(attributes: str) -> tuple[tuple[str, ...], int | None]:
+    """Classes, id and role, lower-cased, and the label of a training page."""
+    got: dict[str, str] = {}
+    for name, *values in ATTRIBUTE.findall(attributes):
+        got.setdefault(name.lower(), "".join(values))
+    names = " ".join(filter(None, (got.get("class"), got.get("id"), got.get("role"))))
+    return tuple(sorted(set(unescape(names).lower().split()))), int(got["data-keep"]) if "data-keep" in got else None
+
+
+def block_parser():
+    """html -> blocks (place, text, characters in links, label or None)."""
+    root, size = Place(), 0
+    known: dict[str, tuple] = {}
+
+    def features(tag, names):
+        # What a form means depends on what lies between it and the block: see leaf().
+        out = {f"in={tag}"} if tag not in ("html", "body", "form") else set()
+        if tag in ("section", "div") and not names:
+            out.add(f"bare={tag}")
+        for n in names if tag not in ("html", "body") else ():
+            out.add(f"name={n}")
+            out.update(f"word={w}" for w in n.replace("_", "-").split("-") if w and not w.isdigit())
+        return out
 
-        def flush(self):
-            if self.parts:
-                text = " ".join("".join(self.parts).split())
+    def blocks(html):
+        nonlocal root, size
+        if size > 50_000:
+            root, size = Place(), 0
+            known.clear()
+        html = html or ""
+        out, parts, linked, link = [], [], 0, 0
+        place, label, inner = root, None, None
+        stack: list[tuple] = []  # (tag, place before, its label, its features)
+        where: dict[str, list[int]] = {}
+        there: dict[str, int] = {}  # features of the open elements
+        no_end, broken = set(), False
+
+        def flush():
+            nonlocal parts, linked
+            if parts:
+                text = " ".join("".join(parts).split())
                 if text:
-                    self.blocks.append((self.path, text, self.linked, self.label))
-                self.parts, self.linked = [], 0
-
-        def open(self, tag, attrs):
-            names = ()
-            if attrs:
-                a = dict(attrs)
-                names = " ".join(filter(None, (a.get("class"), a.get("id"), a.get("role"))))
-                names = tuple(sorted(set(names.lower().split()))) if names else ()
-                if "data-keep" in a:
-                    self.label = int(a["data-keep"])
-            self.path = (*self.path, (tag, names))
-
-        def close(self, wanted, stop=frozenset()):
-            for i in range(len(self.path) - 1, -1, -1):
-                tag = self.path[i][0]
-                if tag in wanted:
-                    self.path = self.path[:i]
-                    return
-                if tag in stop:
-                    return
-
-        def handle_starttag(self, tag, attrs):
-            if tag in SILENT:
-                self.quiet += 1
-            elif self.quiet:
-                return
+                    at = place
+                    while at.quiet:
+                        at = at.up
+                    out.append((at, text, linked, label if inner is None else inner))
+                parts, linked = [], 0
+
+        def push(tag, names, mark):
+            nonlocal place, label, size
+            fs = features(tag, names)
+            at = place.next.get((tag, names))
+            if at is None:
+                own = tuple(sorted(f for f in fs if not there.get(f)))
+                at = place.next[tag, names] = Place(place, tag, own, place.quiet or tag in SILENT)
+                size += 1
+            stack.append((tag, place, label, fs))
+            where.setdefault(tag, []).append(len(stack) - 1)
+            for f in fs:
+                there[f] = there.get(f, 0) + 1
+            place, label = at, label if mark is None else mark
+
+        def pop(to):
+            nonlocal place, label, link
+            while len(stack) > to:
+                tag, place, label, fs = stack.pop()
+                where[tag].pop()
+                for f in fs:
+                    there[f] -= 1
+            if link > to + 1:
+                link = 0
+
+        def last(tags):
+            return max((w[-1] for t in tags if (w := where.get(t))), default=-1)
+
+        at, n = 0, len(html)
+        while True:
+            m = MARK.search(html, at)
+            start = m.start() if m else n
+            if start > at and not place.quiet:
+                text = html[at:start]
+                parts.append(unescape(text) if "&" in text else text)
+                if link:
+                    linked += len(parts[-1])
+            if not m:
+                break
+            end = html.find(">", m.end())
+            if m[3] and not html.startswith((">", "->"), m.end()):
+                done = None if "--" in no_end else COMMENT_END.search(html, m.end())
+                if done:
+                    at = done.end()
+                    continue
+                no_end.add("--")
+            if end < 0:
+                # No tag ends any more: the rest is text.
+                if not place.quiet:
+                    parts.append(unescape(html[m.end() if m[3] else start :]))
+                break
+            tag = (m[2] or "").lower()
+            if not tag:
+                at = end + 1
+                continue
+            attributes = html[m.end() : end]
+            if "=" in attributes and ('"' in attributes or "'" in attributes) and not broken:
+                rest = REST.match(html, m.end())
+                if rest:
+                    end = rest.end() - 1
+                    attributes = html[m.end() : end]
+                else:
+                    broken = True
+            at = end + 1
+            closing, closed = bool(m[1]), attributes.endswith("/")
+            if tag in RAW and not closing:
+                done = None if tag in no_end else RAW[tag].search(html, at)
+                if done:
+                    at = done.end()
+                else:
+                    no_end.add(tag)
+                    done = (MARK if tag == "title" else BLOCK_TAG).search(html, at)
+                    at = done.start() if done else n
+            elif tag == "iframe":
+                done = None if closing else FRAME.search(html, at)
+                if done and done[1]:
+                    at = done.end()
+            elif tag in SILENT:
+                if closing and where.get(tag):
+                    pop(where[tag][-1])
+                elif not closing and not closed:
+                    push(tag, (), None)
             elif tag == "br":
-                self.parts.append(" ")
+                if not place.quiet:
+                    parts.append(" ")
             elif tag in BLOCK:
-                self.flush()
-                self.label = None
+                flush()
+                if closing:
+                    if where.get(tag):
+                        pop(where[tag][-1])
+                    inner = None
+                    continue
+                inner = None
+                while where.get("svg"):  # a block tag ends a drawing
+                    pop(where["svg"][0])
                 if tag in ENDS:
-                    self.close(ENDS[tag], STOP - ENDS[tag])
-                elif tag not in VOID and self.path and self.path[-1][0] == "p":
-                    self.close({"p"}, STOP)
+                    i = last(ENDS[tag])
+                    if i >= 0 and i > last(STOP - ENDS[tag]):
+                        pop(i)
+                elif tag not in VOID and stack and stack[-1][0] == "p":
+                    pop(len(stack) - 1)
                 if tag not in VOID:
-                    self.open(tag, attrs)
-            elif tag not in VOID:
-                self.open(tag, attrs)
-
-        def handle_startendtag(self, tag, attrs):
-            self.handle_starttag(tag, attrs)
-            if tag not in VOID:
-                self.handle_endtag(tag)
-
-        def handle_endtag(self, tag):
-            if tag in SILENT:
-                self.quiet = max(0, self.quiet - 1)
-            elif self.quiet or tag in VOID:
-                return
-            else:
-                if tag in BLOCK:
-                    self.flush()
-                self.close({tag})
-
-        def handle_data(self, data):
-            if not self.quiet:
-                self.parts.append(data)
-                if any(t == "a" for t, _ in self.path[-3:]):
-                    self.linked += len(data)
-
-        def unknown_decl(self, data):
-            pass
-
-    def blocks(html):
-        p = Parser()
-        p.feed(html or "")
-        # `close` is this parser's own; goahead(1) reads what is left at the end.
-        p.goahead(1)
-        p.flush()
-        return p.blocks
+                    names, mark = (), None
+                    if "=" in attributes:
+                        got = known.get(attributes)
+                        if got is None:
+                            got = known[attributes] = names_of(attributes)
+                        names, mark = got
+                    push(tag, names, mark)
+                    if closed:
+                        pop(len(stack) - 1)
+            elif tag == "a":
+                link = 0 if closing else len(stack) + 1
+            elif not closing and "data-keep" in attributes:
+                inner = names_of(attributes)[1]
+        flush()
+        return out
 
     return blocks
 
 
-def path_features(path) -> list[str]:
-    blocks = [(t, n) for t, n in path if t in BLOCK and t not in ("html", "body")]
-    out = [f"leaf={blocks[-1][0]}" if blocks else "leaf="]
-    above = {t for t, _ in blocks}
-    out += [f"in={t}" for t in above]
-    strong = [t for t, _ in blocks if t in ("article", "main", "nav", "header", "footer", "aside", "form", "section")]
-    if strong:
-        out.append(f"near={strong[-1]}")
-        out.append("chain=" + ">".join(strong[-2:]))
-    for _, names in blocks:
-        for n in names:
-            out.append(f"name={n}")
-            out += [f"word={w}" for w in set(n.replace("_", "-").split("-")) if not w.isdigit()]
-    return sorted(set(out))
-
-
-def text_features(text: str, linked: int) -> list[str]:
+def text_features(text: str, linked: int, form: bool = False) -> list[str]:
     n = text.count(" ") + 1
     share = linked / len(text)
+    words = 0 if n < 3 else 1 if n < 6 else 2 if n < 15 else 3 if n < 40 else 4
     return [
-        f"words={0 if n < 3 else 1 if n < 6 else 2 if n < 15 else 3 if n < 40 else 4}",
+        f"words={words}",
         f"links={0 if share < 0.05 else 1 if share < 0.4 else 2 if share < 0.9 else 3}",
         f"end={text[-1] in '.!?:…'}",
         *(["copyright"] if "©" in text else []),
+        *([f"form&words={words}"] if form else []),
     ]
 
 
@@ -183,7 +302,7 @@ def train(pages: list[str] | None = None, *, steps: int = 150, rate: float = 0.5
     import numpy as np
 
     blocks = block_parser()
-    found = [[(path_features(p) + text_features(t, a), y) for p, t, a, y in blocks(h) if y is not None] for h in (pages or labelled_pages.pages(600))]
+    found = [[(path_features(p) + text_features(t, a, p.form()), y) for p, t, a, y in blocks(h) if y is not None] for h in (pages or labelled_pages.pages(900))]
     found = [x for x in found if x]
     index: dict[str, int] = {}
     for page in found:
@@ -233,27 +352,37 @@ def train(pages: list[str] | None = None, *, steps: int = 150, rate: float = 0.5
 
 def extractor(model: Model):
     """html -> main text."""
-    blocks, memo = block_parser(), {}
+    blocks = block_parser()
     weight = model.weights.get
 
+    def score(place):
+        """The weight of a path's features: a node knows its own and adds its parent's."""
+        todo, at = [], place
+        while at is not None and at.base is None:
+            todo.append(at)
+            at = at.up
+        for p in reversed(todo):
+            p.base = (p.up.base if p.up is not None else 0.0) + sum(weight(f, 0.0) for f in p.own)
+        place.score = place.base + sum(weight(f, 0.0) for f in place.leaf())
+        return place.score
+
     def extract(html):
         found = blocks(html)
-        scores = []
-        for path, text, linked, _ in found:
-            s = memo.get(path)
-            if s is None:
-                if len(memo) > 50_000:
-                    memo.clear()
-                s = memo[path] = sum(weight(f, 0.0) for f in path_features(path))
-            scores.append(s + sum(weight(f, 0.0) for f in text_features(text, linked)))
+        scores = [(score(p) if p.score is None else p.score) + sum(weight(f, 0.0) for f in text_features(t, linked, p.form())) for p, t, linked, _ in found]
         return "\n\n".join(b[1] for b, keep in zip(found, model.viterbi(scores)) if keep)
 
     return extract
 
 
+@lru_cache(maxsize=1)
+def standard() -> Model:
+    """The model that the labelled pages give; fitted once in a process."""
+    return train()
+
+
 def main_text(pages: DataFrame, *, html: str = "html", out: str = "text", model: Model | None = None) -> DataFrame:
     """pages with their main text; a column of the name `out` is replaced."""
-    fitted = model or train()
+    fitted = model or standard()
 
     @F.pandas_udf("string")
     def of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:

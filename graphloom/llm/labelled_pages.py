@@ -2,7 +2,9 @@
 
 A page is a random layout of parts as pages have them: menus, headers, adverts,
 notices, forms, sidebars, reader comments and footers around or inside an
-article. Each leaf block carries its label in the attribute data-keep, which
+article. Some pages are untidy, as real ones are: a form around everything,
+articles without a name or without any tags, end tags left out, names that no
+list has. Each leaf block carries its label in the attribute data-keep, which
 the trainer reads and no feature does.
 """
 
@@ -27,8 +29,14 @@ NAMES = {
 
 
 class Page:
-    def __init__(self, seed: int):
-        self.r, self.out = random.Random(seed), []
+    def __init__(self, seed: int, names: dict[str, list[str]]):
+        self.r, self.out, self.names = random.Random(seed), [], names
+
+    def named(self, part: str) -> str:
+        """A usual name of the part, or one that says nothing."""
+        if self.r.random() < 0.2:
+            return "".join(self.r.choices(SYLLABLES, k=2)) + self.r.choice(["", "-1", "_x"])
+        return self.r.choice(self.names[part])
 
     def words(self, lo: int, hi: int, end: str = "") -> str:
         n = self.r.randint(lo, hi)
@@ -37,7 +45,7 @@ class Page:
     def name(self, part: str) -> str:
         if self.r.random() < 0.2:
             return ""
-        return f' {self.r.choice(["class", "class", "id"])}="{self.r.choice(NAMES[part])}"'
+        return f' {self.r.choice(["class", "class", "id"])}="{self.named(part)}"'
 
     def leaf(self, tag: str, text: str, keep: bool) -> None:
         self.out.append(f'<{tag} data-keep="{int(keep)}">{text}</{tag}>')
@@ -49,7 +57,7 @@ class Page:
 
     def box(self, part: str, tags: list[str], body) -> None:
         tag = self.r.choice(tags)
-        named = self.name(part) if tag != "div" and tag != "section" else f' class="{self.r.choice(NAMES[part])}"'
+        named = self.name(part) if tag != "div" and tag != "section" else f' class="{self.named(part)}"'
         self.inside(tag, named, body)
 
     def links(self) -> None:
@@ -73,7 +81,7 @@ class Page:
     def bare(self, part: str) -> None:
         """A part that is one leaf itself."""
         tag = "footer" if part == "footer" and self.r.random() < 0.6 else "div"
-        named = "" if tag == "footer" and self.r.random() < 0.5 else f' class="{self.r.choice(NAMES[part])}"'
+        named = "" if tag == "footer" and self.r.random() < 0.5 else f' class="{self.named(part)}"'
         self.out.append(f'<{tag}{named} data-keep="0">{"&copy; " * (part == "footer")}{self.words(3, 25, ".")}</{tag}>')
 
     def notice(self) -> None:
@@ -107,7 +115,7 @@ class Page:
         def body():
             self.leaf(self.r.choice(["h2", "h3"]), self.words(1, 3), False)
             for _ in range(self.r.randint(1, 5)):
-                self.inside(self.r.choice(["div", "li", "article"]), f' class="{self.r.choice(NAMES["comments"])}"', lambda: (self.leaf("span", self.words(1, 2), False), self.leaf("p", self.words(3, 60, "."), False)))
+                self.inside(self.r.choice(["div", "li", "article"]), f' class="{self.named("comments")}"', lambda: (self.leaf("span", self.words(1, 2), False), self.leaf("p", self.words(3, 60, "."), False)))
 
         self.box("comments", ["section", "div", "ol"], body)
 
@@ -141,35 +149,75 @@ class Page:
                 elif kind < 0.97:
                     self.r.choice([self.advert, self.notice, self.form, self.sidebar, lambda: self.bare("advert")])()
                 else:
-                    self.inside("div", f' class="{self.r.choice(NAMES["share"])}"', lambda: self.leaf("span", f'<a href="/s">{self.words(1, 2)}</a>', False))
+                    self.inside("div", f' class="{self.named("share")}"', lambda: self.leaf("span", f'<a href="/s">{self.words(1, 2)}</a>', False))
 
         def body():
             if self.r.random() < 0.9:
                 self.leaf("h1", self.words(1, 12), True)
             if self.r.random() < 0.2:
-                self.inside("div", f' class="{self.r.choice(NAMES["article"])}"', prose)
+                self.inside("div", f' class="{self.named("article")}"', prose)
             else:
                 prose()
             if self.r.random() < 0.2:
                 self.comments()
 
+        def bare():
+            """Text between line breaks, with no tag of its own."""
+            return "<br><br>".join(self.words(5, 90, ".") for _ in range(self.r.randint(1, 5)))
+
+        kind = self.r.random()
         tag = self.r.choice(["article", "article", "article", "main", "div", "div", "section"])
-        self.inside(tag, f' class="{self.r.choice(NAMES["article"])}"' if tag in ("div", "section") or self.r.random() < 0.4 else "", body)
+        name = f' class="{self.named("article")}"'
+        if kind < 0.06:
+            self.out.append(f'<{tag}{name} data-keep="1">{bare()}</{tag}>')
+        elif kind < 0.1:
+            self.out.append(bare())
+        elif kind < 0.22:
+            self.inside(self.r.choice(["section", "section", "div", "td"]), "", body)
+        elif kind < 0.26:
+            body()
+        else:
+            self.inside(tag, name if tag in ("div", "section") or self.r.random() < 0.4 else "", body)
 
     def html(self) -> str:
         r = self.r
-        for part, chance in ((self.notice, 0.2), (self.header, 0.4), (self.menu, 0.7), (self.form, 0.2), (self.advert, 0.3), (lambda: self.bare("advert"), 0.5), (lambda: self.bare("notice"), 0.2), (self.sidebar, 0.2)):
+        if r.random() < 0.02:  # text with hardly a tag
+            return f'<body data-keep="1">{self.words(5, 200, ".")}'
+        if r.random() < 0.05:
+            self.out.append('<noscript data-keep="0">' + self.words(4, 20, ".") + "</noscript>")
+        if r.random() < 0.12:  # nothing but the article
+            self.article()
+            return f'<html><body data-keep="1">{"".join(self.out)}</body></html>'
+        around = r.random() < 0.1
+        if around:
+            self.out.append(f'<form id="{self.r.choice(["aspnetForm", "form1", "mainform"])}">')
+        for part, chance in ((self.notice, 0.2), (self.header, 0.4), (self.menu, 0.7), (self.form, 0 if around else 0.2), (self.advert, 0.3), (lambda: self.bare("advert"), 0.5), (lambda: self.bare("notice"), 0.2), (self.sidebar, 0.2)):
             if r.random() < chance:
                 part()
         if r.random() < 0.3:
             self.inside("main", "", self.article)
         elif r.random() < 0.95:
             self.article()
-        for part, chance in ((self.comments, 0.35), (self.sidebar, 0.35), (self.advert, 0.2), (lambda: self.bare("advert"), 0.2), (self.form, 0.2), (self.menu, 0.2), (self.footer, 0.5), (lambda: self.bare("footer"), 0.5), (self.notice, 0.1)):
+        for part, chance in ((self.comments, 0.35), (self.sidebar, 0.35), (self.advert, 0.2), (lambda: self.bare("advert"), 0.2), (self.form, 0 if around else 0.2), (self.menu, 0.2), (self.footer, 0.5), (lambda: self.bare("footer"), 0.5), (self.notice, 0.1)):
             if r.random() < chance:
                 part()
-        return "<html><body>" + "".join(self.out) + "</body></html>"
-
-
-def pages(n: int, seed: int = 0) -> list[str]:
-    return [Page(seed * 1_000_003 + i).html() for i in range(n)]
+        html = "".join(self.out)
+        if r.random() < 0.2:  # end tags that the language lets authors leave out
+            for tag in ("p", "li", "td", "tr"):
+                if r.random() < 0.6:
+                    html = html.replace(f"</{tag}>", "")
+        # Text outside all parts is the article's.
+        return f'<html><body data-keep="1">{html}' + ("</form>" if around else "") + "</body></html>"
+
+
+def pages(n: int, seed: int = 0, names: dict[str, list[str]] | None = None) -> list[str]:
+    return [Page(seed * 1_000_003 + i, names or NAMES).html() for i in range(n)]
+
+
+def halves(seed: int = 0) -> tuple[dict[str, list[str]], dict[str, list[str]]]:
+    """Two sets of names without a common one, to train on the one and measure on the other."""
+    out = {}, {}
+    for part, names in NAMES.items():
+        names = random.Random(f"{seed}{part}").sample(names, len(names))
+        out[0][part], out[1][part] = names[::2], names[1::2]
+    return out
