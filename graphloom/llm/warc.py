@@ -58,8 +58,9 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(kind: str, page: str, url: str, date: str, payload: bytes, mark: str, refers: str | None = None, refers_url: str | None = None) -> bytes:
-    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
+def record(kind: str, page: str, url: str, date: str, payload: bytes | None, size: int, mark: str, refers: str | None = None, refers_url: str | None = None) -> bytes:
+    """One record; a revisit has no payload, only its size."""
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % size
     body = http + (payload if kind == "response" else b"")
     head = {"WARC-Type": kind, "WARC-Target-URI": clean(url), "WARC-Date": date, "WARC-Record-ID": f"<{ID}{page}>", "WARC-Payload-Digest": f"sha1:{mark}"}
     if kind == "revisit":
@@ -74,10 +75,16 @@ def member(data: bytes) -> bytes:
 
 
 def members(data: bytes) -> Iterator[bytes]:
-    while data:
-        z = zlib.decompressobj(31)
-        yield z.decompress(data)
-        data = z.unused_data
+    """The gzip members one after the other; input goes in by small pieces, as what a member leaves over is copied."""
+    view, at = memoryview(data), 0
+    while at < len(view):
+        z, out, step = zlib.decompressobj(31), [], 1 << 11
+        while not z.eof and at < len(view):
+            piece = view[at : at + step]
+            out.append(z.decompress(piece))
+            at, step = at + len(piece), min(2 * step, 1 << 20)
+        at -= len(z.unused_data)
+        yield b"".join(out)
 
 
 def parse(data: bytes) -> dict:
@@ -104,11 +111,17 @@ def _page(ref: str) -> str | None:
 
 
 def write(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: str = "html", date: str = "2024-01-01T00:00:00Z", file_bytes: int = 64 << 20) -> DataFrame:
-    """Writes the archives; one row per record says where it lies."""
+    """Writes the archives; one row per record says where it lies.
+
+    Which record of equal payloads is the response is settled on digests alone.
+    Payloads move once, to tasks by digest and id, so that copies of one page do
+    not meet; revisits move without theirs.
+    """
     spark = pages.sparkSession
     d = pages.select(F.col(key).alias("k"), F.col(url).alias("u"), F.coalesce(F.col(html), F.lit("")).cast("binary").alias("p"))
     d = d.withColumn("d", F.sha1("p"))
-    first = written(d.groupBy("d").agg(F.min("k").alias("first"), F.min(F.when(F.col("k").isNotNull(), F.struct("k", "u"))).alias("_b")).select("d", F.col("first").cast("string").alias("first"), F.col("_b.u").alias("first_url")), "payloads")
+    first = d.groupBy("d").agg(F.min("k").alias("first"), F.min(F.when(F.col("k").isNotNull(), F.struct("k", "u"))).alias("_b"))
+    first = written(first.select("d", "first", F.col("_b.u").alias("first_url")), "payloads")
     base = fresh_path(spark, "warc")
 
     def save(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -120,15 +133,15 @@ def write(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: str
         f, at, n = None, 0, 0
         for b in batches:
             out = []
-            for k, u, p, first, first_url in zip(b["k"], b["u"], b["p"], b["first"], b["first_url"]):
+            for k, u, p, size, mark, first, first_url in zip(b["k"], b["u"], b["p"], b["n"], b["d"], b["first"], b["first_url"]):
                 if f is None or at >= file_bytes:
                     if f is not None:
                         f.close()
-                    name, at, n = f"{task.partitionId():06d}-{task.taskAttemptId()}-{n}.warc.gz", 0, n + 1
+                    name, at, n = f"{task.stageId()}-{task.partitionId():06d}-{task.taskAttemptId()}-{n}.warc.gz", 0, n + 1
                     f = store.open_output_stream(f"{root}/{name}", compression=None)
-                kind = "response" if first is None or k == first else "revisit"
-                mark = digest(p)
-                z = member(record(kind, k or "", u, date, p, mark, first, first_url))
+                kind = "response" if p is not None else "revisit"
+                mark = base64.b32encode(bytes.fromhex(mark)).decode()
+                z = member(record(kind, k or "", u, date, p, size, mark, first, first_url))
                 f.write(z)
                 out.append((url_key(u), k or "", kind, mark, u, name, at, len(z)))
                 at += len(z)
@@ -137,10 +150,34 @@ def write(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: str
         if f is not None:
             f.close()
 
-    rows = d.join(first, "d").select(F.col("k").cast("string").alias("k"), "u", "p", "first", "first_url").mapInPandas(save, CAPTURES)
+    def saved(rows: DataFrame, payload) -> DataFrame:
+        rows = rows.select(F.col("k").cast("string").alias("k"), "u", payload.alias("p"), "n", "d", F.col("first").cast("string").alias("first"), "first_url")
+        return rows.mapInPandas(save, CAPTURES)
+
+    n = F.octet_length("p").cast("long")
+    own = d.withColumn("n", n).join(first.select("d", F.col("first").alias("k"), "first", "first_url").where("k is not null"), ["d", "k"])
+    # Payloads that no row with an id has: all their rows are responses.
+    nameless = d.withColumn("n", n).where("k is null").join(first.where("first is null"), "d")
+    again = d.select("k", "u", "d", n.alias("n")).join(first.where("first is not null"), "d").where("k is null or k <> first")
+    rows = saved(own, F.col("p")).union(saved(nameless, F.col("p"))).union(saved(again, F.lit(None).cast("binary")))
     return written(rows.withColumn("folder", F.lit(base)), "captures")
 
 
+RECORD = "page string, record_type string, url string, payload_digest string, payload_bytes long, checked_digest string, refers_to string, refers_url string"
+
+
+def _seen(data: bytes) -> tuple:
+    """A row of RECORD for one record's bytes: what its headers say, and its payload's size and digest."""
+    h = parse(data)
+    p = h["payload"]
+    return _page(h["WARC-Record-ID"]), h["WARC-Type"], h["WARC-Target-URI"], h["WARC-Payload-Digest"].removeprefix("sha1:"), None if p is None else len(p), None if p is None else digest(p), _page(h.get("WARC-Refers-To", "")), h.get("WARC-Refers-To-Target-URI")
+
+
+def _frame(rows: list, schema: str) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+    return out.astype({"payload_bytes": "Int64"}) if "payload_bytes" in out else out
+
+
 def read(captures: DataFrame) -> DataFrame:
     """Every record of the archives that captures names, read from start to end."""
 
@@ -150,16 +187,12 @@ def read(captures: DataFrame) -> DataFrame:
                 store, root = _fs(folder)
                 with store.open_input_stream(f"{root}/{file}", compression=None) as f:
                     data = f.read()
-                out = []
-                for m in members(data):
-                    h = parse(m)
-                    p = h["payload"]
-                    out.append((_page(h["WARC-Record-ID"]), h["WARC-Type"], h["WARC-Target-URI"], h["WARC-Payload-Digest"].removeprefix("sha1:"), None if p is None else len(p), None if p is None else digest(p), _page(h.get("WARC-Refers-To", "")), h.get("WARC-Refers-To-Target-URI")))
+                out = [_seen(m) for m in members(data)]
                 if out:
-                    yield pd.DataFrame(out, columns=["page", "record_type", "url", "payload_digest", "payload_bytes", "checked_digest", "refers_to", "refers_url"]).astype({"payload_bytes": "Int64"})
+                    yield _frame(out, RECORD)
 
     files = captures.select("folder", "file").distinct()
-    return files.repartition(partitions(captures.sparkSession), "file").mapInPandas(load, "page string, record_type string, url string, payload_digest string, payload_bytes long, checked_digest string, refers_to string, refers_url string")
+    return files.repartition(partitions(captures.sparkSession), "file").mapInPandas(load, RECORD)
 
 
 def index(captures: DataFrame, *, block_lines: int = 512) -> DataFrame:
@@ -240,55 +273,76 @@ def lookup(shards: DataFrame, queries: DataFrame) -> DataFrame:
                         x = near[1][at]
                         out.append((k, "" if x[1] == "-" else x[1], x[2], x[3], x[4], int(x[5]), int(x[6])))
                         at += 1
+                    if len(out) >= 20_000:
+                        yield _frame(out, FOUND)
+                        out = []
             if out:
-                yield pd.DataFrame(out, columns=[c.split()[0] for c in FOUND.split(", ")])
+                yield _frame(out, FOUND)
 
     q = queries.select("key").distinct().mapInPandas(shard, "key string, shard int")
     n = partitions(shards.sparkSession)
     return q.repartition(n, "shard", "key").sortWithinPartitions("shard", "key").mapInPandas(find, FOUND)
 
 
-def fetch(found: DataFrame, folder: str) -> DataFrame:
-    """found with the payload's length and digest, read from the archives by range."""
+def fetch(found: DataFrame, folder: str, *, span: int = 4 << 20) -> DataFrame:
+    """The records of found, read from the archives by range; ranges that follow each other are read up to span at once."""
 
     def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, root = _fs(folder)
         name, f = None, None
+
+        def ranges(b):
+            """(file, offset, lengths) of rows that lie side by side."""
+            now = None
+            for file, at, n in zip(b["file"], b["offset"], b["length"]):
+                if now and now[0] == file and now[1] + now[3] == at and now[3] + n <= span:
+                    now[2].append(n)
+                    now[3] += n
+                else:
+                    if now:
+                        yield now
+                    now = [file, at, [n], n]
+            if now:
+                yield now
+
         for b in batches:
             out = []
-            for r in b.itertuples(index=False):
-                if r.file != name:
-                    name, f = r.file, store.open_input_file(f"{root}/{r.file}")
-                f.seek(r.offset)
-                p = parse(zlib.decompress(f.read(r.length), 31))["payload"]
-                out.append((r.record, len(p or b""), digest(p or b"")))
+            for file, at, lengths, total in ranges(b):
+                if file != name:
+                    if f is not None:
+                        f.close()
+                    name, f = file, store.open_input_file(f"{root}/{file}")
+                f.seek(at)
+                data, used = memoryview(f.read(total)), 0
+                for n in lengths:
+                    out.append(_seen(zlib.decompress(data[used : used + n], 31)))
+                    used += n
             if out:
-                yield pd.DataFrame(out, columns=["record", "payload_bytes", "digest"])
+                yield _frame(out, RECORD)
 
-    return found.where("kind = 'response'").repartition(partitions(found.sparkSession), "file", "offset").sortWithinPartitions("file", "offset").mapInPandas(load, "record string, payload_bytes long, digest string")
+    rows = found.select("file", "offset", "length").repartitionByRange(partitions(found.sparkSession), "file", "offset").sortWithinPartitions("file", "offset")
+    return rows.mapInPandas(load, RECORD)
 
 
 def round_trip(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """Writes pages to archives, indexes these, and reads every record back.
+    """Writes pages to archives, indexes these, and reads every record back through the index.
 
-    What a revisit leaves out, it gets from the response that it refers to,
-    found through the index and read by range.
+    The keys of all URLs are looked up; every capture found is read by its range.
+    What a revisit leaves out, it gets from the response that it refers to.
     """
+    spark = pages.sparkSession
     kind = dict(pages.select(F.col(key).alias("k")).dtypes)["k"]
     captures = write(pages, key=key, url=url, html=html)
-    shards = index(captures)
-    records = written(read(captures), "records")
-    row = captures.select("folder").first()
-    again = records.where("record_type = 'revisit'").select(F.col("refers_to"), F.col("refers_url").alias("u")).distinct()
+    folder = captures.select("folder").first()
     as_key = F.pandas_udf(lambda s: s.map(url_key), "string")
-    again = again.withColumn("key", as_key("u"))
-    if row:
-        hits = lookup(shards, again).join(again.select("key", F.col("refers_to").alias("record")).distinct(), ["key", "record"], "left_semi")
-        full = written(fetch(hits, row["folder"]).groupBy("record").agg(F.max("payload_bytes").alias("_n"), F.max("digest").alias("_d")), "referred")
-    else:
-        full = pages.sparkSession.createDataFrame([], "record string, _n long, _d string")
-    got = records.join(full, records["refers_to"] == full["record"], "left")
+    found = lookup(index(captures), pages.select(F.col(url).alias("u")).distinct().select(as_key("u").alias("key")))
+    records = written(fetch(found, folder[0]), "records") if folder else spark.createDataFrame([], RECORD)
+    full = records.where("record_type = 'response' and page is not null").select(F.col("page").alias("_page"), F.col("payload_bytes").alias("_n"), F.col("checked_digest").alias("_d"))
+    full = full.groupBy("_page", "_d").agg(F.max("_n").alias("_n"))
+    revisits = records.where("record_type = 'revisit'").join(full, (F.col("refers_to") == F.col("_page")) & (F.col("payload_digest") == F.col("_d")), "left")
+    responses = records.where("record_type = 'response'").select("*", *[F.lit(None).alias(c) for c in full.columns])
+    got = responses.unionByName(revisits)
     return got.select(
         F.col("page").cast(kind).alias(key), F.coalesce("payload_bytes", "_n").alias("payload_bytes"), F.coalesce("checked_digest", "_d").alias("payload_digest"),
-        "record_type", F.col("refers_to").cast(kind).alias("refers_to"), F.col("payload_digest").alias("recorded_digest"), records["url"],
+        "record_type", F.col("refers_to").cast(kind).alias("refers_to"), F.col("payload_digest").alias("recorded_digest"), "url",
     )

@@ -47,6 +47,31 @@ def test_warc_index_finds_every_capture(spark):
     assert got == want
 
 
+def test_warc_through_the_index_is_what_the_archives_hold(spark):
+    df, rows = pages(spark)
+    captures = warc.write(df, file_bytes=2000)
+    asked = captures.select("key")
+    got = warc.fetch(warc.lookup(warc.index(captures, block_lines=3), asked), captures.first()["folder"], span=500)
+    assert Counter(map(tuple, got.collect())) == Counter(map(tuple, warc.read(captures).collect())) and got.count() == len(rows)
+
+
+def test_warc_keeps_very_long_pages_and_ids_with_two_pages(spark):
+    long = "<p>word " * 400_000
+    rows = [(1, "http://a/", long), (2, "http://a/", long), (1, "http://a/", "other"), (3, None, "other"), (None, "u", None), (None, "u", None)]
+    got = warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert Counter((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in got) == Counter(
+        [(1, len(long), "response", None), (2, len(long), "revisit", 1), (1, 5, "response", None), (3, 5, "revisit", 1), (None, 0, "response", None), (None, 0, "response", None)]
+    )
+    assert all(r["payload_digest"] == r["recorded_digest"] for r in got)
+
+
+def test_warc_archives_of_many_records_are_read_in_one_pass():
+    one = [warc.member(b"WARC/1.1\r\n" + np.random.default_rng(i).bytes(1700)) for i in range(16_000)]
+    start = time.process_time()
+    assert sum(1 for _ in warc.members(b"".join(one))) == len(one)
+    assert time.process_time() - start < 2
+
+
 def test_url_key():
     assert warc.url_key("http://User@b.A.org:80/x y?z") == "org,a,b:80)/x%20y?z"
     assert warc.url_key(None) == "" and warc.url_key("//a.b") == "b,a)/" and warc.url_key("plain\n") == "plain%0A"
