@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -12,9 +14,11 @@ WORD_GAP = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a local one only where none is set (tests)."""
+    """The cluster's checkpoint folder. Where none is set there is a local one on a local master (tests), else none."""
     base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="graphloom-"))
         base = spark.sparkContext.getCheckpointDir()
     return base.rstrip("/")
@@ -28,16 +32,46 @@ def _read(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: df as a Parquet table in the shared folder, read again."""
+#: Tables that this process has written for itself and not removed, in order.
+_MADE: list[str] = []
+
+
+def _write(df: DataFrame, name: str) -> str:
     path = fresh_path(df.sparkSession, name)
+    if not _MADE:
+        atexit.register(_leave, df.sparkSession)
+    _MADE.append(path)
     df.write.parquet(path)
-    return _read(df.sparkSession, path, df.schema)
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Cuts the lineage: df as a Parquet table in the shared folder, read again."""
+    return _read(df.sparkSession, _write(df, name), df.schema)
 
 
 def remove(spark: SparkSession, path: str) -> None:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    if path in _MADE:
+        _MADE.remove(path)
+
+
+def made() -> int:
+    """How many tables of this process there are: a mark for sweep."""
+    return len(_MADE)
+
+
+def sweep(spark: SparkSession, since: int, *more: str) -> None:
+    """Removes the tables made since the mark; results that read them must have been written."""
+    for p in [*_MADE[since:], *more]:
+        remove(spark, p)
+
+
+def _leave(spark: SparkSession) -> None:
+    """At the process's end nothing reads its tables any more."""
+    with contextlib.suppress(Exception):  # the session may have gone first
+        sweep(spark, 0)
 
 
 class Scratch:
@@ -47,8 +81,7 @@ class Scratch:
         self.spark, self.paths = spark, []
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        path = fresh_path(self.spark, name)
-        df.write.parquet(path)
+        path = _write(df, name)
         self.paths.append(path)
         return _read(self.spark, path, df.schema)
 
@@ -59,6 +92,33 @@ class Scratch:
         self.paths = self.paths[len(gone) :]
 
 
+#: A key is hot if over one row in HOT has it, so there are fewer hot keys than this.
+HOT, SALTS = 1024, 16
+
+
+def hot_keys(counts: DataFrame, on: list[str], n: str = "n") -> DataFrame | None:
+    """The keys of counts(on, n) that over one row in HOT of those counted has; None without any. At most HOT rows, whatever the table."""
+    total = counts.agg(F.sum(n)).first()[0] or 0
+    hot = counts.where((F.col(n) * HOT > total) & (F.col(n) > HOT)).select(*on).collect()
+    return counts.sparkSession.createDataFrame(hot, counts.select(*on).schema) if hot else None
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], how: str, hot: DataFrame | None) -> DataFrame:
+    """left join right where rows of a hot key are dealt to SALTS tasks, with a copy of the right side for each.
+
+    The salt is the task that a row comes from, so a task that runs again deals
+    its rows alike.
+    """
+    if hot is None:
+        return left.join(right, on, how)
+    mark = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+    salt = F.when(F.col("_hot"), F.spark_partition_id() % SALTS).otherwise(0)
+    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    a = left.join(mark, on, "left").withColumn("_salt", salt).drop("_hot")
+    b = right.join(mark, on, "left").withColumn("_salt", F.explode(salts)).drop("_hot")
+    return a.join(b, [*on, "_salt"], how).drop("_salt")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -83,6 +143,20 @@ def offsets(df: DataFrame, bucket: str, within: list[str], total: Column) -> Dat
     return sums.select(*within, bucket, F.coalesce(F.sum("_sum").over(w), F.lit(0)).alias("_off"))
 
 
+def col(name: str) -> Column:
+    """The column of this very name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def boxed(docs: DataFrame, **more: Column) -> DataFrame:
+    """Each row as one column `row`, with more columns beside it that clash with none of its own."""
+    return docs.select(F.struct(*map(col, docs.columns)).alias("row"), *[c.alias(n) for n, c in more.items()])
+
+
+def unboxed(df: DataFrame) -> DataFrame:
+    return df.select("row.*")
+
+
 def words_of(text: Column) -> Column:
     """The words [^\\x20\\x09-\\x0D]+ of a text; none for null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), WORD_GAP), "")

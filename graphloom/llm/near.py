@@ -1,19 +1,26 @@
-"""Near-duplicates by shared shingles: a set-similarity join with a prefix filter.
+"""Near-duplicates at 80 % common shingles: SimHash balls first, then what these cannot reach.
 
 Two texts link where the Jaccard similarity of their sets of 5-word shingles is
-0.8 or more. No such pair is missed:
-
-1. The shingles of each text are put in one order that all texts share, those
+0.8 or more. At 0.8 two 64-bit SimHash fingerprints differ in about ten bits,
+and balls of half that radius are too large to emit; so the ball hashing of
+`simhash` (3 bits) finds the closest pairs, each checked on the whole sets, and
+a join on shared shingles the rest. No pair is missed:
+
+1. Every set has a fingerprint over its shingles. Sets of one fingerprint and
+   sets of linked ones are compared whole; what is similar is one component.
+   Large groups of near copies mostly end here.
+2. The shingles of each text are put in one order that all texts share, those
    that a sample finds common last. A pair of 80 of 100 shares at least 80 % of
    the larger set, so the first fifth (and one) of both have a shingle in
    common. Texts that share none of these are no candidates. The sample changes
    what this costs, not what it finds.
-2. Of the texts at one shingle, neighbours are compared, whole sets against
+3. Of the texts at one shingle, neighbours are compared, whole sets against
    whole sets, and those that link become components; again in other orders
-   while many pairs are left and a round halves them. A group of near copies
-   is mostly one component after few such rounds.
-3. What is left at a shingle in different components is compared pair by pair;
-   for many texts just below 80 % of each other this grows with their square.
+   while many pairs are left and many of them link.
+4. What is left at a shingle in different components are pairs, of which sizes,
+   places and parity bits rule out most before whole sets are compared: 512 bits
+   say of how many elements with a bit a set has an odd number, so in as many
+   bits as two sets disagree, at least, they differ by an element.
 
 Texts with equal sets are one node from the start.
 
@@ -32,19 +39,23 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import simhash
 from ._components import components
-from ._shared import written
+from ._shared import boxed, col, unboxed, written
 
 SHINGLE, PERCENT, SEED = 5, 80, 42
 #: One text in SAMPLE is looked at for common shingles, and so many of these are remembered.
 SAMPLE, COMMON = 16, 50_000
 WIDTH = 6
-#: Neighbours are compared again, in another order, while more pairs than this are left for each text at a shingle.
-CROWD = 4
+#: Neighbours are compared again, in other orders, while more pairs than CROWD are left for each text at a shingle
+#: and the comparison before linked one in FEW of these or more.
+CROWD, FEW = 4, 64
+#: Words of 64 parity bits for each set.
+PARITY = 8
 
 
-def shingles(text: str | None, shingle: int = SHINGLE):
-    """The set of a text's shingles as sorted 48-bit numbers."""
+def hashes(text: str | None, shingle: int = SHINGLE):
+    """The set of a text's shingles as sorted 64-bit numbers."""
     import numpy as np
     import xxhash
 
@@ -56,7 +67,22 @@ def shingles(text: str | None, shingle: int = SHINGLE):
         each = [h(b" ".join(words), SEED)]
     else:
         each = [h(b" ".join(x), SEED) for x in zip(*(words[i:] for i in range(shingle)))]
-    return np.unique(np.array(each, dtype="<u8") >> np.uint64(64 - 8 * WIDTH))
+    return np.unique(np.array(each, dtype="<u8"))
+
+
+def shingles(hashed):
+    """The same as sorted 48-bit numbers."""
+    import numpy as np
+
+    return np.unique(hashed >> np.uint64(64 - 8 * WIDTH))
+
+
+def parity(grams):
+    """Which of 512 remainders an odd number of elements has, as 64-bit numbers."""
+    import numpy as np
+
+    odd = np.bincount((grams % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view("<i8")
 
 
 def _bytes(grams) -> bytes:
@@ -78,7 +104,7 @@ def _common(docs: DataFrame, text: str, shingle: int) -> list[int]:
 
     @F.pandas_udf("array<long>")
     def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingles(t, shingle).astype("int64") for t in texts], dtype=object)
+        return pd.Series([shingles(hashes(t, shingle)).astype("int64") for t in texts], dtype=object)
 
     some = docs.where(F.pmod(F.xxhash64(text), F.lit(SAMPLE)) == 0)
     got = some.select(F.explode(of(F.col(text))).alias("gram")).groupBy("gram").count().where("count > 1")
@@ -86,7 +112,7 @@ def _common(docs: DataFrame, text: str, shingle: int) -> list[int]:
 
 
 def sets(docs: DataFrame, key: str = "doc_id", text: str = "text", *, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(key, h, sid, n, head, grams): a row's text hash, its set's name and size, the shingles it is found by, the whole set."""
+    """(key, h, sid, n, fp, head, grams): a row's text hash, its set's name, size and fingerprint, the shingles it is found by, the whole set."""
     common = _common(docs, text, shingle)
     kind = dict(docs.select(F.col(key).alias("k")).dtypes)["k"]
 
@@ -100,8 +126,10 @@ def sets(docs: DataFrame, key: str = "doc_id", text: str = "text", *, shingle: i
         for b in batches:
             out = []
             for t in b["t"]:
-                g = shingles(t, shingle)
+                hashed = hashes(t, shingle)
+                g = shingles(hashed)
                 n = len(g)
+                fp = simhash.of_hashes(hashed) if n else 0
                 rank = np.zeros(n, dtype=np.int64)
                 if len(known) and n:
                     at = np.minimum(np.searchsorted(known, g), len(known) - 1)
@@ -109,12 +137,12 @@ def sets(docs: DataFrame, key: str = "doc_id", text: str = "text", *, shingle: i
                 least = -(-percent * n // 100)
                 head = g[np.argsort(rank, kind="stable")][: n - least + 1] if n else g
                 data = _bytes(g)
-                out.append((xxhash.xxh64_intdigest(data, SEED) - (1 << 63), n, head.astype("int64"), data))
-            got = pd.DataFrame(out, columns=["sid", "n", "head", "grams"])
+                out.append((xxhash.xxh64_intdigest(data, SEED) - (1 << 63), n, fp - (fp >> 63 << 64), head.astype("int64"), data))
+            got = pd.DataFrame(out, columns=["sid", "n", "fp", "head", "grams"])
             yield pd.concat([b[["k", "h"]].reset_index(drop=True), got], axis=1)
 
     d = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("h"), F.col(text).alias("t"))
-    got = d.mapInPandas(read, f"k {kind}, h long, sid long, n int, head array<long>, grams binary")
+    got = d.mapInPandas(read, f"k {kind}, h long, sid long, n int, fp long, head array<long>, grams binary")
     return got.withColumnRenamed("k", key)
 
 
@@ -146,41 +174,76 @@ def _verified(pairs: DataFrame, each: DataFrame, percent: int) -> DataFrame:
     return written(got.where(similar("_x", "_y")).select("a", "b"), "similar")
 
 
-def links(each: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(a, b): similar pairs of different sets that connect all that are similar."""
+def _balls(each: DataFrame, percent: int) -> DataFrame:
+    """Similar pairs among sets whose fingerprints are equal or linked: a set for each such set, and one for each link."""
+    fps = each.where("n > 0").select("fp", "sid").distinct()
+    least = written(fps.groupBy("fp").agg(F.min("sid").alias("least"), F.count(F.lit(1)).alias("m")), "set-fingerprints")
+    own = fps.join(least.where("m > 1"), "fp").where("sid <> least").select(F.col("least").alias("a"), F.col("sid").alias("b"))
+    ends = least.select(F.col("fp"), F.col("least"))
+    linked = simhash.links(least.select("fp")).toDF("fa", "fb").join(ends.toDF("fa", "a"), "fa").join(ends.toDF("fb", "b"), "fb").select("a", "b")
+    pairs = own.union(linked).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return _verified(pairs, each, percent)
+
+
+def _merged(roots: DataFrame | None, new: DataFrame) -> DataFrame:
+    """(sid, root) of all sets with a link so far: the new links join what are components already."""
+    if roots is None:
+        return components(new).withColumnRenamed("node", "sid")
+    at = lambda c: F.coalesce(F.col(c), F.col(c[-1]))
+    ends = new.join(roots.toDF("a", "_a"), "a", "left").join(roots.toDF("b", "_b"), "b", "left")
+    ends = ends.select("a", "b", at("_a").alias("ra"), at("_b").alias("rb"))
+    over = components(ends.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).toDF("root", "_top")
+    every = roots.unionByName(ends.select(F.explode(F.array(F.struct(F.col("a").alias("sid"), F.col("ra").alias("root")), F.struct(F.col("b").alias("sid"), F.col("rb").alias("root")))).alias("x")).select("x.*").where("sid = root")).distinct()
+    return written(every.join(over, "root", "left").select("sid", F.coalesce("_top", "root").alias("root")), "roots")
+
+
+def _roots(each: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(sid, root) of the sets that are similar to others: root names the component."""
     w = Window.partitionBy("gram")
     at = each.select("sid", "n", F.posexplode("head").alias("pos", "gram"))
     at = at.withColumns({"_lo": F.min("sid").over(w), "_hi": F.max("sid").over(w)}).where("_lo <> _hi")
     at = written(at.select("gram", "sid", "n", "pos").distinct(), "shared-shingles")
-    rest, found, turn, left = at.withColumn("root", F.col("sid")), None, 0, None
+    roots, turn = _merged(None, _balls(each, percent)), 0
     while True:
-        order = ["n", "sid"] if not turn else [F.xxhash64("sid", "gram", F.lit(turn)), "sid"]
-        by = w.orderBy(*order)
-        near = rest.withColumns({f"_{c}": F.lag(c).over(by) for c in ("sid", "n", "pos", "root")})
-        near = near.where(F.col("_sid").isNotNull() & (F.col("root") != F.col("_root")) & _may("", "_", percent))
-        new = _verified(near.select(F.least("sid", "_sid").alias("a"), F.greatest("sid", "_sid").alias("b")).distinct(), each, percent)
-        found = new if found is None else written(found.union(new), "links")
-        labels = components(found).withColumnRenamed("node", "sid")
-        rest = at.join(labels, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-        rest = rest.withColumns({"_lo": F.min("root").over(w), "_hi": F.max("root").over(w), "_m": F.count(F.lit(1)).over(w)}).where("_lo <> _hi and _m > 2")
+        rest = at.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+        rest = rest.withColumns({"_lo": F.min("root").over(w), "_hi": F.max("root").over(w)}).where("_lo <> _hi")
         rest = written(rest.select("gram", "sid", "n", "pos", "root"), "unsettled-shingles")
-        # Pairs that are left where neither a component nor a comparison of neighbours has settled them.
+        # Pairs that are left where no component has settled them.
         c = rest.groupBy("gram", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("gram").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("own"))
         c = c.agg(F.sum("m").alias("rows"), F.sum((F.col("m") * F.col("m") - F.col("own")) / 2).alias("pairs")).first()
-        if not c["rows"] or c["pairs"] <= CROWD * c["rows"] or turn > 1 and c["pairs"] > left / 2:
+        if not c["rows"] or c["pairs"] <= CROWD * c["rows"] or turn and merged * FEW < c["rows"]:
+            break
+        # Neighbours in two orders: by size, and by chance.
+        near = None
+        for order in (["n", "sid"], [F.xxhash64("sid", "gram", F.lit(turn)), F.col("sid")]):
+            by = w.orderBy(*order)
+            d = rest.withColumns({f"_{c}": F.lag(c).over(by) for c in ("sid", "n", "pos", "root")})
+            d = d.where(F.col("_sid").isNotNull() & (F.col("root") != F.col("_root")) & _may("", "_", percent)).select(F.least("sid", "_sid").alias("a"), F.greatest("sid", "_sid").alias("b"))
+            near = d if near is None else near.union(d)
+        new = _verified(near.distinct(), each, percent)
+        merged = new.count()
+        if not merged:
             break
-        turn, left = turn + 1, c["pairs"]
-    y = rest.toDF("gram", "_sid", "_n", "_pos", "_root")
-    far = rest.join(y, (rest["gram"] == y["gram"]) & F.expr("sid < _sid and root <> _root") & _may("", "_", percent))
+        roots, turn = _merged(roots, new), turn + 1
+
+    @F.pandas_udf("array<long>")
+    def parities(grams: pd.Series) -> pd.Series:
+        return pd.Series([parity(_numbers(g)) for g in grams], dtype=object)
+
+    sketch = each.select("sid", "grams").join(rest.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.first("grams").alias("grams"))
+    rest = written(rest.join(sketch.select("sid", parities("grams").alias("odd")), "sid").select("gram", "sid", "n", "pos", "root", "odd"), "sketched")
+    y = rest.toDF("gram", "_sid", "_n", "_pos", "_root", "_odd")
+    differ = sum((F.bit_count(F.get("odd", F.lit(i)).bitwiseXOR(F.get("_odd", F.lit(i)))) for i in range(1, PARITY)), F.bit_count(F.get("odd", F.lit(0)).bitwiseXOR(F.get("_odd", F.lit(0)))))
+    near_enough = differ * (100 + percent) <= (F.col("n") + F.col("_n")) * (100 - percent)
+    far = rest.join(y, (rest["gram"] == y["gram"]) & F.expr("sid < _sid and root <> _root") & _may("", "_", percent) & near_enough)
     far = far.select(F.col("sid").alias("a"), F.col("_sid").alias("b")).distinct()
-    return found.union(_verified(far, each, percent))
+    return _merged(roots, _verified(far, each, percent))
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", *, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(key, h, root, component_id) for each row: its text's hash, its class, the class's smallest key."""
     each = written(sets(docs, key, text, shingle=shingle, percent=percent), "shingle-sets")
-    comp = components(links(each, percent)).withColumnRenamed("node", "sid")
-    rooted = each.select(key, "h", "sid").join(comp, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    rooted = each.select(key, "h", "sid").join(_roots(each, percent), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     rooted = written(rooted.select(key, "h", "root"), "rooted")
     least = rooted.groupBy("root").agg(F.min(key).alias("component_id"))
     return rooted.join(least, "root").select(key, "h", "root", "component_id")
@@ -192,9 +255,7 @@ def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", *, s
     Rows whose key is null stay: nothing names the one to keep.
     """
     got = classes(docs, key, text, shingle=shingle, percent=percent)
-    keep = got.where(F.col(key) == F.col("component_id")).groupBy("root", F.col(key).alias("_k")).agg(F.min("h").alias("_h")).select("_k", "_h").distinct()
-    hashed = docs.withColumn("_text_hash", F.xxhash64(text))
-    kept = hashed.join(keep, (F.col(key) == F.col("_k")) & (F.col("_text_hash") == F.col("_h")), "left_semi")
-    w = Window.partitionBy(key, "_text_hash").orderBy(F.lit(0))
-    kept = kept.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_text_hash")
-    return kept.unionByName(docs.where(F.col(key).isNull()))
+    keep = got.where(F.col(key) == F.col("component_id")).groupBy("root", F.col(key).alias("k")).agg(F.min("h").alias("h")).select("k", "h").distinct()
+    d = boxed(docs, k=col(key), h=F.xxhash64(col(text)))
+    kept = d.join(keep, ["k", "h"], "left_semi").withColumn("nth", F.row_number().over(Window.partitionBy("k", "h").orderBy(F.lit(0)))).where("nth = 1")
+    return unboxed(kept).unionByName(docs.where(col(key).isNull()))

@@ -15,7 +15,8 @@ fingerprints that meet on one are verified:
    apart, others at most 3 from these: each links to the variant's smallest
    such member. These links connect what all pairs would, one per member.
 
-Equal fingerprints are one node from the start, so copies never meet as pairs.
+Equal fingerprints are one node from the start, so copies never meet as pairs;
+those that many rows have are salted when rows get their class.
 
 Defined results: null, empty and word-less texts have fingerprint zero, which
 links like any other; repeated rows share a fingerprint and a class; null ids
@@ -32,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._components import components
-from ._shared import written
+from ._shared import hot_keys, spread_join, written
 
 BITS, SHINGLE, SEED = 64, 3, 42
 THIRDS = (range(0, 21), range(21, 42), range(42, 64))
@@ -56,8 +57,14 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
         each = [h(b"%b %b %b" % x, SEED) for x in zip(words, words[1:], words[2:])]
     else:
         each = [h(b" ".join(words[i : i + shingle]), SEED) for i in range(n)]
-    hashes = np.array(each, dtype="<u8")
-    ones = np.zeros(BITS, dtype=np.int64)
+    return of_hashes(np.array(each, dtype="<u8"))
+
+
+def of_hashes(hashes) -> int:
+    """The bits that over half of these 64-bit hashes have set."""
+    import numpy as np
+
+    n, ones = len(hashes), np.zeros(BITS, dtype=np.int64)
     for at in range(0, n, 1 << 16):
         bits = np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones += bits.sum(axis=0, dtype=np.int64)
@@ -109,21 +116,9 @@ def links(fps: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, fp, component_id): component_id is the smallest key reachable over links."""
     each = written(fingerprints(docs, key, text), "fingerprints")
-    fps = written(each.groupBy("fp").agg(F.min(key).alias("least")), "distinct-fingerprints")
+    fps = written(each.groupBy("fp").agg(F.min(key).alias("least"), F.count(F.lit(1)).alias("n")), "distinct-fingerprints")
     comp = components(links(fps.select("fp"))).withColumnRenamed("node", "fp")
     rooted = written(fps.join(comp, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return each.join(rooted.select("fp", "root").join(least, "root").drop("root"), "fp").select(key, "fp", "component_id")
-
-
-def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs without all but one of each class: the smallest key, one row of it.
-
-    Rows whose key is null stay: nothing names the one to keep.
-    """
-    got = classes(docs, key, text)
-    keep = got.where(F.col(key) == F.col("component_id")).select(F.col(key).alias("_k")).distinct()
-    kept = docs.join(keep, F.col(key) == F.col("_k"), "left_semi")
-    w = Window.partitionBy(key).orderBy(F.xxhash64(text))
-    kept = kept.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
-    return kept.unionByName(docs.where(F.col(key).isNull()))
+    found = rooted.select("fp", "root").join(least, "root").drop("root")
+    return spread_join(each, found, ["fp"], "inner", hot_keys(fps, ["fp"])).select(key, "fp", "component_id")
