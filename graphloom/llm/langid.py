@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import boxed, col, unboxed
+
 DIM = 2048
 UNKNOWN = "und"
 #: A language whose share of the decoding leads by less is ambiguous.
@@ -185,3 +187,9 @@ def predict(docs: DataFrame, model: Model | None, *, text: str = "text", dim: in
 
     got = docs.withColumn("_langid", of(F.col(text)))
     return got.withColumns({c: F.col(f"_langid.{c}") for c in ("lang_pred", "score", "ambiguous")}).drop("_langid")
+
+
+def known(docs: DataFrame, model: Model | None, *, text: str = "text") -> DataFrame:
+    """The rows of docs that have a language, as they are; ambiguous ones stay."""
+    got = predict(boxed(docs, text=col(text)), model)
+    return unboxed(got.where(F.col("lang_pred") != UNKNOWN))

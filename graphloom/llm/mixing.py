@@ -27,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import offsets, ranked, words_of, written
+from ._shared import boxed, col, offsets, ranked, unboxed, words_of, written
 
 LATTICE = 1 << 31
 GOLDEN = 1327217885  # 2**31 / golden ratio, made odd
@@ -87,9 +87,11 @@ def _schedule(sources: DataFrame, block: int, slots: int) -> DataFrame:
     return s.select("slot", "sid", "rank", "epoch", "block", F.least(whole, left).alias("words"), whole.alias("_whole"))
 
 
-def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (1, 2, 3), most: int = 3, block: int = 256, buckets: int = 1024) -> Mix:
+def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (1, 2, 3), most: int = 3, block: int = 256, buckets: int = 1024, row: str | None = None) -> Mix:
+    """row: a column that tells rows apart; without one rows get numbers of their own."""
+    rid = F.monotonically_increasing_id() if row is None else col(row)
     crc = F.coalesce(F.crc32(F.col(text).cast("binary")), F.lit(0)).cast("long")
-    t = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(key).alias(key), F.col(source).alias("source"), F.size(words_of(F.col(text))).cast("long").alias("size"), crc.alias("text_crc32"))
+    t = docs.select(rid.alias("rid"), F.col(key).alias(key), F.col(source).alias("source"), F.size(words_of(F.col(text))).cast("long").alias("size"), crc.alias("text_crc32"))
     t = written(t.withColumn("h", F.xxhash64(key, "text_crc32")), "sizes")
 
     by = t.groupBy("source").agg(F.sum("size").alias("size"))
@@ -123,13 +125,11 @@ def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str
 def mixed_rows(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """The rows of docs as often as the mix takes them, to the nearest whole copy.
 
-    Rows without words are no part of the shares and stay once.
+    Each row is taken for itself, whatever it has in common with others. Rows
+    without words are no part of the shares and stay once.
     """
-    names = docs.columns
-    took = mix(docs, key=key, text=text, source=source, **options).taken
-    copies = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.floor(F.col("taken") / F.col("size") + 0.5))
-    took = took.groupBy(F.col(key).alias("_k"), F.col("source").alias("_s"), F.col("text_crc32").alias("_c")).agg(F.sum(copies).alias("_copies"))
-    crc = F.coalesce(F.crc32(F.col(text).cast("binary")), F.lit(0)).cast("long")
-    one = docs.withColumns({"_k1": F.col(key), "_s1": F.col(source), "_c1": crc}).dropDuplicates(["_k1", "_s1", "_c1"])
-    out = one.join(took.where("_copies > 0"), F.col("_k1").eqNullSafe(F.col("_k")) & F.col("_s1").eqNullSafe(F.col("_s")) & (F.col("_c1") == F.col("_c")))
-    return out.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*[F.col(f"`{c}`") for c in names])
+    d = written(boxed(docs, rid=F.monotonically_increasing_id(), key=col(key), text=col(text), source=col(source)), "rows")
+    took = mix(d, key="key", text="text", source="source", row="rid", **options).taken
+    copies = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int")
+    out = d.select("row", "rid").join(took.select("rid", copies.alias("copies")).where("copies > 0"), "rid")
+    return unboxed(out.select("row", F.explode(F.sequence(F.lit(1), "copies"))))

@@ -15,7 +15,8 @@ have elements in either text; two texts without any are alike (1).
 Defined results: a null text is the empty text, whose fingerprint is all zeros;
 texts shorter than k are one element; equal texts have equal fingerprints; the
 last document's next one is the first; a single document is its own next one;
-rows that share a key are ordered by text; null keys come last; an empty table
+rows that share a key are ordered by text; null keys come last, ordered by a
+hash of the text; an empty table
 gives no rows; other columns are not looked at.
 """
 
@@ -103,32 +104,43 @@ def likeness(a, b) -> float:
 def in_order(docs: DataFrame, *, key: str, text: str, per_task: int = 8) -> DataFrame:
     """Rows by descending key in ranges; each range ends with the first row of the next one (own = false).
 
-    The driver sees one key per range. Rows of a key stay in one range.
+    The driver sees one key per range. Rows of a key stay in one range; rows
+    without a key lie in ranges of their text's hash, after all others.
     """
     spark = docs.sparkSession
     ranges = per_task * partitions(spark)
-    keys = docs.select(F.col(key).alias("k")).where("k is not null")
-    firsts = keys.repartitionByRange(ranges, F.col("k").desc()).groupBy(F.spark_partition_id()).agg(F.max("k").alias("k")).select("k").distinct().orderBy(F.col("k").desc())
-    heads = [r["k"] for r in firsts.collect()]
-    nulls = not docs.where(F.col(key).isNull()).isEmpty()
-    n = len(heads) + nulls
     d = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    keys = d.select("k").where("k is not null").repartitionByRange(ranges, F.col("k").desc())
+    heads = keys.groupBy(F.spark_partition_id()).agg(F.max("k").alias("k")).agg(F.sort_array(F.collect_set("k"), asc=False)).first()[0]
+    hashed = F.when(F.col("k").isNull(), F.xxhash64("t"))
+    bucket = F.floor((F.shiftright(hashed, 32) + (1 << 31)) * ranges / (1 << 32)).cast("int")
+    d = d.withColumns({"h": hashed, "b": bucket})
+    loose = sorted((r["b"], r["h"]) for r in d.where("k is null").groupBy("b").agg(F.min("h").alias("h")).collect())
+    n = len(heads) + len(loose)
+    part = head = None
     if heads:
         # Binary search in the descending heads: how many are at or above the key.
         arr, steps = F.lit(heads), max(1, len(heads).bit_length() + 1)
-        lo_hi = F.aggregate(
+        middle = lambda s: F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        above = lambda s: F.struct((middle(s) + 1).alias("lo"), s["hi"].alias("hi"))
+        below = lambda s: F.struct(s["lo"].alias("lo"), middle(s).alias("hi"))
+        found = F.aggregate(
             F.sequence(F.lit(1), F.lit(steps)), F.struct(F.lit(0).alias("lo"), F.lit(len(heads)).alias("hi")),
-            lambda s, _: F.when(s["lo"] < s["hi"], F.when(F.get(arr, F.floor((s["lo"] + s["hi"]) / 2).cast("int")) >= F.col("k"), F.struct((F.floor((s["lo"] + s["hi"]) / 2) + 1).cast("int").alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), F.floor((s["lo"] + s["hi"]) / 2).cast("int").alias("hi")))).otherwise(s),
+            lambda s, _: F.when(s["lo"] < s["hi"], F.when(F.get(arr, middle(s)) >= F.col("k"), above(s)).otherwise(below(s))).otherwise(s),
         )
-        part = F.when(F.col("k").isNull(), F.lit(len(heads))).otherwise(lo_hi["lo"] - 1)
+        part = found["lo"] - 1
         head = F.get(arr, part.cast("int")) == F.col("k")
-    else:
-        part, head = F.lit(0), F.lit(False)
-    d = d.withColumn("part", part.cast("int")).withColumn("head", F.coalesce(head, F.lit(False)) | F.col("k").isNull())
+    if loose:
+        at = F.array_position(F.lit([b for b, _ in loose]), F.col("b")) - 1
+        own, first = F.lit(len(heads)) + at, F.get(F.lit([h for _, h in loose]), at.cast("int")) == F.col("h")
+        null = F.col("k").isNull()
+        part, head = (own, first) if part is None else (F.when(null, own).otherwise(part), F.when(null, first).otherwise(head))
+    d = d.withColumn("part", (F.lit(0) if part is None else part).cast("int")).withColumn("head", F.lit(False) if head is None else head)
     own = F.struct(F.col("part").alias("part"), F.lit(True).alias("own"))
-    ghost = F.struct(((F.col("part") + n - 1) % n).cast("int").alias("part"), F.lit(False).alias("own"))
-    d = d.withColumn("p", F.explode(F.when(F.col("head"), F.array(own, ghost)).otherwise(F.array(own)))).select("k", "t", "p.part", "p.own")
-    return d.repartition(partitions(spark), "part").sortWithinPartitions(F.col("part"), F.col("own").desc(), F.col("k").desc_nulls_last(), F.col("t"))
+    ghost = F.struct(((F.col("part") + n - 1) % n if n else F.lit(0)).cast("int").alias("part"), F.lit(False).alias("own"))
+    d = d.withColumn("p", F.explode(F.when(F.col("head"), F.array(own, ghost)).otherwise(F.array(own)))).select("k", "t", "h", "p.part", "p.own")
+    d = d.repartition(partitions(spark), "part").sortWithinPartitions(F.col("part"), F.col("own").desc(), F.col("k").desc_nulls_last(), F.col("h"), F.col("t"))
+    return d.drop("h")
 
 
 def compared(docs: DataFrame, *, key: str = "doc_id", text: str = "text", k: int = K, cells: int = CELLS, picks: int = PICKS) -> DataFrame:

@@ -6,8 +6,9 @@ group is packed best-fit decreasing. A lower bound from dual feasible functions
 says how few sequences any packing of a group needs. Groups that reach theirs
 are done. Groups with a gap put the pieces of their unfilled sequences into a
 pool, dealt anew to groups in which they meet pieces of other groups, and
-best-fit decreasing runs again there; an exchange is kept where it uses fewer
-sequences. Rounds end when no gap is left or no round saves a sequence.
+best-fit decreasing runs again there; an exchange is kept if the pool then takes
+fewer sequences. Rounds end when no gap is left, when one saves no sequence, or
+after `rounds` of them; a gap that is then left costs sequences, no piece.
 
 A group is a bounded number of rows of three numbers, whatever the input size;
 texts are read once and leave only lengths and checksums.
@@ -34,14 +35,27 @@ LENGTH = 2048
 MEMO = 400_000
 
 
+#: The steps that the encoder knows how to take itself; fixed values of the tokenizer's format.
+STEPS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
 def encoder(path: str):
     """texts -> their ids as arrays of 32-bit numbers, as the tokenizer itself gives them.
 
-    Nothing in the tokenizer crosses a blank or line end, so what stands between
-    them is encoded once and remembered. A tokenizer that lower-cases and splits
-    like the one this is made for (checked by its file) has its steps done here
-    for scripts whose letters no Unicode version disputes, and only runs that
-    are new reach its merges; anything else goes through the tokenizer whole.
+    A tokenizer whose normalizer and split are exactly STEPS lets nothing cross
+    a blank or line end, so what stands between them is encoded once and
+    remembered; its steps are done here for scripts whose letters no Unicode
+    version disputes, and only runs that are new reach its merges. Any other
+    tokenizer gets whole texts.
     """
     import json
     import unicodedata
@@ -52,15 +66,17 @@ def encoder(path: str):
     from tokenizers import Tokenizer
 
     tok, memo, runs = Tokenizer.from_file(path), {}, {}
+    tok.no_truncation()
+    tok.no_padding()
     with open(path, encoding="utf-8") as f:
         parts = json.load(f)
-    steps = [x["type"] for x in (parts["normalizer"] or {}).get("normalizers", [])]
-    splits = (parts["pre_tokenizer"] or {}).get("pretokenizers", [])
-    known = steps == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in splits] == ["Split", "ByteLevel"] and splits[0]["pattern"].get("Regex")
+    known = all(parts.get(k) == v for k, v in STEPS.items()) and parts["model"]["type"] == "BPE" and not parts["model"].get("dropout")
     marks = [x["content"] for x in parts["added_tokens"]]
+    known = known and not any(x["lstrip"] or x["rstrip"] or x["single_word"] or x["normalized"] for x in parts["added_tokens"])
     del parts
-    if known:
-        find = regex.compile(splits[0]["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}")).findall
+    if not known:
+        return lambda texts: [np.array(x.ids, dtype="<u4") for x in tok.encode_batch(list(texts), add_special_tokens=False)]
+    find = regex.compile(STEPS["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}")).findall
     merge = tok.model.tokenize
     # The byte-level alphabet: printable bytes stand for themselves, the others for 256 and on.
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -75,7 +91,7 @@ def encoder(path: str):
         return got
 
     def word(w):
-        if not (known and (w.isascii() or max(w) < "\u0530")):
+        if not (w.isascii() or max(w) < "\u0530"):
             return array("I", tok.encode(w, add_special_tokens=False).ids).tobytes()
         if w.isascii():
             w = w.lower()
@@ -195,7 +211,7 @@ def _packer(room: int):
 PACKED = "rid long, piece int, length long, g long, seq long, offset long, bins long, bound long, full boolean"
 
 
-def pack(cut: DataFrame, *, length: int = LENGTH, group_rows: int = 16_384, rounds: int = 4) -> DataFrame:
+def pack(cut: DataFrame, *, length: int = LENGTH, group_rows: int = 16_384, rounds: int = 12) -> DataFrame:
     """cut (rid, piece, length, ...) with sequence_id and offset."""
     spark = cut.sparkSession
     small = cut.where(F.col("length") < length)
@@ -225,7 +241,7 @@ def pack(cut: DataFrame, *, length: int = LENGTH, group_rows: int = 16_384, roun
     got = done[0]
     for d in done[1:]:
         got = got.union(d)
-    # Numbers that no other turn or group has: a group has fewer than 2**24 sequences.
+    # Numbers that no other turn or group has: a group has fewer than 2**24 sequences, there are fewer than 16 turns.
     code = F.col("turn").cast("long") * (1 << 59) + F.col("g") * (1 << 24) + F.col("seq")
     got = got.select("rid", "piece", code.alias("sequence_id"), "offset")
     whole = cut.where(F.col("length") == length).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})

@@ -83,8 +83,9 @@ def shard(docs: DataFrame, n_shards: int, *, key: str = "doc_id", text: str = "t
         (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
         F.coalesce(F.crc32(F.col(text).cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
         F.xxhash64(key).bitwiseAND(RING - 1).alias("_pos"),
-        F.pmod(F.monotonically_increasing_id(), F.lit(spread)).cast("int").alias("_sub"),
     )
+    # Parts of a ring cell, by what the row holds: the order does not depend on how the rows are dealt.
+    t = t.withColumn("_sub", F.pmod(F.xxhash64(key, "text_crc32", "size", F.lit("sub")), F.lit(spread)).cast("int"))
     t = t.withColumn("_cell", F.floor(pos / width).cast("int"))
     t = t.withColumn("_arc", (begin + F.size(F.filter(F.slice(at, begin + 1, end - begin), lambda v: v < pos))).cast("int"))
     # Along the ring both grow, so their sum names the pair of cell and arc.

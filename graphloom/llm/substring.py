@@ -9,6 +9,8 @@ equal elsewhere are repeats as a whole; the others, and one of each kind of
 equal ones, meet window by window. Repeats that overlap join into maximal ones;
 what these cover is removed.
 
+Anchors, extents and texts that many rows share are salted in joins.
+
 Meeting is counted, never paired: a passage that a third of all documents share
 costs each of them a row per anchor. Sequences are compared by 128 bits of
 hashes. Documents are known by a hash of their text, as the result depends on
@@ -28,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import Scratch, written
+from ._shared import Scratch, boxed, col, hot_keys, spread_join, written
 
 WINDOW, ANCHOR = 35, 8
 
@@ -101,7 +103,13 @@ def _rows(names: str, cols) -> pd.DataFrame:
     return pd.DataFrame(dict(zip(names.split(), map(np.concatenate, cols))))
 
 
-def repeats(docs: DataFrame, *, text: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+def _common(docs: DataFrame, text: str) -> DataFrame | None:
+    """Texts that over one row in 1024 has."""
+    t = docs.where(col(text).isNotNull()).select(*text_key(col(text)))
+    return hot_keys(written(t.groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "repeated-texts"), ["t1", "t2"])
+
+
+def repeats(docs: DataFrame, *, text: str = "text", window: int = WINDOW, anchor: int = ANCHOR, common: DataFrame | None = None) -> DataFrame:
     """(t1, t2, spans): for texts with repeated windows the first and last of each run of these, by first word."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     width = window - anchor + 1
@@ -127,18 +135,18 @@ def repeats(docs: DataFrame, *, text: str = "text", window: int = WINDOW, anchor
             if cols[0]:
                 yield _rows("a e t1 t2 lo hi", cols)
 
-    t = docs.select(*text_key(F.col(text)), F.col(text).alias("t")).where(F.col("t").isNotNull())
+    t = docs.select(*text_key(col(text)), col(text).alias("t")).where(F.col("t").isNotNull())
     anchors = scratch.keep(t.mapInPandas(find, "a long, e long, t1 long, t2 long, lo int, hi int"), "anchors")
     often = anchors.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("e").alias("x"), F.max("e").alias("y")).where("n > 1")
-    often = scratch.keep(often.select("a", (F.col("x") != F.col("y")).alias("mixed")), "frequent-anchors")
-    met = scratch.keep(anchors.join(often, "a"), "met")
+    often = scratch.keep(often.select("a", "n", (F.col("x") != F.col("y")).alias("mixed")), "frequent-anchors")
+    met = scratch.keep(spread_join(anchors, often.drop("n"), ["a"], "inner", hot_keys(often, ["a"])), "met")
     _freed(spark)
     # Where all extents of a seed are equal, everything in them is repeated. Else
     # equal extents are, and one of each kind meets the others window by window.
     mixed = met.where("mixed")
     kinds = mixed.groupBy("a", "e").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("t1", "t2", "lo", "hi")).alias("one"))
     kinds = scratch.keep(kinds.select("a", "e", "n", "one.*"), "extents")
-    whole = met.where("not mixed").select("t1", "t2", "lo", "hi").union(mixed.join(kinds.where("n > 1").select("a", "e"), ["a", "e"], "left_semi").select("t1", "t2", "lo", "hi"))
+    whole = met.where("not mixed").select("t1", "t2", "lo", "hi").union(spread_join(mixed, kinds.where("n > 1").select("a", "e"), ["a", "e"], "left_semi", hot_keys(kinds, ["a", "e"])).select("t1", "t2", "lo", "hi"))
     grow = kinds.groupBy("t1", "t2").agg(F.collect_list(F.struct("lo", "hi", (F.col("n") == 1).alias("alone"))).alias("extents"))
     grow = scratch.keep(grow, "growing")
 
@@ -162,7 +170,7 @@ def repeats(docs: DataFrame, *, text: str = "text", window: int = WINDOW, anchor
             if cols[0]:
                 yield _rows(names, cols)
 
-    windows = t.join(grow, ["t1", "t2"]).select("t1", "t2", "t", "extents").mapInPandas(extend, "w1 long, w2 long, t1 long, t2 long, at int, alone boolean")
+    windows = spread_join(t, grow, ["t1", "t2"], "inner", common).select("t1", "t2", "t", "extents").mapInPandas(extend, "w1 long, w2 long, t1 long, t2 long, at int, alone boolean")
     windows = scratch.keep(windows, "windows")
     _freed(spark)
     again = scratch.keep(windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n"), F.max("alone").alias("alone")).where("n > 1 and alone").select("w1", "w2"), "repeated-windows")
@@ -174,9 +182,10 @@ def repeats(docs: DataFrame, *, text: str = "text", window: int = WINDOW, anchor
     return out
 
 
-def cut(docs: DataFrame, *, text: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """docs with _cut = struct(n_words, n_removed, kept): kept is the rest, words joined by one space."""
-    found = repeats(docs, text=text, window=window, anchor=anchor)
+def _cut(docs: DataFrame, text: str, window: int, anchor: int) -> DataFrame:
+    """(row, cut) of every row: cut = struct(n_words, n_removed, kept)."""
+    common = _common(docs, text)
+    found = repeats(docs, text=text, window=window, anchor=anchor, common=common)
 
     @F.pandas_udf("struct<n_words:long,n_removed:long,kept:string>")
     def rest(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
@@ -194,7 +203,19 @@ def cut(docs: DataFrame, *, text: str = "text", window: int = WINDOW, anchor: in
             out.append((n, n - len(words), b" ".join(words).decode("utf-8", "surrogatepass")))
         return pd.DataFrame(out, columns=["n_words", "n_removed", "kept"])
 
-    t1, t2 = text_key(F.col(text))
-    d = docs.withColumns({"_t1": F.coalesce(t1, F.lit(0)), "_t2": F.coalesce(t2, F.lit(0))})
-    found = found.select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), F.col("spans").alias("_spans"))
-    return d.join(found, ["_t1", "_t2"], "left").withColumn("_cut", rest(F.col(text), F.col("_spans"))).drop("_t1", "_t2", "_spans")
+    t1, t2 = text_key(col(text))
+    d = boxed(docs, t=col(text), t1=F.coalesce(t1, F.lit(0)), t2=F.coalesce(t2, F.lit(0)))
+    return spread_join(d, found, ["t1", "t2"], "left", common).select("row", rest("t", "spans").alias("cut"))
+
+
+def cut(docs: DataFrame, *, text: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+    """docs with _cut = struct(n_words, n_removed, kept): kept is the rest, words joined by one space. An input column _cut is replaced."""
+    return _cut(docs.drop("_cut"), text, window, anchor).select("row.*", F.col("cut").alias("_cut"))
+
+
+def without_repeats(docs: DataFrame, *, text: str = "text", n_chars: str = "n_chars", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+    """docs with what is left of each text; texts without repeats stay as they are, n_chars follows where there is such a column."""
+    got, row = _cut(docs, text, window, anchor), F.col("row")
+    new = F.when(F.col("cut.n_removed") > 0, F.col("cut.kept")).otherwise(row.getField(text))
+    change = {text: new, n_chars: F.char_length(new).cast("long")}
+    return got.select(*[change.get(c, row.getField(c)).alias(c) for c in docs.columns])

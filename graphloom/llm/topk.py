@@ -9,7 +9,8 @@ the exact integer product is taken.
 
 Queries come in blocks too. First every query block meets the longest vectors,
 which gives each query a threshold; then it meets the prefix of blocks that its
-bound cannot rule out, and a pair of blocks gives k rows per query at most.
+bound cannot rule out, and a pair of blocks gives k rows per query at most. The
+driver sees LENGTHS block lengths at most; the prefix is found by bisection.
 
 Defined results: vectors that are null or hold null or non-finite components
 take no part; shorter vectors count as if zeros followed; a query never meets
@@ -29,6 +30,10 @@ from ._shared import offsets, partitions, written
 
 #: Sums of products up to this are exact in doubles.
 EXACT = float(1 << 52)
+#: So many block lengths come to the driver at most; with more blocks each stands for a run of them.
+LENGTHS = 1 << 16
+#: The longest vectors are sent to all tasks where their blocks take less than this.
+SENT_BYTES = 32 << 20
 
 
 def integer_vectors(df: DataFrame, *, key: str, vector: str, scale: int) -> DataFrame:
@@ -158,11 +163,17 @@ def top_k(df: DataFrame, *, key: str = "vec_id", vector: str = "embedding", ever
     q = written(_placed(_blocks(v.where(F.col("key") % every == 0), query_block, dim, turn, head)), "queries")
     q = q.select(*[F.col(c).alias(f"q_{c}") for c in q.columns if c != "no_id"])
     none = F.udf(lambda n: np.full(n, -np.inf).tobytes(), "binary")
-    lengths = [(r["place"], r["longest"]) for r in x.select("place", "longest").orderBy("place").collect()]
+    blocks = x.count()
+    stride = max(1, -(-blocks // LENGTHS))
+    lengths = [-r["longest"] for r in x.where(F.col("place") % stride == 0).select("place", "longest").orderBy("place").collect()]
 
-    first = q.withColumn("least", none("q_n")).withColumn("place", F.explode(F.array(*[F.lit(p).cast("long") for p in range(max(1, min(first_blocks, len(lengths))))])))
+    ahead = max(1, min(first_blocks, blocks))
+    first = q.withColumn("least", none("q_n")).withColumn("place", F.explode(F.array(*[F.lit(p).cast("long") for p in range(ahead)])))
     go = _search(k, dim, head)
-    found = written(first.join(x, "place").mapInPandas(go, FOUND), "first")
+    longest = x.where(F.col("place") < ahead)
+    # A block is `block` rows of dim numbers and dim rotated ones, at most.
+    longest = F.broadcast(longest) if ahead * block * (16 * dim + 32) < SENT_BYTES else longest
+    found = written(first.join(longest, "place").mapInPandas(go, FOUND), "first")
 
     # The k-th score so far of each query, as an array beside its block.
     w = Window.partitionBy("q_place", "q_row").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last())
@@ -173,16 +184,14 @@ def top_k(df: DataFrame, *, key: str = "vec_id", vector: str = "embedding", ever
         least = np.full(n, -np.inf)
         for i, s in (scores or {}).items():
             least[i] = s
+        # |q| |x| reaches the threshold where |x| is at least this.
         qn = np.frombuffer(norms)
-        until = first_blocks
-        for place, longest in lengths:
-            if place >= first_blocks and not (qn * longest * (1 + 1e-9) + 1e-6 >= least).any():
-                break
-            until = max(until, place + 1)
+        reach = np.where(qn > 0, (least - 1e-6) / np.where(qn > 0, qn * (1 + 1e-9), 1), np.where(least > 1e-6, np.inf, -np.inf))
+        until = max(first_blocks, min(blocks, stride * int(np.searchsorted(lengths, -reach.min(), side="right"))))
         return least.tobytes(), until
 
     more = q.join(kth, "q_place", "left").withColumn("b", bound("q_n", "q_norms", "kth")).withColumn("least", F.col("b.least"))
     more = more.where(F.col("b.until") > first_blocks).withColumn("place", F.explode(F.sequence(F.lit(first_blocks).cast("long"), F.col("b.until") - 1))).drop("b", "kth")
-    rest = more.join(x, "place").mapInPandas(go, FOUND) if len(lengths) > first_blocks else found.limit(0)
+    rest = more.join(x, "place").mapInPandas(go, FOUND) if blocks > first_blocks else found.limit(0)
     both = found.union(rest).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return both.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
