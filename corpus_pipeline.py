@@ -5,40 +5,56 @@
 3. repeats          passages of 35 words and more that occur elsewhere are cut out of the text
 4. mixing           documents as often as the source mix takes them
 5. packing          sequences of 2048 tokens; returns pieces instead of documents
+
+Stages 1 to 4 return the columns of their input, whatever these are called; an
+empty table gives an empty one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
 from graphloom.llm import langid, mixing, near, packing, substring
-from graphloom.llm._shared import fresh_path
+from graphloom.llm._shared import fresh_path, made, sweep
 from graphloom.llm.queries import tokenizer_path
+from pyspark.sql import DataFrame, SparkSession
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learns from the labels of the documents themselves; keeps what has a language."""
-    got = langid.predict(docs, langid.train(docs))
-    return got.where(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
+    """Learns from the labels of the documents themselves; keeps what has a language.
+
+    Null and empty texts and texts without a letter go; repeated rows go or stay
+    together; without any label nothing has a language, and all rows go.
+    """
+    return langid.known(docs, langid.train(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """SimHash classes, completed to all pairs of 80 %; of each class one row stays.
+
+    It is the one with the smallest doc_id, of several the one with the smallest
+    hash of its text, of equal ones any. Rows without a doc_id stay. All texts
+    without words are one class. Long texts count with all their shingles.
+    """
     return near.first_of_each(docs)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays; only texts with repeats change, and may become empty."""
-    got = substring.cut(docs)
-    got = got.withColumn("text", F.when(F.col("_cut.n_removed") > 0, F.col("_cut.kept")).otherwise(F.col("text")))
-    return got.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    """Every document stays; only texts with repeats change, and may become empty.
+
+    Null stays null; of repeated rows all words go that a window covers.
+    """
+    return substring.without_repeats(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row as often as the mix takes it, to the nearest whole copy; rows without words stay once.
+
+    The null source is one of its own; repeated rows are taken each for itself.
+    """
     return mixing.mixed_rows(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces with their sequence and offset; null and empty texts are the end id alone, copies are documents of their own."""
     return packing.packed(docs, tokenizer_path())
 
 
@@ -49,9 +65,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents. What a stage leaves in the shared folder goes when its own table is written."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        path = fresh_path(spark, name)
+        path, before = fresh_path(spark, name), made()
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        sweep(spark, before, *filter(None, [last]))
+        docs, last = spark.read.parquet(path), path
     return docs
