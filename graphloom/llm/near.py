@@ -99,15 +99,22 @@ def _numbers(data: bytes):
     return out.reshape(-1).view("<u8")
 
 
+#: So many texts are held as arrays at once.
+ROWS = 500
+
+
 def _common(docs: DataFrame, text: str, shingle: int) -> list[int]:
     """Shingles that the sample has more than once, the most common last."""
 
-    @F.pandas_udf("array<long>")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingles(hashes(t, shingle)).astype("int64") for t in texts], dtype=object)
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import numpy as np
 
-    some = docs.where(F.pmod(F.xxhash64(text), F.lit(SAMPLE)) == 0)
-    got = some.select(F.explode(of(F.col(text))).alias("gram")).groupBy("gram").count().where("count > 1")
+        for b in batches:
+            for at in range(0, len(b), ROWS):
+                yield pd.DataFrame({"gram": np.concatenate([shingles(hashes(t, shingle)) for t in b["t"].iloc[at : at + ROWS]]).astype("int64")})
+
+    some = docs.where(F.pmod(F.xxhash64(text), F.lit(SAMPLE)) == 0).select(F.col(text).alias("t"))
+    got = some.mapInPandas(of, "gram long").groupBy("gram").count().where("count > 1")
     return [r["gram"] for r in got.orderBy(F.desc("count"), "gram").limit(COMMON).collect()][::-1]
 
 
@@ -123,7 +130,7 @@ def sets(docs: DataFrame, key: str = "doc_id", text: str = "text", *, shingle: i
         known = np.array(common, dtype="<u8")
         by = np.argsort(known)
         known, place = known[by], by + 1
-        for b in batches:
+        for b in (whole.iloc[at : at + ROWS] for whole in batches for at in range(0, len(whole), ROWS)):
             out = []
             for t in b["t"]:
                 hashed = hashes(t, shingle)
