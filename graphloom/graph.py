@@ -50,20 +50,37 @@ def union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names for checkpoints; where none is named a local one on a local master (tests), else none."""
+    sc = spark.sparkContext
+    if not (sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)):
+        if sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="graphloom-"))
+    return (sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir")).rstrip("/")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cuts the lineage of an iteration in the folder that the cluster names."""
-    sc = df.sparkSession.sparkContext
-    if not (sc.getCheckpointDir() or df.sparkSession.conf.get("spark.checkpoint.dir", None)):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="graphloom-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def bounded_pairs(links: DataFrame, most: int = KERNEL_EDGES) -> list[tuple[str, str]] | None:
-    """All links if there are at most `most`, else None: the bound is checked before they travel."""
+def bounded_links(links: DataFrame, most: int = KERNEL_EDGES):
+    """(ids in order, src, dst) with the ends as places in ids, if there are at most `most` links, else None.
+
+    The bound is checked before they travel; names come as Arrow columns and
+    leave as one array, links as two arrays of numbers.
+    """
+    import numpy as np
+    import pandas as pd
+
     if links.limit(most + 1).count() > most:
         return None
-    t = links.select("src", "dst").toArrow()
-    return list(zip(t["src"].to_pylist(), t["dst"].to_pylist()))
+    t = links.select("src", "dst").toPandas()
+    ids = np.array(sorted(set(t["src"]) | set(t["dst"])), dtype=object)
+    of = pd.Index(ids)
+    return ids, of.get_indexer(t["src"]).astype(np.int64), of.get_indexer(t["dst"]).astype(np.int64)
 
 
 def running(df: DataFrame, order: list[Column | str], value: Column, name: str) -> DataFrame:

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..graph import KERNEL_EDGES, bounded_pairs, checkpointed
+from ..graph import KERNEL_EDGES, bounded_links, checkpointed
 from .closure import Adjacency
 from .project import Projection
 
@@ -26,14 +26,14 @@ def _arrays(p: Projection, most: int):
     """(ids, src, dst) with ids in order, or None beyond the bound."""
     import numpy as np
 
-    pairs = bounded_pairs(p.links, most)
-    if pairs is None or p.nodes.limit(most + 1).count() > most:
+    found = bounded_links(p.links, most)
+    if found is None or p.nodes.limit(most + 1).count() > most:
         return None
     ids = sorted(p.nodes.toArrow()["id"].to_pylist())
-    of = {x: i for i, x in enumerate(ids)}
-    a = np.array([(of[x], of[y]) for x, y in pairs], dtype=np.int64).reshape(-1, 2)
-    a = a[np.lexsort((a[:, 1], a[:, 0]))]
-    return ids, a[:, 0], a[:, 1]
+    place = pd.Index(ids).get_indexer(found[0]).astype(np.int64)
+    src, dst = place[found[1]], place[found[2]]
+    order = np.lexsort((dst, src))
+    return ids, src[order], dst[order]
 
 
 def _table(p: Projection, ids, values) -> DataFrame:
@@ -117,10 +117,10 @@ def katz(p: Projection, most: int = KERNEL_EDGES) -> DataFrame | None:
 
 
 def _per_source(p: Projection, links: DataFrame, schema: str, visit, most: int) -> DataFrame:
-    pairs = bounded_pairs(links, most)
-    if pairs is None:
+    found = bounded_links(links, most)
+    if found is None:
         raise ValueError(f"not measured: more than {most} links")
-    graph = Adjacency(pairs)
+    graph = Adjacency(*found)
     n = p.nodes.count()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

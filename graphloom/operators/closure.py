@@ -13,21 +13,45 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..graph import KERNEL_EDGES, Graph, bounded_pairs, checkpointed
+from ..graph import KERNEL_EDGES, Graph, bounded_links, checkpointed
 
 
 class Adjacency:
     """Links as sorted arrays; neighbours of a node come in id order."""
 
-    def __init__(self, pairs):
+    def __init__(self, ids, src, dst):
         import numpy as np
 
-        self.ids = sorted({x for p in pairs for x in p})
-        self.of = {x: i for i, x in enumerate(self.ids)}
-        a = np.array([(self.of[x], self.of[y]) for x, y in pairs], dtype=np.int64).reshape(-1, 2)
-        a = a[np.lexsort((a[:, 1], a[:, 0]))]
-        self.to = a[:, 1].copy()
-        self.at = np.searchsorted(a[:, 0], np.arange(len(self.ids) + 1))
+        order = np.lexsort((dst, src))
+        self.ids, self.to = ids, dst[order]
+        self.at = np.searchsorted(src[order], np.arange(len(ids) + 1))
+        self._of = None
+
+    @property
+    def of(self) -> dict:
+        """Places of the names; made where it is needed, it does not travel."""
+        if self._of is None:
+            self._of = {x: i for i, x in enumerate(self.ids)}
+        return self._of
+
+    def __getstate__(self):
+        return self.__dict__ | {"_of": None}
+
+    def count(self, start: int) -> int:
+        """How many nodes a walk reaches, the start left out."""
+        import numpy as np
+
+        seen = np.zeros(len(self.ids), dtype=bool)
+        seen[start], todo, n, to, at = True, [start], 0, self.to, self.at
+        while todo:
+            x = todo.pop()
+            near = to[at[x] : at[x + 1]]
+            new = near[~seen[near]]
+            if len(new):
+                seen[new] = True
+                n += len(new)
+                todo += new.tolist()
+        return n
 
     def walk(self, start: int) -> dict[int, int]:
         """Levels in breadth-first order, the start with level 0 first."""
@@ -46,14 +70,14 @@ class Adjacency:
 def closure(links: DataFrame, seeds: DataFrame, most: int = KERNEL_EDGES) -> DataFrame:
     """(seed, id, level) for every node that is reached from each of seeds(seed), the seed left out."""
     links = links.select("src", "dst").distinct()
-    pairs = bounded_pairs(links, most)
-    if pairs is not None:
-        graph = Adjacency(pairs)
+    found = bounded_links(links, most)
+    if found is not None:
+        graph = Adjacency(*found)
 
         def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             import numpy as np
 
-            names = np.array(graph.ids, dtype=object)
+            names = graph.ids
             for b in batches:
                 held, size = [], 0
                 for s in b["seed"]:
@@ -106,10 +130,30 @@ def blast_radius(g: Graph, id: str) -> DataFrame:
     return closure(_reversed(g.links("breakage")), _one(g, id)).select("id", "level")
 
 
+def sizes(links: DataFrame, seeds: DataFrame, most: int = KERNEL_EDGES) -> DataFrame:
+    """(seed, n): how many nodes each of seeds(seed) reaches, itself left out; seeds that reach none are left out.
+
+    In memory only the counts leave a walk. Beyond the bound they are counted
+    from the pairs of the closure.
+    """
+    links = links.select("src", "dst").distinct()
+    found = bounded_links(links, most)
+    if found is None:
+        return closure(links, seeds, most).groupBy("seed").agg(F.count(F.lit(1)).alias("n"))
+    graph = Adjacency(*found)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            got = [(s, graph.count(graph.of[s])) for s in b["seed"] if s in graph.of]
+            yield pd.DataFrame([x for x in got if x[1]], columns=["seed", "n"])
+
+    return seeds.select("seed").distinct().repartition("seed").mapInPandas(count, "seed string, n long")
+
+
 def blast_sizes(g: Graph) -> DataFrame:
     """(id, value): sizes of all blast radii; no zeros, no boundary nodes."""
     seeds = g.real().select(F.col("id").alias("seed"))
-    return closure(_reversed(g.links("breakage")), seeds).groupBy(F.col("seed").alias("id")).agg(F.count(F.lit(1)).alias("value"))
+    return sizes(_reversed(g.links("breakage")), seeds).select(F.col("seed").alias("id"), F.col("n").alias("value"))
 
 
 def path(g: Graph, a: str, b: str) -> DataFrame | None:
@@ -129,9 +173,9 @@ def path(g: Graph, a: str, b: str) -> DataFrame | None:
     e = g.plain().select("src", "dst", "kind")
     back = e.where(g.profile.is_in("symmetric")).select(F.col("dst").alias("src"), F.col("src").alias("dst"), "kind") if g.profile.symmetric else e.limit(0)
     e = e.unionByName(back).groupBy("src", "dst").agg(F.min_by("kind", g.profile.edge_rank(F.col("kind"))).alias("kind"))
-    pairs = bounded_pairs(e)
-    if pairs is not None:
-        graph = Adjacency(pairs)
+    found = bounded_links(e)
+    if found is not None:
+        graph = Adjacency(*found)
         if a not in graph.of or b not in graph.of:
             return None
         start, goal, prev, queue, head = graph.of[a], graph.of[b], {graph.of[a]: -1}, [graph.of[a]], 0
@@ -150,20 +194,18 @@ def path(g: Graph, a: str, b: str) -> DataFrame | None:
             goal = prev[goal]
     else:
         e = checkpointed(e)
-        seen = spark.createDataFrame([(a, None, 0, "")], "id string, prev string, level long, trail string")
+        seen = spark.createDataFrame([(a, 0, "")], "id string, level long, trail string")
         front, level = seen, 0
         while seen.where(F.col("id") == b).isEmpty():
             level += 1
-            step = front.join(e, front["id"] == e["src"]).groupBy(F.col("dst").alias("id")).agg(F.min(F.struct("trail", F.col("src").alias("prev"))).alias("m"))
-            front = step.select("id", "m.prev", F.lit(level).cast("long").alias("level"), F.concat("m.trail", F.lit("\x00"), "id").alias("trail"))
+            step = front.join(e, front["id"] == e["src"]).groupBy(F.col("dst").alias("id")).agg(F.min("trail").alias("trail"))
+            front = step.select("id", F.lit(level).cast("long").alias("level"), F.concat("trail", F.lit("\x00"), "id").alias("trail"))
             front = checkpointed(front.join(seen.select("id"), "id", "left_anti"))
             if front.isEmpty():
                 return None
             seen = checkpointed(seen.unionByName(front))
-        steps, at = [], b
-        while at != a:
-            prev = seen.where(F.col("id") == at).first()["prev"]
-            steps.append((prev, at))
-            at = prev
+        # Each node carries the way to it.
+        trail = [a, *seen.where(F.col("id") == b).first()["trail"].split("\x00")[1:]]
+        steps = list(zip(trail, trail[1:]))[::-1]
     rows = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(reversed(steps))], "step long, src string, dst string")
     return rows.join(e, ["src", "dst"]).select("step", "src", "dst", "kind")

@@ -15,7 +15,7 @@ def _owners(g: Graph) -> DataFrame:
     types = g.nodes.where(F.col("kind").isin(*TYPES)).select(F.col("id").alias("owner"))
     members = g.nodes.where(F.col("kind").isin("method", "variable", "function")).select("id", "kind", parent(F.col("id")).alias("owner"))
     own = g.nodes.where(F.col("kind").isin(*TYPES)).select("id", "kind", F.col("id").alias("owner"))
-    return members.join(types, "owner", "left_semi").select("id", "kind", "owner").unionByName(own).cache()
+    return members.join(types, "owner", "left_semi").select("id", "kind", "owner").unionByName(own)
 
 
 def type_metrics(g: Graph) -> DataFrame:
@@ -23,7 +23,8 @@ def type_metrics(g: Graph) -> DataFrame:
     own = _owners(g)
     kinds = g.nodes.select(F.col("id").alias("dst"), F.col("kind").alias("to_kind"))
     e = g.plain().select("src", "dst", "kind").join(own.select(F.col("id").alias("src"), F.col("owner").alias("a"), F.col("kind").alias("from_kind")), "src", "left")
-    e = e.join(own.select(F.col("id").alias("dst"), F.col("owner").alias("b")), "dst", "left").join(kinds, "dst").cache()
+    e = e.join(own.select(F.col("id").alias("dst"), F.col("owner").alias("b")), "dst", "left").join(kinds, "dst")
+    # What is counted of an edge: the owner it leads to, the foreign method it calls, the foreign datum it touches.
     lifted = e.where("a is not null and b is not null and a <> b").select("a", "b").distinct()
     cbo = lifted.union(lifted.select("b", "a")).groupBy(F.col("a").alias("id")).agg(F.count_distinct("b").alias("cbo"))
     mine = e.where("a is not null and from_kind = 'method'")
@@ -49,15 +50,16 @@ def cohesion(g: Graph) -> DataFrame:
     only on members that they share.
     """
     own = _owners(g).where("kind = 'method'").select("id", "owner")
-    node = g.nodes.select("id", "label", F.coalesce("refs", F.array().cast("array<string>")).alias("refs"))
+    node = g.nodes.select("id", "label", "refs")
     labels = g.nodes.select(F.col("id").alias("dst"), F.col("label").alias("to_label"))
     touch = g.edges.where("kind in ('reads', 'writes')").join(own.withColumnRenamed("id", "src"), "src").join(labels, "dst")
-    names = own.join(node, "id").select("owner", "label").union(touch.where("kind = 'writes'").select("owner", "to_label"))
-    members = names.groupBy("owner").agg(F.collect_set("label").alias("members"))
-    used = touch.groupBy(F.col("src").alias("id")).agg(F.collect_set("to_label").alias("used"))
-    m = own.join(node.select("id", "refs"), "id").join(used, "id", "left").join(members, "owner")
-    seen = F.array_sort(F.array_intersect(F.array_union("refs", F.coalesce("used", F.array().cast("array<string>"))), "members"))
-    sets = m.groupBy("owner", seen.alias("s")).agg(F.count(F.lit(1)).alias("n"))
+    methods = own.join(node, "id")
+    names = methods.select("owner", "label").union(touch.where("kind = 'writes'").select("owner", "to_label")).distinct()
+    used = methods.select("owner", "id", F.explode("refs").alias("label")).union(touch.select("owner", F.col("src").alias("id"), "to_label"))
+    # A label counts where the owner has a member of that name: one row each, never a type's whole member list.
+    seen = used.join(names, ["owner", "label"], "left_semi").groupBy("owner", "id").agg(F.array_sort(F.collect_set("label")).alias("s"))
+    m = own.join(seen, ["owner", "id"], "left").withColumn("s", F.coalesce("s", F.array().cast("array<string>")))
+    sets = m.groupBy("owner", "s").agg(F.count(F.lit(1)).alias("n"))
     n = sets.groupBy("owner").agg(F.sum("n").alias("methods"), F.max(F.size("s") > 0).alias("any"))
     own_pairs = sets.select("owner", F.when(F.size("s") > 0, F.col("n") * (F.col("n") - 1) / 2).otherwise(F.lit(0.0)).alias("p"))
     # Different sets meet on the members they share, each pair counted once.

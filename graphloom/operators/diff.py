@@ -2,32 +2,37 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..graph import Graph, union
-from .closure import _reversed, closure
+from ..graph import Graph, checkpointed, union
+from .closure import _reversed, closure, sizes
 from .measures import neighborhood, unresolved
 
 
-def _content(df: DataFrame, key: list[str]):
-    return F.struct(*[F.when(F.col(c).isNotNull(), F.to_json(F.struct(c))).alias(c) for c in sorted(df.columns) if c not in key])
+def _plain(df: DataFrame, c: str):
+    """A column that can be compared: maps have no order and become text."""
+    kind = df.schema[c].dataType.typeName()
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(c)))) if kind == "map" else F.col(c)
 
 
 def diff_nodes(before: Graph, after: Graph) -> DataFrame:
-    """(id, change): added, removed or changed."""
-    cols = sorted(set(before.nodes.columns) & set(after.nodes.columns))
-    a = before.nodes.select("id", _content(before.nodes.select(*cols), ["id"]).alias("a"), F.lit(1).alias("_a"))
-    b = after.nodes.select("id", _content(after.nodes.select(*cols), ["id"]).alias("b"), F.lit(1).alias("_b"))
-    change = F.when(F.col("_a").isNull(), "added").when(F.col("_b").isNull(), "removed").when(~F.col("a").eqNullSafe(F.col("b")), "changed")
+    """(id, change): added, removed or changed in any field that both graphs have."""
+    cols = sorted((set(before.nodes.columns) & set(after.nodes.columns)) - {"id"})
+    a = before.nodes.select("id", *[_plain(before.nodes, c).alias(f"a_{c}") for c in cols], F.lit(1).alias("_a"))
+    b = after.nodes.select("id", *[_plain(after.nodes, c).alias(f"b_{c}") for c in cols], F.lit(1).alias("_b"))
+    differ = reduce(lambda x, y: x | y, [~F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}")) for c in cols], F.lit(False))
+    change = F.when(F.col("_a").isNull(), "added").when(F.col("_b").isNull(), "removed").when(differ, "changed")
     return a.join(b, "id", "full_outer").select("id", change.alias("change")).where("change is not null")
 
 
 def diff_edges(before: Graph, after: Graph) -> DataFrame:
     """(src, dst, kind, line, change) over whole edge records."""
     cols = ["src", "dst", "kind", "line"]
-    a = before.edges.select(*cols, F.to_json("attrs").alias("attrs"), F.lit(1).alias("n"))
-    b = after.edges.select(*cols, F.to_json("attrs").alias("attrs"), F.lit(-1).alias("n"))
+    a = before.edges.select(*cols, _plain(before.edges, "attrs").alias("attrs"), F.lit(1).alias("n"))
+    b = after.edges.select(*cols, _plain(after.edges, "attrs").alias("attrs"), F.lit(-1).alias("n"))
     both = a.union(b).groupBy(*cols, "attrs").agg(F.sum("n").alias("n")).where("n <> 0")
     return both.select(*cols, F.when(F.col("n") > 0, "removed").otherwise("added").alias("change"))
 
@@ -35,13 +40,31 @@ def diff_edges(before: Graph, after: Graph) -> DataFrame:
 def impact(before: Graph, after: Graph) -> DataFrame:
     """(id, before, after, delta): blast radii of the nodes that differ or touch an edge that does."""
     nodes, edges = diff_nodes(before, after).select("id"), diff_edges(before, after)
-    seeds = nodes.union(edges.select("src")).union(edges.select("dst")).distinct().withColumnRenamed("id", "seed")
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("id"))
+    seeds = checkpointed(nodes.union(ends).distinct().withColumnRenamed("id", "seed"))
+    of = lambda g, name: sizes(_reversed(g.links("breakage")), seeds).withColumnRenamed("n", name)
+    out = seeds.join(of(before, "before"), "seed", "left").join(of(after, "after"), "seed", "left").na.fill(0)
+    return out.select(F.col("seed").alias("id"), "before", "after", (F.col("after") - F.col("before")).alias("delta"))
 
-    def sizes(g: Graph, name: str) -> DataFrame:
-        return closure(_reversed(g.links("breakage")), seeds).groupBy("seed").agg(F.count(F.lit(1)).alias(name))
 
-    out = seeds.join(sizes(before, "before"), "seed", "left").join(sizes(after, "after"), "seed", "left").na.fill(0)
-    return out.select(F.col("seed").alias("id"), "before", "after", (F.col("after") - F.col("before")).alias("delta"))
+def answer(before: Graph, after: Graph) -> dict:
+    """The whole difference: records added, removed and changed, each list in order, and what it does to blast radii, largest first."""
+    change = checkpointed(diff_nodes(before, after))
+    of = lambda kind: change.where(F.col("change") == kind).select("id")
+    edges = checkpointed(diff_edges(before, after))
+    line = [F.col(c).asc_nulls_first() for c in ("src", "dst", "kind", "line")]
+    changed = before.nodes.join(of("changed"), "id").select("id", F.struct(*before.nodes.columns).alias("before"))
+    changed = changed.join(after.nodes.join(of("changed"), "id").select("id", F.struct(*after.nodes.columns).alias("after")), "id")
+    return {
+        "nodes_added": after.nodes.join(of("added"), "id", "left_semi").orderBy("id"), "nodes_removed": before.nodes.join(of("removed"), "id", "left_semi").orderBy("id"), "nodes_changed": changed.orderBy("id"),
+        "edges_added": edges.where("change = 'added'").drop("change").orderBy(*line), "edges_removed": edges.where("change = 'removed'").drop("change").orderBy(*line),
+        "impact": impact(before, after).orderBy(F.abs("delta").desc(), "id"),
+    }
+
+
+def fails_above(found: DataFrame, most: int) -> bool:
+    """Whether any blast radius of impact grows by more than that."""
+    return not found.where(F.col("delta") > most).isEmpty()
 
 
 def report(found: DataFrame, top: int = 10) -> str:

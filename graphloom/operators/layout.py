@@ -8,7 +8,7 @@ from html import escape
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..graph import KERNEL_EDGES, Graph, bounded_pairs, checkpointed
+from ..graph import KERNEL_EDGES, Graph, bounded_links, checkpointed
 from .project import Projection
 from .topology import components
 
@@ -29,7 +29,7 @@ def structure(g: Graph) -> Graph:
         open_ = checkpointed(step.join(hit.select("id"), "id", "left_anti"))
     e = g.edges.where(F.col("kind").isin("contains", "imports", "inherits", "implements"))
     e = e.join(found.toDF("src", "a"), "src").join(found.toDF("dst", "b"), "dst").where("a <> b")
-    return Graph(kept, e.select(F.col("a").alias("src"), F.col("b").alias("dst"), "kind", "line", "attrs").distinct(), g.profile)
+    return Graph(kept, e.select(F.col("a").alias("src"), F.col("b").alias("dst"), "kind", "line", "attrs").dropDuplicates(["src", "dst", "kind"]), g.profile)
 
 
 def layered(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -76,12 +76,14 @@ def force(p: Projection) -> DataFrame | None:
             return None
         links = links.join(comp.toDF("src", "a"), "src").join(comp.toDF("dst", "b"), "dst").where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
     ids = sorted(r["id"] for r in nodes.collect())
-    pairs = bounded_pairs(links, KERNEL_EDGES) or []
+    found = bounded_links(links, KERNEL_EDGES)
     of = {x: i for i, x in enumerate(ids)}
     n = len(ids)
     if not n:
         return p.nodes.sparkSession.createDataFrame([], "id string, x double, y double")
-    a = np.array([(of[s], of[d]) for s, d in pairs], dtype=int).reshape(-1, 2)
+    if found is None:
+        return None
+    a = np.array([(of[s], of[d]) for s, d in zip(found[0][found[1]], found[0][found[2]])], dtype=int).reshape(-1, 2)
     turn = 2 * math.pi * np.arange(n) / n
     at = FORCE_CANVAS / 2 + FORCE_CANVAS / 3 * np.stack([np.cos(turn), np.sin(turn)], axis=1)
     k = math.sqrt(FORCE_CANVAS * FORCE_CANVAS / n)

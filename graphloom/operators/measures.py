@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..graph import Graph, union
+from ..graph import Graph, checkpointed, union
 
 LIMIT, MOST = 20, 1000
 
@@ -82,11 +82,13 @@ def dossier(g: Graph, id: str) -> DataFrame:
 def neighborhood(g: Graph, id: str, depth: int = 1) -> DataFrame:
     """(id, level): nodes within depth steps over non-containment edges in either direction."""
     e = g.plain().select("src", "dst")
-    either = e.union(e.select("dst", "src")).toDF("src", "dst").distinct().cache()
-    seen = g.nodes.where(F.col("id") == id).select("id", F.lit(0).alias("level"))
+    seen = front = checkpointed(g.nodes.where(F.col("id") == id).select("id", F.lit(0).alias("level")))
     for level in range(1, depth + 1):
-        step = either.join(seen.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
-        seen = seen.unionByName(step.join(seen, "id", "left_anti").withColumn("level", F.lit(level)))
+        ids = front.select("id")
+        out = e.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id"))
+        into = e.join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select(F.col("src").alias("id"))
+        front = checkpointed(out.union(into).distinct().join(seen, "id", "left_anti").withColumn("level", F.lit(level)))
+        seen = seen.unionByName(front)
     return seen
 
 

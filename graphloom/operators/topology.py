@@ -7,7 +7,7 @@ import heapq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..graph import KERNEL_EDGES, Graph, bounded_pairs, checkpointed
+from ..graph import KERNEL_EDGES, Graph, bounded_links, checkpointed
 from .project import Projection
 
 
@@ -68,13 +68,12 @@ def components(nodes: DataFrame, links: DataFrame, most: int = KERNEL_EDGES) ->
     such a set those that also reach that id are its component.
     """
     spark = nodes.sparkSession
-    pairs = bounded_pairs(links, most)
-    if pairs is not None:
-        ids = sorted({x for p in pairs for x in p})
-        of = {x: i for i, x in enumerate(ids)}
+    found = bounded_links(links, most)
+    if found is not None:
+        ids = found[0].tolist()
         to: list[list[int]] = [[] for _ in ids]
-        for a, b in pairs:
-            to[of[a]].append(of[b])
+        for a, b in zip(found[1].tolist(), found[2].tolist()):
+            to[a].append(b)
         comp, least = tarjan(len(ids), to), {}
         for i, c in enumerate(comp):
             least.setdefault(c, ids[i])
@@ -126,12 +125,12 @@ def topo_sort(p: Projection) -> DataFrame:
     """
     comp = checkpointed(components(p.nodes, p.links))
     across = p.links.join(comp.toDF("src", "a"), "src").join(comp.toDF("dst", "b"), "dst").where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
-    pairs = bounded_pairs(across)
-    if pairs is None:
+    found = bounded_links(across)
+    if found is None:
         raise ValueError(f"not measured: more than {KERNEL_EDGES} links between groups")
     names = [r[0] for r in comp.select("component").distinct().toLocalIterator()]
     waits, users = dict.fromkeys(names, 0), {}
-    for a, b in pairs:  # a depends on b
+    for a, b in zip(found[0][found[1]], found[0][found[2]]):  # a depends on b
         waits[a] += 1
         users.setdefault(b, []).append(a)
     ready, order = [x for x, n in waits.items() if not n], []

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .. import build, store, views
+from .. import api, build, store, views
 from ..graph import Graph
-from ..operators import centrality, closure, communities, coupling, diff, history, layout, measures, topology
+from ..operators import centrality, closure, communities, diff, history, layout, measures, topology
 from ..operators.project import projection
 from ..sources import english, series
 from ..streaming import metering
@@ -36,11 +36,15 @@ def _sql(view: str, rest: str) -> str:
 
 
 def _trade(rest: str) -> str:
-    return _sql(views.TRADE, rest)
+    return _sql(views.sql_of(views.TRADE), rest)
 
 
-def _users(rest: str) -> str:
-    return _sql(views.USERS, rest)
+def _followers(rest: str) -> str:
+    return _sql(views.sql_of(views.FOLLOWERS), rest)
+
+
+def _journeys(rest: str) -> str:
+    return _sql(views.sql_of(views.JOURNEYS), rest)
 
 
 REAL = "kind <> 'external' AND id NOT LIKE 'external::%'"
@@ -51,7 +55,7 @@ SELECT 'nodes' AS relation, kind, count(*) AS n FROM nodes GROUP BY kind
 UNION ALL SELECT 'edges', kind, count(*) FROM edges GROUP BY kind
 UNION ALL SELECT 'nodes', '*', count(*) FROM nodes UNION ALL SELECT 'edges', '*', count(*) FROM edges"""))
 def stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return measures.stats(views.trade(spark, sf_dir))
+    return api.query(views.trade(spark, sf_dir), "stats")
 
 
 def _degree(end: str) -> str:
@@ -75,7 +79,7 @@ def rank_complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_trade(f" SELECT id, count(*) AS value FROM nodes JOIN (SELECT src, dst FROM edges WHERE kind <> 'contains') e ON id = dst WHERE {REAL} GROUP BY id ORDER BY value DESC, id LIMIT 20"))
 def rank_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return measures.top(measures.fan_in(views.trade(spark, sf_dir)))
+    return api.query(views.trade(spark, sf_dir), "rank", by="fan_in")["rows"]
 
 
 @query(_trade(f""", reach AS (
@@ -93,7 +97,7 @@ _HIT = "CASE WHEN lower(label) = 'p7' THEN 0 WHEN starts_with(lower(label), 'p7'
   CASE WHEN kind IN ('class', 'interface', 'function', 'method', 'variable') THEN 0 WHEN kind IN ('package', 'module', 'file') THEN 1 ELSE 2 END AS r FROM nodes) t
 WHERE m IS NOT NULL ORDER BY m, r, id LIMIT 20"""))
 def search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return measures.search(views.trade(spark, sf_dir), " P7 ")
+    return api.query(views.trade(spark, sf_dir), "search", query=" P7 ")
 
 
 HUB = "part::p7"
@@ -103,7 +107,7 @@ HUB = "part::p7"
   SELECT 'outgoing' AS direction, kind, dst AS other FROM edges WHERE src = '{HUB}' AND kind <> 'contains'
   UNION ALL SELECT 'incoming', kind, src FROM edges WHERE dst = '{HUB}' AND kind <> 'contains') t GROUP BY direction, kind"""))
 def symbol_dossier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = measures.dossier(views.trade(spark, sf_dir), HUB)
+    got = api.query(views.trade(spark, sf_dir), "symbol", node=HUB)
     return got.withColumn("others", F.array_join("others.other", " "))
 
 
@@ -114,7 +118,7 @@ _EITHER = "either AS (SELECT src, dst FROM edges WHERE kind <> 'contains' UNION
 SELECT '{HUB}' AS id, CAST(0 AS INTEGER) AS level UNION ALL SELECT id, CAST(1 AS INTEGER) FROM one WHERE id <> '{HUB}'
 UNION ALL SELECT id, CAST(2 AS INTEGER) FROM two WHERE id <> '{HUB}' AND id NOT IN (SELECT id FROM one)"""))
 def neighborhood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return measures.neighborhood(views.trade(spark, sf_dir), HUB, 2)
+    return api.query(views.trade(spark, sf_dir), "neighborhood", node=HUB, depth=2)
 
 
 _OWN = """, own AS (
@@ -134,7 +138,7 @@ _OWN = """, own AS (
 SELECT n.id, coalesce(methods, 0) AS methods, coalesce(cbo, 0) AS cbo, coalesce(methods, 0) + coalesce(called, 0) AS rfc, coalesce(atfd, 0) AS atfd, wmc
 FROM nodes n LEFT JOIN m ON n.id = m.owner LEFT JOIN c ON n.id = c.a LEFT JOIN r ON n.id = r.a LEFT JOIN d ON n.id = d.a WHERE n.kind IN ('class', 'interface')"""))
 def metrics_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return coupling.type_metrics(views.trade(spark, sf_dir))
+    return api.query(views.trade(spark, sf_dir), "metrics")["types"]
 
 
 @query(_trade(_OWN + """, ms AS (SELECT id, owner FROM own WHERE kind = 'method'
@@ -146,7 +150,7 @@ def metrics_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 ), ok AS (SELECT c.owner, coalesce(s.sharing, 0) AS sharing, c.k * (c.k - 1) // 2 AS pairs FROM counts c LEFT JOIN shared s ON c.owner = s.owner WHERE k >= 2 AND c.owner IN (SELECT owner FROM used))
 SELECT n.id, sharing, pairs - sharing AS non_sharing, round(sharing / pairs, 9) AS tcc FROM nodes n LEFT JOIN ok ON n.id = ok.owner WHERE n.kind IN ('class', 'interface')"""))
 def metrics_cohesion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return coupling.cohesion(views.trade(spark, sf_dir)).withColumn("tcc", F.round("tcc", 9))
+    return api.query(views.trade(spark, sf_dir), "metrics")["cohesion"].withColumn("tcc", F.round("tcc", 9))
 
 
 @query(_trade(""", pe AS (
@@ -156,7 +160,7 @@ SELECT id, ca, ce, external_ce, round(CASE WHEN ca + ce > 0 THEN ce / (ca + ce)
   SELECT id, (SELECT count(*) FROM pe WHERE b = p.id AND a <> p.id) AS ca, (SELECT count(*) FROM pe WHERE a = p.id AND b <> p.id) AS ce,
     (SELECT count(*) FROM pe WHERE a = p.id AND b IS NULL) AS external_ce FROM p) t"""))
 def metrics_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return coupling.package_metrics(views.trade(spark, sf_dir)).withColumn("instability", F.round("instability", 9))
+    return api.query(views.trade(spark, sf_dir), "metrics")["packages"].withColumn("instability", F.round("instability", 9))
 
 
 @query("""SELECT concat('p', p_partkey) AS file, n AS changes, CAST(p_size AS BIGINT) + 1 AS complexity, n * (CAST(p_size AS BIGINT) + 1) AS score
@@ -186,44 +190,58 @@ _START = "start AS (SELECT dst AS id FROM edges GROUP BY dst ORDER BY count(*) D
 
 
 def _reach(a: str, b: str) -> str:
-    return _users(f""", {_START}, reach AS (SELECT e.{b} AS id FROM edges e JOIN start ON e.{a} = start.id UNION SELECT e.{b} FROM reach r JOIN edges e ON e.{a} = r.id)
+    return _journeys(f""", {_START}, reach AS (SELECT e.{b} AS id FROM edges e JOIN start ON e.{a} = start.id UNION SELECT e.{b} FROM reach r JOIN edges e ON e.{a} = r.id)
 SELECT id FROM reach WHERE id NOT IN (SELECT id FROM start)""")
 
 
 @query(_reach("src", "dst"))
 def descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = views.users(spark, sf_dir)
-    return closure.descendants(g, _middle(g)).select("id")
+    g = views.journeys(spark, sf_dir)
+    return api.query(g, "descendants", node=_middle(g), expand=True)["rows"].select("id")
 
 
 @query(_reach("dst", "src"))
 def ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = views.users(spark, sf_dir)
-    return closure.ancestors(g, _middle(g)).select("id")
+    g = views.journeys(spark, sf_dir)
+    return api.query(g, "ancestors", node=_middle(g), expand=True)["rows"].select("id")
 
 
 @query(_reach("dst", "src"))
 def blast_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = views.users(spark, sf_dir)
-    return closure.blast_radius(g, _middle(g)).select("id")
+    g = views.journeys(spark, sf_dir)
+    return api.query(g, "blast_radius", node=_middle(g), expand=True)["rows"].select("id")
 
 
 _DIST = """, hops AS (
   SELECT src AS a, dst AS b, 1 AS d FROM edges
-  UNION SELECT h.a, e.dst, h.d + 1 FROM hops h JOIN edges e ON h.b = e.src WHERE h.d < (SELECT count(*) FROM nodes) AND h.d < 60
+  UNION SELECT h.a, e.dst, h.d + 1 FROM hops h JOIN edges e ON h.b = e.src WHERE h.d < (SELECT count(*) FROM nodes) AND h.d < 16
 ), dist AS (SELECT a, b, min(d) AS d FROM hops WHERE a <> b GROUP BY a, b)"""
 
 
-@query(_users(_DIST + " SELECT a, b, CAST(d AS BIGINT) AS hops FROM dist"))
+@query(_followers(_DIST + " SELECT a, b, CAST(d AS BIGINT) AS hops FROM dist"))
 def path_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = views.users(spark, sf_dir)
+    g = views.followers(spark, sf_dir)
     got = closure.closure(g.links("closure"), g.nodes.select(F.col("id").alias("seed")))
     return got.select(F.col("seed").alias("a"), F.col("id").alias("b"), F.col("level").alias("hops"))
 
 
+@query(_followers(_DIST + f""", {_START}, far AS (SELECT dist.a, dist.b, dist.d FROM dist JOIN start ON dist.a = start.id ORDER BY dist.d DESC, dist.b LIMIT 1)
+SELECT a AS src, b AS dst, CAST(d AS BIGINT) AS hops, true AS linked FROM far"""))
+def path_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The walk to the farthest user: its ends, its length, and whether each step is a link that follows on the one before."""
+    g = views.followers(spark, sf_dir)
+    start = _middle(g)
+    far = closure.descendants(g, start).orderBy(F.col("level").desc(), "id").first()
+    got = api.query(g, "path", a=start, b=far["id"]).join(g.edges.select("src", "dst").distinct().withColumn("known", F.lit(True)), ["src", "dst"], "left")
+    steps = F.array_sort(F.collect_list(F.struct("step", "src", "dst", F.coalesce("known", F.lit(False)).alias("known"))))
+    d = got.agg(steps.alias("s"))
+    follows = F.forall(F.sequence(F.lit(1), F.size("s") - 1), lambda i: F.get("s", i)["src"] == F.get("s", i - 1)["dst"]) if (far["level"] > 1) else F.lit(True)
+    return d.select(F.get("s", F.lit(0))["src"].alias("src"), F.element_at("s", -1)["dst"].alias("dst"), F.size("s").cast("long").alias("hops"), (follows & F.forall("s", lambda x: x["known"])).alias("linked"))
+
+
 @query()
 def path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = views.users(spark, sf_dir)
+    g = views.journeys(spark, sf_dir)
     start = _middle(g)
     far = closure.descendants(g, start).orderBy(F.col("level").desc(), "id").first()
     return closure.path(g, start, far["id"] if far else start)
@@ -256,9 +274,9 @@ _PAGERANK = _rounds(
 )
 
 
-@query(_users(_PAGERANK))
+@query(_journeys(_PAGERANK))
 def rank_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return centrality.pagerank(projection(views.users(spark, sf_dir))).withColumn("value", F.round("value", 6))
+    return centrality.pagerank(projection(views.journeys(spark, sf_dir))).withColumn("value", F.round("value", 6))
 
 
 _KATZ = _rounds(
@@ -268,78 +286,98 @@ _KATZ = _rounds(
 )
 
 
-@query(_users(_KATZ))
+@query(_journeys(_KATZ))
 def rank_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return centrality.katz(projection(views.users(spark, sf_dir))).withColumn("value", F.round("value", 6))
+    return centrality.katz(projection(views.journeys(spark, sf_dir))).withColumn("value", F.round("value", 6))
 
 
-@query()
+_SPECTRAL = _rounds(
+    "ev", f"1.0 / {_N}",
+    "SELECT id, v / sqrt(sum(v * v) OVER ()) AS v FROM (SELECT n.id, coalesce(s.v, 0) + q.v AS v FROM nodes n JOIN {p} q ON q.id = n.id LEFT JOIN (SELECT e.dst, sum(q.v) AS v FROM edges e JOIN {p} q ON q.id = e.src GROUP BY e.dst) s ON s.dst = n.id) t",
+    60, "SELECT id, round(v / (SELECT sqrt(sum(v * v)) FROM got), 6) AS value FROM got",
+)
+
+
+@query(_followers(_SPECTRAL))
 def rank_eigenvector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = centrality.eigenvector(projection(views.users(spark, sf_dir)))
-    return got if got is not None else spark.createDataFrame([], "id string, value double")
+    got = centrality.eigenvector(projection(views.followers(spark, sf_dir)))
+    return got.withColumn("value", F.round("value", 6)) if got is not None else _declined(spark, "id string, value double")
 
 
-@query(_users(_DIST + f""", c AS (SELECT b AS id, count(*) AS r, sum(d) AS s FROM dist GROUP BY b)
+@query(_followers(_DIST + f""", c AS (SELECT b AS id, count(*) AS r, sum(d) AS s FROM dist GROUP BY b)
 SELECT n.id, round(coalesce(r / s * r / ({_N} - 1), 0), 9) AS value FROM nodes n LEFT JOIN c ON n.id = c.id"""))
 def rank_closeness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return centrality.closeness(projection(views.users(spark, sf_dir))).withColumn("value", F.round("value", 9))
+    return centrality.closeness(projection(views.followers(spark, sf_dir))).withColumn("value", F.round("value", 9))
 
 
-@query(_users(_DIST + f""", d0 AS (SELECT a, b, d FROM dist UNION ALL SELECT id, id, 0 FROM nodes
+@query(_followers(_DIST + f""", d0 AS (SELECT a, b, d FROM dist UNION ALL SELECT id, id, 0 FROM nodes
 ), sig AS (SELECT id AS a, id AS b, 0 AS d, CAST(1 AS DOUBLE) AS s FROM nodes
   UNION ALL (SELECT p.a, e.dst, p.d + 1, p.s FROM sig p JOIN edges e ON e.src = p.b JOIN d0 ON d0.a = p.a AND d0.b = e.dst AND d0.d = p.d + 1)
 ), paths AS (SELECT a, b, d, sum(s) AS s FROM sig GROUP BY a, b, d
 ), part AS (SELECT x.b AS id, sum(x.s * y.s / z.s) AS v FROM paths x JOIN paths y ON x.b = y.a JOIN paths z ON z.a = x.a AND z.b = y.b AND z.d = x.d + y.d WHERE x.d > 0 AND y.d > 0 GROUP BY x.b)
 SELECT n.id, round(coalesce(v, 0) / CASE WHEN {_N} > 2 THEN ({_N} - 1) * ({_N} - 2) ELSE 1 END, 9) AS value FROM nodes n LEFT JOIN part ON n.id = part.id"""))
 def rank_betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = centrality.betweenness(projection(views.users(spark, sf_dir)))
+    got = centrality.betweenness(projection(views.followers(spark, sf_dir)))
     return got.withColumn("value", F.round("value", 9)) if got is not None else _declined(spark, "id string, value double")
 
 
-_PAIRS = ", reach AS (SELECT src AS a, dst AS b FROM edges UNION SELECT r.a, e.dst FROM reach r JOIN edges e ON r.b = e.src)"
+#: A user's events are in one component as long as each leads back to the one before; nothing else leads back.
+_ISLANDS = """, runs AS (SELECT id, u, sum(CASE WHEN t IN ('signup', 'view') AND before IS NOT NULL THEN 0 ELSE 1 END) OVER (PARTITION BY u ORDER BY ts, e) AS run FROM seen
+), comp AS MATERIALIZED (SELECT id, min(id) OVER (PARTITION BY u, run) AS component FROM runs)"""
 
 
-@query(_users(_PAIRS + " SELECT n.id, least(n.id, min(r.b)) AS component FROM nodes n LEFT JOIN (SELECT x.a, x.b FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a) r ON r.a = n.id GROUP BY n.id"))
+@query(_journeys(_ISLANDS + " SELECT id, component FROM comp"))
 def strong_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = views.users(spark, sf_dir)
+    g = views.journeys(spark, sf_dir)
     return topology.components(g.nodes.select("id"), g.links("closure"))
 
 
-@query(_users(_PAIRS + """, c AS (SELECT x.a AS id, least(x.a, min(x.b)) AS component FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a GROUP BY x.a)
-SELECT component, string_agg(id, ' ' ORDER BY id) AS members, 'calls' AS edge_kind FROM c GROUP BY component HAVING count(*) > 1"""))
+@query(_journeys(_ISLANDS + " SELECT component, string_agg(id, ' ' ORDER BY id) AS members, 'calls' AS edge_kind FROM comp GROUP BY component HAVING count(*) > 1"))
 def cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topology.cycles(views.users(spark, sf_dir)).withColumn("members", F.array_join("members", " "))
+    return topology.cycles(views.journeys(spark, sf_dir)).withColumn("members", F.array_join("members", " "))
 
 
 @query()
 def topo_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topology.topo_sort(projection(views.users(spark, sf_dir)))
+    return api.query(views.journeys(spark, sf_dir), "topo_sort")
+
+
+@query(_journeys(_ISLANDS + """ SELECT CAST(count(*) AS BIGINT) AS groups, CAST(count(*) FILTER (n > 1) AS BIGINT) AS cyclic, CAST(sum(n) AS BIGINT) AS members, CAST(0 AS BIGINT) AS out_of_order
+FROM (SELECT component, count(*) AS n FROM comp GROUP BY component) t"""))
+def topo_sort_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order's groups, and how many links lead from a group to one that is not before it: none may."""
+    p = projection(views.journeys(spark, sf_dir))
+    order = topology.topo_sort(p)
+    at = order.select("position", F.explode("members").alias("id"))
+    late = p.links.join(at.toDF("a", "src"), "src").join(at.toDF("b", "dst"), "dst").where("a < b").agg(F.count(F.lit(1)).alias("out_of_order"))
+    size = F.size("members")
+    return order.agg(F.count(F.lit(1)).alias("groups"), F.count_if("cyclic").alias("cyclic"), F.sum(size).alias("members")).crossJoin(late)
 
 
 @query()
 def community_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return communities.communities(projection(views.users(spark, sf_dir)))
+    return api.query(views.journeys(spark, sf_dir), "communities")["labels"]
 
 
-_FIXED = "p AS (SELECT id, CAST(CAST(split_part(id, '::', 2) AS BIGINT) % 5 AS BIGINT) AS c FROM nodes), w AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, count(*) AS w FROM edges GROUP BY 1, 2), e AS (SELECT w.*, x.c AS ca, y.c AS cb FROM w JOIN p x ON w.a = x.id JOIN p y ON w.b = y.id)"
+_FIXED = "p AS (SELECT id, CAST(CAST(substr(split_part(id, '::', 2), 2) AS BIGINT) % 5 AS BIGINT) AS c FROM nodes), w AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, count(*) AS w FROM edges GROUP BY 1, 2), e AS (SELECT w.*, x.c AS ca, y.c AS cb FROM w JOIN p x ON w.a = x.id JOIN p y ON w.b = y.id)"
 
 
 def _by_number(g: Graph) -> DataFrame:
-    return g.nodes.select("id", (F.substring_index("id", "::", -1).cast("long") % 5).alias("community"))
+    return g.nodes.select("id", (F.expr("substring(substring_index(id, '::', -1), 2)").cast("long") % 5).alias("community"))
 
 
-@query(_users(f""", {_FIXED}, m AS (SELECT sum(w) AS m FROM e), l AS (SELECT ca AS c, sum(CASE WHEN ca = cb THEN w ELSE 0 END) AS l FROM e GROUP BY ca
+@query(_journeys(f""", {_FIXED}, m AS (SELECT sum(w) AS m FROM e), l AS (SELECT ca AS c, sum(CASE WHEN ca = cb THEN w ELSE 0 END) AS l FROM e GROUP BY ca
 ), d AS (SELECT c, sum(w) AS d FROM (SELECT ca AS c, w FROM e UNION ALL SELECT cb, w FROM e) t GROUP BY c)
 SELECT round(sum(coalesce(l, 0) / m - (d / (2.0 * m)) * (d / (2.0 * m))), 9) AS q FROM d LEFT JOIN l ON d.c = l.c CROSS JOIN m"""))
 def modularity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = views.users(spark, sf_dir)
+    g = views.journeys(spark, sf_dir)
     return communities.modularity(projection(g), _by_number(g)).select(F.round("q", 9).alias("q"))
 
 
-@query(_users(f""", {_FIXED} SELECT c AS community, count(*) AS size,
+@query(_journeys(f""", {_FIXED} SELECT c AS community, count(*) AS size,
   (SELECT count(*) FROM e WHERE ca = p.c AND cb = p.c) AS internal, (SELECT count(*) FROM e WHERE ca <> cb AND (ca = p.c OR cb = p.c)) AS cut FROM p GROUP BY c"""))
 def community_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = views.users(spark, sf_dir)
+    g = views.journeys(spark, sf_dir)
     return communities.summaries(projection(g), _by_number(g))
 
 
@@ -366,10 +404,14 @@ def diff_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff.changed_kinds(_cut(g, True), _cut(g, False))
 
 
-@query()
+@query(_trade(f""", fan AS (SELECT n.id, count(*) AS value FROM edges e JOIN nodes n ON e.dst = n.id WHERE e.kind <> 'contains' AND n.{REAL.replace("AND id NOT", "AND n.id NOT")} GROUP BY n.id
+), me AS (SELECT value FROM fan WHERE id = '{HUB}'), {_EITHER}
+, reach AS (SELECT src AS id FROM edges WHERE dst = '{HUB}' AND kind IN ('calls', 'reads', 'writes') UNION SELECT e.src FROM reach r JOIN edges e ON e.dst = r.id AND e.kind IN ('calls', 'reads', 'writes'))
+SELECT '{HUB}' AS id, (SELECT count(*) FROM fan, me WHERE fan.value > me.value OR (fan.value = me.value AND fan.id <= '{HUB}')) AS rank, CAST((SELECT value FROM me) AS DOUBLE) AS value,
+  (SELECT count(*) FROM reach WHERE id <> '{HUB}') AS blast, (SELECT count(DISTINCT dst) FROM either WHERE src = '{HUB}' AND dst <> '{HUB}') AS neighbors,
+  (SELECT count(*) FROM edges WHERE src = '{HUB}' AND dst LIKE 'external::%') AS unresolved"""))
 def diagnose_hotspot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = views.trade(spark, sf_dir)
-    return diff.diagnose(g, measures.fan_in(g), HUB)
+    return api.query(views.trade(spark, sf_dir), "diagnose_hotspot", node=HUB).drop("diagnostics")
 
 
 @query(_trade(" SELECT src AS id, count(*) AS value FROM edges WHERE dst LIKE 'external::%' GROUP BY src"))
@@ -453,19 +495,20 @@ def audit_unlinked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.audit_verify(log.withColumn("hash", hashed))
 
 
-@query()
+@query(_trade(f""", lv AS (SELECT id, CAST(CASE WHEN id IN (SELECT src FROM edges WHERE kind IN ('calls', 'writes')) THEN 2 WHEN id IN (SELECT src FROM edges WHERE kind = 'reads') THEN 1 ELSE 0 END AS BIGINT) AS y FROM nodes WHERE {REAL})
+SELECT id, CAST(row_number() OVER (PARTITION BY y ORDER BY id) - 1 AS BIGINT) AS x, y FROM lv"""))
 def layout_layered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = projection(views.users(spark, sf_dir))
+    p = projection(views.trade(spark, sf_dir))
     return layout.layered(p.nodes, p.links)
 
 
 @query()
 def layout_force(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = layout.force(projection(views.users(spark, sf_dir)))
+    got = layout.force(projection(views.followers(spark, sf_dir)))
     return got if got is not None else _declined(spark, "id string, x double, y double")
 
 
 @query(_trade(""" SELECT a.id, CAST(CASE WHEN e.src IS NULL THEN 0 WHEN f.src IS NULL THEN 1 WHEN g.src IS NULL THEN 2 ELSE 3 END AS INTEGER) AS depth, e.src AS parent FROM nodes a
 LEFT JOIN edges e ON e.dst = a.id AND e.kind = 'contains' LEFT JOIN edges f ON f.dst = e.src AND f.kind = 'contains' LEFT JOIN edges g ON g.dst = f.src AND g.kind = 'contains'"""))
 def layout_clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.clustered(views.trade(spark, sf_dir))
+    return api.query(views.trade(spark, sf_dir), "render", kind="clustered")["rows"]

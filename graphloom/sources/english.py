@@ -12,11 +12,40 @@ from ..profile import ENGLISH
 GRAMMAR = {"nsubj": "subject", "nsubjpass": "subject", "dobj": "object", "obj": "object", "pobj": "object", "amod": "modifies", "advmod": "modifies", "prep": "attaches-to", "conj": "coordinated-with", "relcl": "refers-to"}
 
 
+#: A line's container and block marks, by the rules of CommonMark: up to three blanks of indent, quote marks, a bullet or number.
+_INDENT = r" {0,3}"
+_MARKS = rf"^(?:{_INDENT}>[ \t]?)*(?:{_INDENT}(?:[-+*]|\d{{1,9}}[.)])(?:[ \t]+|$))?(?:{_INDENT}#{{1,6}}(?:[ \t]+|$))?"
+_RULE = rf"^{_INDENT}(?:(?:-[ \t]*){{3,}}|(?:_[ \t]*){{3,}}|(?:\*[ \t]*){{3,}}|=+[ \t]*)$"
+_FENCE = rf"^{_INDENT}(?:```|~~~)"
+#: Code spans, images and links (inline and by reference), automatic links and tags, and runs of emphasis around words.
+_SPANS = ((r"(`+)[ ]?([^`]+?)[ ]?\1", "$2"), (r"!?\[((?:[^\[\]]|\[[^\]]*\])*)\](?:\([^()\s]*(?:\s+[^()]*)?\)|\[[^\]]*\])", "$1"), (r"<((?:https?|mailto):[^\s<>]+)>", "$1"), (r"(?<![\w\\])(\*{1,3}|_{1,3})(?=\S)([^*_]+?)(?<=\S)\1(?!\w)", "$2"), (r"\\([!-/:-@\[-`{-~])", "$1"))
+
+
+def clean_lines(text: Column) -> Column:
+    """The lines of a Markdown text that hold prose, as an array of (line, text): line is the place in the input, from 1.
+
+    Fenced code, rules and empty lines are left out; marks of quotes, lists and
+    headings are taken off; spans keep what a reader sees.
+    """
+    lines = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n?", "\n"), "\n")
+    start = F.struct(F.lit(False).alias("code"), F.array().cast("array<struct<line:int,text:string>>").alias("kept"))
+
+    def step(s, x):
+        fence = x["value"].rlike(_FENCE)
+        plain = F.regexp_replace(x["value"], _MARKS, "")
+        for pattern, put in _SPANS:
+            plain = F.regexp_replace(plain, pattern, put)
+        prose = ~s["code"] & ~fence & ~x["value"].rlike(_RULE) & (F.trim(plain) != "")
+        kept = F.when(prose, F.concat(s["kept"], F.array(F.struct(x["line"].alias("line"), F.trim(plain).alias("text"))))).otherwise(s["kept"])
+        return F.struct((s["code"] != fence).alias("code"), kept.alias("kept"))
+
+    numbered = F.transform(lines, lambda x, i: F.struct((i + 1).cast("int").alias("line"), x.alias("value")))
+    return F.aggregate(numbered, start, step, lambda s: s["kept"])
+
+
 def clean_markdown(text: Column) -> Column:
-    """Headings, quotes, list marks, links and emphasis become plain text."""
-    for pattern, put in ((r"(?m)^\s{0,3}#{1,6}\s+", ""), (r"(?m)^\s{0,3}>\s?", ""), (r"(?m)^\s*(?:[-*+]|\d+[.)])\s+", ""), (r"!?\[([^\]]*)\]\([^)]*\)", "$1"), (r"(\*\*|__|\*|_|`)(\S(?:.*?\S)?)\1", "$2")):
-        text = F.regexp_replace(text, pattern, put)
-    return text
+    """The prose of a Markdown text, a line for each line of it."""
+    return F.array_join(F.transform(clean_lines(text), lambda x: x["text"]), "\n")
 
 
 def sentences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

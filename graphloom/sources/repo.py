@@ -1,4 +1,4 @@
-"""Source trees as raw rows: file scan, package discovery, extraction of Python and Markdown."""
+"""Source trees as raw rows: file scan, package discovery, extraction by language."""
 
 from __future__ import annotations
 
@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from .. import schema
 from ..build import Raw
 from ..graph import checkpointed, numbered, running
+from . import lexed
 
-#: Extensions that the extractors of the raw tables know; fixed values.
-EXTENSIONS = "rs ts tsx js jsx mjs cjs py pyi kt kts c h java go sh bash zsh cpp cc cxx hpp hh hxx swift rb r jl cs php scala sc hs ex exs lua md markdown".split()
+#: Suffixes of files that are read; fixed values, as graphs of the same tree must have the same files.
+EXTENSIONS = "bash c cc cjs cpp cs cts cxx ex exs go h hh hpp hs hxx java jl js jsx kt kts lua md mjs mts php py pyi r rb rs sc scala sh swift ts tsx".split()
 SKIP = r"/(?:target|node_modules|\.[^/]+)/"
 
 
@@ -202,7 +203,7 @@ _OUT = "part string, file_seq long, seq int, package string, file string, module
 
 
 def extract(found: DataFrame) -> Raw:
-    """Raw tables of (package, file, text, path): Python through its syntax tree, Markdown as one document symbol.
+    """Raw tables of (package, file, text, path): Python through its syntax tree, Markdown as one document symbol, other languages by lexing.
 
     Files that do not parse give their file row only. Files are numbered by path.
     """
@@ -213,17 +214,16 @@ def extract(found: DataFrame) -> Raw:
         for b in batches:
             out = []
             for seq, package, file, text in zip(b["file_seq"], b["package"], b["file"], b["text"]):
-                m = module_id(package, file)
+                suffix = file.rsplit(".", 1)[-1].lower()
+                m = lexed.module_id(package, file, text) if suffix in lexed.BY_SUFFIX else module_id(package, file)
                 head = (package, file, m)
                 out.append(("file", seq, 0, *head, None, None, None, None, None, None, None, None, None, None, None))
-                if file.rsplit(".", 1)[-1].lower() in ("md", "markdown"):
+                if suffix == "md":
                     stem = m.rsplit("::", 1)[-1]
                     out.append(("symbol", seq, 0, *head, f"{m}::{stem}", stem, "doc", 1, 1, [], [], [], None, None, None))
                     continue
-                if not file.endswith((".py", ".pyi")):
-                    continue
                 try:
-                    x = Extractor(package, file, text)
+                    x = lexed.Lexed(package, file, text, m) if suffix in lexed.BY_SUFFIX else Extractor(package, file, text)
                 except (SyntaxError, ValueError):
                     continue
                 out += [("symbol", seq, n, *head, s[0], s[2], s[1], s[3], s[4], s[5], s[6], s[7], s[8], s[9], s[10]) for n, s in enumerate(x.symbols)]
@@ -247,9 +247,15 @@ def extract(found: DataFrame) -> Raw:
     )
 
 
-def commits(spark: SparkSession, lines: DataFrame) -> DataFrame:
-    """transactions(tx_id, file) from log text (line_no, value): a line `commit ...` starts one, others name files."""
+def commits(spark: SparkSession, lines: DataFrame, since: str | None = None) -> DataFrame:
+    """transactions(tx_id, file) from log text (line_no, value): a line `commit ID DATE` starts one, others name files.
+
+    With since, commits with an earlier date (yyyy-mm-dd) or without one are left out.
+    """
     d = running(lines, ["line_no"], F.col("value").startswith("commit ").cast("long"), "tx_id")
+    if since is not None:
+        dated = d.where(F.col("value").startswith("commit ")).select("tx_id", F.regexp_extract("value", r"(\d{4}-\d{2}-\d{2})", 1).alias("day"))
+        d = d.join(dated.where(F.col("day") >= since).select("tx_id"), "tx_id", "left_semi")
     return d.where(~F.col("value").startswith("commit ") & (F.trim("value") != "") & (F.col("tx_id") > 0)).select("tx_id", F.trim("value").alias("file"))
 
 

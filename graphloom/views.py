@@ -9,66 +9,60 @@ from .graph import Graph
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
-PLACES = """
-places AS (
-  SELECT n_nationkey AS nk, concat('r', n_regionkey) AS package, concat('r', n_regionkey, '::n', n_nationkey) AS module FROM nation
-), cust AS (
-  SELECT c_custkey AS ck, c_name AS label, module, concat(module, '::c', c_custkey) AS id FROM customer JOIN places ON c_nationkey = nk
-), supp AS (
-  SELECT s_suppkey AS sk, s_name AS label, module, concat(module, '::s', s_suppkey) AS id FROM supplier JOIN places ON s_nationkey = nk
-), lines AS (
-  SELECT l_orderkey AS ok, l_partkey AS pk, l_suppkey AS sk, min(l_linenumber) AS line, count(*) AS n FROM lineitem GROUP BY l_orderkey, l_partkey, l_suppkey
-), lengths AS (
-  SELECT ok, sum(n) AS n FROM lines GROUP BY ok
-), ords AS (
-  SELECT o.o_orderkey AS ok, o.o_orderstatus AS status, cust.id AS owner, concat(cust.id, '::o', o.o_orderkey) AS id FROM orders o JOIN cust ON o.o_custkey = cust.ck
-), offers AS (
-  SELECT DISTINCT lines.pk, lines.sk, supp.id AS owner, concat(supp.id, '::p', lines.pk) AS id FROM lines JOIN supp ON lines.sk = supp.sk
-)
-"""
-
-#: Regions, nations, customers, suppliers, orders, parts and brands as a code graph.
-TRADE_NODES = """
-nodes AS (
-  SELECT DISTINCT package AS id, 'package' AS kind, package AS label, CAST(NULL AS INT) AS decisions FROM places
+#: Regions, nations, customers, suppliers, orders, parts and brands as a code graph, table by table.
+TRADE = {
+    "places": "SELECT n_nationkey AS nk, concat('r', n_regionkey) AS package, concat('r', n_regionkey, '::n', n_nationkey) AS module FROM nation",
+    "cust": "SELECT c_custkey AS ck, c_name AS label, module, concat(module, '::c', c_custkey) AS id FROM customer JOIN places ON c_nationkey = nk",
+    "supp": "SELECT s_suppkey AS sk, s_name AS label, module, concat(module, '::s', s_suppkey) AS id FROM supplier JOIN places ON s_nationkey = nk",
+    "lines": "SELECT l_orderkey AS ok, l_partkey AS pk, l_suppkey AS sk, min(l_linenumber) AS line, count(*) AS n FROM lineitem GROUP BY l_orderkey, l_partkey, l_suppkey",
+    "ords": "SELECT o.o_orderkey AS ok, o.o_orderstatus AS status, cust.id AS owner, concat(cust.id, '::o', o.o_orderkey) AS id FROM orders o JOIN cust ON o.o_custkey = cust.ck",
+    "lengths": "SELECT ok, sum(n) AS n FROM lines GROUP BY ok",
+    "sold": "SELECT ords.id AS oid, lines.pk, lines.sk, lines.line FROM lines JOIN ords ON lines.ok = ords.ok",
+    "offers": "SELECT pairs.pk, pairs.sk, supp.id AS owner, concat(supp.id, '::p', pairs.pk) AS id FROM (SELECT DISTINCT pk, sk FROM lines) pairs JOIN supp ON pairs.sk = supp.sk",
+    "nodes": """SELECT DISTINCT package AS id, 'package' AS kind, package AS label, CAST(NULL AS INT) AS decisions FROM places
   UNION ALL SELECT module, 'module', module, CAST(NULL AS INT) FROM places
   UNION ALL SELECT id, 'class', label, CAST(NULL AS INT) FROM cust
   UNION ALL SELECT id, 'interface', label, CAST(NULL AS INT) FROM supp
   UNION ALL SELECT ords.id, 'method', concat('o', ords.ok), CASE WHEN status <> 'P' THEN CAST(coalesce(lengths.n, 0) AS INT) END FROM ords LEFT JOIN lengths ON ords.ok = lengths.ok
   UNION ALL SELECT id, 'method', concat('p', pk), CAST(NULL AS INT) FROM offers
   UNION ALL SELECT concat('part::p', p_partkey), 'variable', concat('p', p_partkey), p_size FROM part
-  UNION ALL SELECT DISTINCT concat('external::', p_brand), 'external', p_brand, CAST(NULL AS INT) FROM part
-)
-"""
-
-TRADE_EDGES = """
-edges AS (
-  SELECT package AS src, module AS dst, 'contains' AS kind, CAST(NULL AS INT) AS line FROM places
+  UNION ALL SELECT DISTINCT concat('external::', p_brand), 'external', p_brand, CAST(NULL AS INT) FROM part""",
+    "edges": """SELECT package AS src, module AS dst, 'contains' AS kind, CAST(NULL AS INT) AS line FROM places
   UNION ALL SELECT module, id, 'contains', CAST(NULL AS INT) FROM cust
   UNION ALL SELECT module, id, 'contains', CAST(NULL AS INT) FROM supp
   UNION ALL SELECT owner, id, 'contains', CAST(NULL AS INT) FROM ords
   UNION ALL SELECT owner, id, 'contains', CAST(NULL AS INT) FROM offers
-  UNION ALL SELECT ords.id, offers.id, 'calls', min(lines.line) FROM lines JOIN ords ON lines.ok = ords.ok JOIN offers ON lines.pk = offers.pk AND lines.sk = offers.sk GROUP BY ords.id, offers.id
-  UNION ALL SELECT ords.id, concat('part::p', lines.pk), 'writes', min(lines.line) FROM lines JOIN ords ON lines.ok = ords.ok GROUP BY ords.id, lines.pk
+  UNION ALL SELECT sold.oid, concat(supp.id, '::p', sold.pk), 'calls', sold.line FROM sold JOIN supp ON sold.sk = supp.sk
+  UNION ALL SELECT oid, concat('part::p', pk), 'writes', min(line) FROM sold GROUP BY oid, pk
   UNION ALL SELECT id, concat('part::p', pk), 'reads', CAST(NULL AS INT) FROM offers
-  UNION ALL SELECT concat('part::p', p_partkey), concat('external::', p_brand), 'references', CAST(NULL AS INT) FROM part
-)
-"""
-
-TRADE = f"{PLACES}, {TRADE_NODES}, {TRADE_EDGES}"
-
-#: Who followed whom with a purchase of more than ten times the value: a sparse graph with cycles.
-USERS = """
-steps AS (
-  SELECT a, b FROM (
-    SELECT lag(user_id) OVER (ORDER BY ts, event_id) AS a, lag(value) OVER (ORDER BY ts, event_id) AS before, user_id AS b, value FROM events WHERE event_type = 'purchase'
-  ) t WHERE value > 10 * before
-), edges AS (
-  SELECT DISTINCT concat('u::', a) AS src, concat('u::', b) AS dst, 'calls' AS kind, CAST(NULL AS INT) AS line FROM steps WHERE a IS NOT NULL AND a <> b
-), nodes AS (
-  SELECT id, 'function' AS kind, id AS label, CAST(NULL AS INT) AS decisions FROM (SELECT src AS id FROM edges UNION SELECT dst FROM edges) t
-)
-"""
+  UNION ALL SELECT concat('part::p', p_partkey), concat('external::', p_brand), 'references', CAST(NULL AS INT) FROM part""",
+}
+
+#: Who bought after whom on the same day: one node per user, one link per pair; all purchases, each day in order.
+FOLLOWERS = {
+    "steps": "SELECT lag(user_id) OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) AS a, user_id AS b FROM events WHERE event_type = 'purchase'",
+    "edges": "SELECT DISTINCT concat('u::', a) AS src, concat('u::', b) AS dst, 'calls' AS kind, CAST(NULL AS INT) AS line FROM steps WHERE a IS NOT NULL AND a <> b",
+    "nodes": "SELECT DISTINCT concat('u::', user_id) AS id, 'function' AS kind, concat('u', user_id) AS label, CAST(NULL AS INT) AS decisions FROM events",
+}
+
+#: All events as nodes: each leads to the user's next one, a signup or a view also back to the one before,
+#: and the last of a day to the first of the next user on the day after. Users only lead to larger ones.
+JOURNEYS = {
+    "seen": "SELECT user_id AS u, event_type AS t, CAST(ts AS DATE) AS d, ts, event_id AS e, concat('u', user_id, '::e', event_id) AS id, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events",
+    "edges_": "SELECT concat('u', u, '::e', before) AS src, id AS dst FROM seen WHERE before IS NOT NULL UNION ALL SELECT id, concat('u', u, '::e', before) FROM seen WHERE before IS NOT NULL AND t IN ('signup', 'view')",
+    "ends": "SELECT u, d, id FROM (SELECT u, d, id, row_number() OVER (PARTITION BY u, d ORDER BY ts DESC, e DESC) AS n FROM seen) x WHERE n = 1",
+    "begins": "SELECT u, d, id FROM (SELECT u, d, id, row_number() OVER (PARTITION BY u, d ORDER BY ts, e) AS n FROM seen) x WHERE n = 1",
+    "edges": "SELECT src, dst, 'calls' AS kind, CAST(NULL AS INT) AS line FROM edges_ UNION ALL SELECT x.id, y.id, 'calls', CAST(NULL AS INT) FROM ends x JOIN begins y ON y.u = x.u + 1 AND y.d = x.d + INTERVAL 1 DAY",
+    "nodes": "SELECT id, 'function' AS kind, t AS label, CAST(NULL AS INT) AS decisions FROM seen",
+}
+
+#: Tables that others are built from, kept (memory, then disk) for the session so that they are read once.
+KEPT = ("lines", "ords", "sold", "offers", "seen", "nodes", "edges")
+
+
+def sql_of(parts: dict[str, str]) -> str:
+    """The tables as common table expressions for another SQL engine."""
+    return ", ".join(f"{name} AS MATERIALIZED ({text})" for name, text in parts.items())
 
 
 def register(spark: SparkSession, sf_dir: str, tables: list[str]) -> None:
@@ -76,21 +70,29 @@ def register(spark: SparkSession, sf_dir: str, tables: list[str]) -> None:
         spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
 
 
-def _graph(spark: SparkSession, sf_dir: str, sql: str, tables: list[str]) -> Graph:
+def _graph(spark: SparkSession, sf_dir: str, parts: dict[str, str], tables: list[str]) -> Graph:
     register(spark, sf_dir, tables)
-    # Kept (memory, then disk) for the session: every query of a graph reads it more than once.
-    nodes, edges = (spark.sql(f"WITH {sql} SELECT * FROM {t}").cache() for t in ("nodes", "edges"))
+    made = {}
+    for name, text in parts.items():
+        made[name] = spark.sql(text)
+        if name in KEPT:
+            made[name] = made[name].cache()
+        made[name].createOrReplaceTempView(name)
     none = F.lit(None)
-    nodes = nodes.withColumns({"refs": none.cast("array<string>"), "measures": none.cast("map<string,string>")})
-    return Graph(nodes, edges.withColumn("attrs", none.cast("map<string,string>")))
+    nodes = made["nodes"].withColumns({"refs": none.cast("array<string>"), "measures": none.cast("map<string,string>")})
+    return Graph(nodes, made["edges"].withColumn("attrs", none.cast("map<string,string>")))
 
 
 def trade(spark: SparkSession, sf_dir: str) -> Graph:
     return _graph(spark, sf_dir, TRADE, ["nation", "customer", "supplier", "part", "orders", "lineitem"])
 
 
-def users(spark: SparkSession, sf_dir: str) -> Graph:
-    return _graph(spark, sf_dir, USERS, ["events"])
+def followers(spark: SparkSession, sf_dir: str) -> Graph:
+    return _graph(spark, sf_dir, FOLLOWERS, ["events"])
+
+
+def journeys(spark: SparkSession, sf_dir: str) -> Graph:
+    return _graph(spark, sf_dir, JOURNEYS, ["events"])
 
 
 def purchases(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -18,7 +18,7 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", "stats rank_fan_in rank_blast_radius search metrics_packages metrics_cohesion history_coupling descendants rank_pagerank rank_betweenness cycles modularity build_calls document_sentences filed_rollforward".split())
+@pytest.mark.parametrize("name", "stats rank_fan_in rank_blast_radius search metrics_packages metrics_cohesion history_coupling descendants path_checked rank_pagerank rank_eigenvector rank_betweenness strong_components cycles topo_sort_checked modularity build_imports diagnostics_planted document_sentences document_graph filed_rollforward filed_balance sheet_values sheet_reads model_graphs audit_trail structure git_log layout_layered layout_clustered asked_in_words".split())
 def test_against_sql(spark, duck, name):
     got = queries.QUERIES[name](spark, DIR)
     want = duck.sql(queries.SQL[name])

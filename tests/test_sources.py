@@ -95,6 +95,8 @@ def test_repo_scan(spark, tmp_path):
 
 def test_git_log(spark):
     lines = spark.createDataFrame(list(enumerate(["commit 1", "", "r/a.py", "r/b.py", "commit 2", "a.py"])), "line_no long, value string")
+    dated = spark.createDataFrame(list(enumerate(["commit 1 2024-01-05", "a", "commit 2 2024-02-01", "b", "commit 3", "c"])), "line_no long, value string")
+    assert [tuple(r) for r in repo.commits(spark, dated, since="2024-01-31").collect()] == [(2, "b")]
     tx = repo.commits(spark, lines)
     known = spark.createDataFrame([("a.py",), ("r/b.py",)], "file string")
     assert sorted(tuple(r) for r in repo.to_graph_files(tx, known).collect()) == [(1, "a.py"), (1, "r/b.py"), (2, "a.py")]
@@ -183,6 +185,9 @@ def test_store_and_snapshot(spark, tmp_path):
 def test_english(spark):
     t = spark.createDataFrame([("# A [b](u) **c**\n> d\n- e",)], "t string").select(english.clean_markdown(F.col("t")).alias("t")).first()["t"]
     assert t == "A b c\nd\ne"
+    d = "# Head\n\n```\ncode\n```\n> 1. a *b c* `d_e` \\*\n***\n![alt](u.png \"t\") <https://x.y> [r][1] snake_case_name __f__"
+    got = spark.createDataFrame([(d,), (None,)], "t string").select(english.clean_lines(F.col("t")).alias("t")).collect()
+    assert [tuple(x) for x in got[0]["t"]] == [(1, "Head"), (6, "a b c d_e *"), (8, "alt https://x.y r snake_case_name f")] and got[1]["t"] == []
     d = spark.createDataFrame([(1, "One. Two!  Three\n\nFour"), (2, None)], "doc_id long, text string")
     assert [r["sentence"] for r in english.sentences(d).orderBy("seq").collect()] == ["One.", "Two!", "Three", "Four"]
     g = english.containment(d)
