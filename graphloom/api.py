@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import inspect
+import json
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import build, schema, store
 from .graph import Graph
 from .operators import closure, communities, coupling, diff, history, layout, measures, topology
 from .operators.project import projection
 from .operators.rank import rank_answer
+from .sources import repo
 
 
 def _found(rows: DataFrame, limit: int, expand: bool = False) -> dict:
@@ -63,22 +67,63 @@ QUERIES = {
     "search": lambda g, query, limit=measures.LIMIT: measures.search(g, query, limit), "symbol": lambda g, node: measures.dossier(g, node),
     "stats": measures.stats, "rank": _rank, "metrics": lambda g: {"types": coupling.type_metrics(g), "cohesion": coupling.cohesion(g), "packages": coupling.package_metrics(g)},
     "history": _history, "communities": _communities, "topo_sort": lambda g: topology.topo_sort(projection(g)), "cycles": topology.cycles, "render": _render,
-    "diff": lambda g, other: {"nodes": diff.diff_nodes(g, other), "edges": diff.diff_edges(g, other), "impact": diff.impact(g, other)},
+    "diff": lambda g, other: diff.answer(g, other), "snapshot": lambda g, audit=(), diagnostics=None: store.snapshot(g, audit, diagnostics),
     "diagnose_hotspot": lambda g, node, by="fan_in", diagnostics=None: diff.diagnose(g, rank_answer(g, by).rows, node, diagnostics),
-    "schema": lambda g: {"node_kinds": g.profile.node_kinds, "edge_kinds": g.profile.edge_kinds, "queries": sorted(QUERIES)},
+    "schema": lambda g: {"node_kinds": g.profile.node_kinds, "edge_kinds": g.profile.edge_kinds, "queries": sorted(QUERIES), "commands": sorted(COMMANDS)},
 }
 
 
+def index(spark: SparkSession, root: str, path: str, name: str) -> dict:
+    """Reads a source tree, builds its graph and stores it as a new generation; what was found, by number."""
+    found = repo.with_packages(repo.files(spark, root), name)
+    raw = repo.extract(found)
+    g, diagnostics = build.build(raw)
+    s = store.Store(spark, path)
+    log = s.load_audit()
+    generation = s.replace_graph(g, diagnostics, store.audit_append(log, "index", json.dumps({"root": root})))
+    nodes, edges = s.counts()
+    kinds = {r["kind"]: r["count"] for r in s.diagnostics().groupBy("kind").count().collect()}
+    return {"generation": generation, "files": raw.files.count(), "nodes": nodes, "edges": edges, "diagnostics": dict(sorted(kinds.items()))}
+
+
+def verify(spark: SparkSession, path: str) -> dict:
+    """Whether what is stored is what was written: the trail holds, ids are unique, links lead to nodes."""
+    s = store.Store(spark, path)
+    trail = store.audit_verify(spark.createDataFrame(s.load_audit(), schema.AUDIT)).first()
+    g = s.load_graph()
+    double = g.nodes.groupBy("id").count().where("count > 1").count()
+    ids = g.nodes.select("id")
+    loose = g.edges.select(F.explode(F.array("src", "dst")).alias("id")).join(ids, "id", "left_anti").count()
+    return {"valid": bool(trail["valid"]) and not double and not loose, "entries": trail["entries"], "head": trail["head"], "repeated_ids": double, "loose_ends": loose, "format": s.meta().get("schema_version")}
+
+
+#: What works on a folder of stored graphs, or makes one.
+COMMANDS = {
+    "index": index, "verify": verify, "diagnostics": lambda spark, path: store.Store(spark, path).diagnostics(),
+    "restore": lambda spark, text, cert, key, now=None: store.restore_certified(spark, text, cert, key, now), "verify_proof": lambda spark, text, cert, key, now=None: {"wrong": store.verify_certificate(text, cert, key, now)},
+}
+
+
+def command(spark: SparkSession, op: str, **args):
+    """Runs a command by name; unknown names and unknown arguments are refused."""
+    if op not in COMMANDS:
+        raise ValueError(f"unknown command: {op}")
+    return _called(op, COMMANDS[op], spark, args)
+
+
+def _called(op: str, f, first, args: dict):
+    try:
+        inspect.signature(f).bind(first, **args)
+    except TypeError as e:
+        raise ValueError(f"{op}: {e}") from None
+    return f(first, **args)
+
+
 def query(g: Graph, op: str, **args):
     """Runs a query by name; unknown names and unknown arguments are refused."""
     if op not in QUERIES:
         raise ValueError(f"unknown query: {op}")
-    try:
-        return QUERIES[op](g, **args)
-    except TypeError as e:
-        if "argument" in str(e):
-            raise ValueError(f"{op}: {e}") from None
-        raise
+    return _called(op, QUERIES[op], g, args)
 
 
 #: What words ask for; the first that fits wins.

@@ -7,11 +7,13 @@ reference alone.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import schema
 from .graph import Graph, checkpointed, numbered, union
 from .operators.topology import cycles
 from .profile import CODE, Profile
@@ -143,6 +145,35 @@ def gate(edges: DataFrame, profile: Profile) -> tuple[DataFrame, DataFrame]:
     return kept.drop("_need", "_allow", "_attrs", "_lack", "_extra"), bad.unionByName(odd)
 
 
+def add_node(g: Graph, id: str, kind: str, label: str | None = None, **fields) -> Graph:
+    """The graph with one more node; the node that has the id already stays as it is."""
+    if kind not in g.profile.node_kinds:
+        raise ValueError(f"unknown node kind: {kind}")
+    if g.has(id):
+        return g
+    row = {"id": id, "kind": kind, "label": label or id.rsplit("::", 1)[-1]} | fields
+    cols = [F.lit(row.get(f.name)).cast(f.dataType).alias(f.name) if not isinstance(row.get(f.name), (list, dict)) else F.from_json(F.lit(json.dumps(row[f.name])), f.dataType).alias(f.name) for f in g.nodes.schema]
+    return Graph(g.nodes.unionByName(g.spark.range(1).select(*cols)), g.edges, g.profile)
+
+
+def add_typed_edge(g: Graph, src: str, dst: str, kind: str, line: int | None = None, attrs: dict[str, str] | None = None) -> tuple[Graph, DataFrame]:
+    """The graph with one more edge, and diagnostics(kind, payload) of what is wrong with it.
+
+    An end that is no node, or an attribute that the kind must carry and does
+    not, keeps the edge out; an edge between the same ends of the same kind
+    stays as it is.
+    """
+    if kind not in g.profile.edge_kinds:
+        raise ValueError(f"unknown edge kind: {kind}")
+    e = g.spark.createDataFrame([(src, dst, kind, line, attrs)], schema.EDGES)
+    kept, wrong = gate(e, g.profile)
+    ids = g.nodes.select("id")
+    lost = e.select(F.explode(F.array("src", "dst")).alias("id")).join(ids, "id", "left_anti").select(F.lit("UnknownSymbol").alias("kind"), F.to_json(F.struct("id")).alias("payload"))
+    kept = kept.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    kept = kept.join(g.edges.select("src", "dst", "kind"), ["src", "dst", "kind"], "left_anti")
+    return Graph(g.nodes, g.edges.unionByName(kept.select(*g.edges.columns)), g.profile), wrong.unionByName(lost)
+
+
 def build(raw: Raw, profile: Profile = CODE) -> tuple[Graph, DataFrame]:
     """The graph, and diagnostics(seq, kind, payload) in order."""
     symbols, dup = definitions(raw)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import schema
-from .graph import Graph
+from .graph import Graph, checkpointed
 from .profile import embedded
 
 VERSION = "2.0"
@@ -30,6 +30,11 @@ def audit_append(log: list[tuple], op: str, payload: str, ts: str | None = None)
     return [*log, (seq, now, op, payload, prev, entry_hash(seq, now, op, payload, prev))]
 
 
+def genesis(ts: str | None = None) -> list[tuple]:
+    """A trail that only begins."""
+    return audit_append([], "open", "{}", ts)[:1]
+
+
 def audit_verify(log: DataFrame) -> DataFrame:
     """(entries, valid, head): dense from 0, every hash recomputes, every link holds.
 
@@ -45,6 +50,25 @@ def audit_verify(log: DataFrame) -> DataFrame:
     return d.agg(n.alias("entries"), (F.every(F.coalesce(good, F.lit(False))) & dense).alias("valid"), F.max_by("hash", "seq").alias("head"))
 
 
+def check_version(version: str) -> None:
+    major = version.split(".")[0]
+    if not major.isdigit() or int(major) > int(VERSION.split(".")[0]):
+        raise ValueError(f"format {version} is newer than {VERSION}")
+
+
+def migrated(df: DataFrame, want) -> DataFrame:
+    """df with the fields of a schema, in its order: null where df lacks one; further fields stay behind them."""
+    have = set(df.columns)
+    cols = [(F.col(f.name) if f.name in have else F.lit(None).cast(f.dataType)).alias(f.name) for f in want]
+    return df.select(*cols, *[c for c in df.columns if c not in want.names])
+
+
+def first_rows(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Of rows that share the keys the one that comes first in df."""
+    d = df.select(*keys, F.struct("*").alias("row"), F.monotonically_increasing_id().alias("nth"))
+    return d.groupBy(*keys).agg(F.min_by("row", "nth").alias("row")).select("row.*")
+
+
 class Store:
     """A folder with one sub-folder per generation. A new generation counts once the pointer names it."""
 
@@ -83,9 +107,17 @@ class Store:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self._table(name))
 
+    def meta(self) -> dict[str, str]:
+        return {r["key"]: r["value"] for r in self.read("meta").collect()}
+
     def load_graph(self) -> Graph:
-        meta = {r["key"]: r["value"] for r in self.read("meta").collect()}
-        return Graph(self.read("nodes"), self.read("edges"), embedded(meta["profile"]))
+        """The newest generation. One of an older format gets the fields it lacks as nulls; a newer format is refused."""
+        meta = self.meta()
+        check_version(meta.get("schema_version", "1.0"))
+        return Graph(migrated(self.read("nodes"), schema.NODES), migrated(self.read("edges"), schema.EDGES), embedded(meta["profile"]))
+
+    def diagnostics(self) -> DataFrame:
+        return self.read("diagnostics").orderBy("seq")
 
     def get_node(self, id: str) -> DataFrame:
         return self.read("nodes").where(F.col("id") == id)
@@ -94,20 +126,27 @@ class Store:
         return self.read("nodes").count(), self.read("edges").count()
 
     def load_audit(self) -> list[tuple]:
-        return [tuple(r) for r in self.read("audit").orderBy("seq").collect()]
+        """The trail in order; a fresh one where nothing is stored yet."""
+        log = [tuple(r) for r in self.read("audit").orderBy("seq").collect()] if self.generation() else []
+        return log or genesis()
 
     def insert_graph(self, g: Graph) -> tuple[int, int]:
         """Adds what is not there yet, as a new generation; how many nodes and edges that was."""
         old = self.load_graph()
-        nodes = g.nodes.dropDuplicates(["id"]).join(old.nodes, "id", "left_anti").select(*old.nodes.columns)
-        edges = g.edges.dropDuplicates(["src", "dst", "kind"]).join(old.edges, ["src", "dst", "kind"], "left_anti").select(*old.edges.columns)
+        new_nodes, new_edges = migrated(g.nodes, old.nodes.schema), migrated(g.edges, old.edges.schema)
+        nodes = checkpointed(first_rows(new_nodes, ["id"]).join(old.nodes, "id", "left_anti").select(*old.nodes.columns))
+        edges = checkpointed(first_rows(new_edges, ["src", "dst", "kind"]).join(old.edges, ["src", "dst", "kind"], "left_anti").select(*old.edges.columns))
         added = nodes.count(), edges.count()
         self.replace_graph(Graph(old.nodes.unionByName(nodes), old.edges.unionByName(edges), old.profile), self.read("diagnostics"), self.load_audit())
         return added
 
     def add_annotation(self, target: str, body: str, ts: str | None = None) -> None:
-        known = self.annotations()
-        id = (known.agg(F.max("id")).first()[0] or 0) + 1
+        id = (self.annotations().agg(F.max("id")).first()[0] or 0) + 1
+        while True:  # a number is taken by making its file, so two writers get two
+            fs, p = self._fs(f"{self.path}/annotation-ids/{id}")
+            if fs.createNewFile(p):
+                break
+            id += 1
         self.spark.createDataFrame([(id, target, body, ts or str(int(time.time())))], schema.ANNOTATIONS).write.mode("append").parquet(f"{self.path}/annotations")
 
     def annotations(self, target: str | None = None) -> DataFrame:
@@ -145,8 +184,10 @@ def snapshot(g: Graph, audit: list[tuple] = (), diagnostics: DataFrame | None =
 def restore(spark: SparkSession, text: str) -> tuple[Graph, list[tuple]]:
     """A graph and its audit trail; refused for another major version, an unknown profile or a broken trail."""
     raw = json.loads(text)
-    if str(raw.get("schema_version", "")).split(".")[0] not in ("1", "2"):
-        raise ValueError(f"snapshot version {raw.get('schema_version')} is not supported")
+    try:
+        check_version(str(raw.get("schema_version", "")))
+    except ValueError:
+        raise ValueError(f"snapshot version {raw.get('schema_version')} is not supported") from None
     profile = embedded(raw.get("profile_id", "code"))
     lines = spark.createDataFrame([(json.dumps(n),) for n in raw["nodes"]], "j string")
     nodes = lines.select(F.from_json("j", schema.NODES).alias("x")).select("x.*")
@@ -158,21 +199,78 @@ def restore(spark: SparkSession, text: str) -> tuple[Graph, list[tuple]]:
     return Graph(nodes, edges, profile), audit
 
 
+def write_snapshot(g: Graph, path: str, audit: list[tuple] = (), diagnostics: DataFrame | None = None) -> str:
+    """Writes the document piece by piece, to any file system that Spark knows; its SHA-256. No more than a megabyte of it is held."""
+    spark = g.spark
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
+    digest, held, size = hashlib.sha256(), [], 0
+
+    def put():
+        nonlocal held, size
+        data = "".join(held).encode()
+        digest.update(data)
+        out.write(bytearray(data))
+        held, size = [], 0
+
+    for piece in snapshot_lines(g, audit, diagnostics):
+        held.append(piece)
+        size += len(piece)
+        if size > 1 << 20:
+            put()
+    put()
+    out.close()
+    return digest.hexdigest()
+
+
+def read_snapshot(spark: SparkSession, path: str) -> tuple[Graph, list[tuple]]:
+    """restore() from a file: the document is parsed by a task, not by the driver."""
+    from pyspark.sql import types as T
+
+    edge = T.StructType([T.StructField("from", T.StringType()), T.StructField("to", T.StringType()), *[f for f in schema.EDGES if f.name in ("kind", "line", "attrs")]])
+    want = T.StructType([T.StructField(k, t) for k, t in (("schema_version", T.StringType()), ("profile_id", T.StringType()), ("nodes", T.ArrayType(schema.NODES)), ("edges", T.ArrayType(edge)), ("audit_log", T.ArrayType(schema.AUDIT)))])
+    d = checkpointed(spark.read.schema(want).json(path, multiLine=True))
+    head = d.select("schema_version", "profile_id", "audit_log").first()
+    check_version(head["schema_version"] or "")
+    nodes = d.select(F.explode("nodes").alias("x")).select("x.*")
+    edges = d.select(F.explode("edges").alias("x")).select(F.col("x.from").alias("src"), F.col("x.to").alias("dst"), "x.kind", "x.line", "x.attrs")
+    audit = [tuple(a) for a in head["audit_log"] or []]
+    if audit and not audit_verify(spark.createDataFrame(audit, schema.AUDIT)).first()["valid"]:
+        raise ValueError("the audit trail does not verify")
+    return Graph(nodes, edges, embedded(head["profile_id"] or "code")), audit
+
+
+def restore_certified(spark: SparkSession, text: str, cert: dict, key: bytes, now: int | None = None) -> tuple[Graph, list[tuple]]:
+    """restore() behind a gate: the certificate must be of this text, by this key, of this trail, and in its time."""
+    if wrong := verify_certificate(text, cert, key, now):
+        raise PermissionError(f"the certificate does not hold: {', '.join(wrong)}")
+    g, audit = restore(spark, text)
+    if cert.get("version", 2) >= 2 and (audit[-1][5] if audit else "") != cert["audit_head"]:
+        raise PermissionError("the certificate does not hold: audit head")
+    return g, audit
+
+
 def certify(text: str, head: str, key: bytes, now: int | None = None) -> dict:
     """A certificate over a snapshot's digest and its audit head, good for a year."""
     now = int(time.time()) if now is None else now
     digest = hashlib.sha256(text.encode()).hexdigest()
-    body = {"serial": f"CT-{digest[:16]}", "digest": digest, "audit_head": head, "key_id": hashlib.sha256(key).hexdigest()[:16], "issued": now, "expires": now + YEAR}
+    body = {"version": 2, "serial": f"CT-{digest[:16]}", "digest": digest, "audit_head": head, "key_id": hashlib.sha256(key).hexdigest()[:16], "issued": now, "expires": now + YEAR}
     return body | {"signature": hmac.new(key, json.dumps(body, sort_keys=True).encode(), "sha256").hexdigest()}
 
 
 def verify_certificate(text: str, cert: dict, key: bytes, now: int | None = None) -> list[str]:
-    """What is wrong with it; empty if nothing is."""
+    """What is wrong with it; empty if nothing is. Version 1 signs the digest alone and says nothing of a trail."""
+    if cert.get("version", 2) == 1:
+        signed = cert.get("digest", "").encode()
+    elif cert.get("version", 2) != 2:
+        return ["version"]
+    else:
+        signed = None
     body = {k: v for k, v in cert.items() if k != "signature"}
     wrong = []
     if hashlib.sha256(text.encode()).hexdigest() != cert.get("digest"):
         wrong.append("digest")
-    if not hmac.compare_digest(hmac.new(key, json.dumps(body, sort_keys=True).encode(), "sha256").hexdigest(), cert.get("signature", "")):
+    if not hmac.compare_digest(hmac.new(key, signed or json.dumps(body, sort_keys=True).encode(), "sha256").hexdigest(), cert.get("signature", "")):
         wrong.append("signature")
     if (int(time.time()) if now is None else now) > cert.get("expires", 0):
         wrong.append("expired")
