@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import tempfile
 import uuid
 
@@ -74,6 +75,12 @@ def _leave(spark: SparkSession) -> None:
         sweep(spark, 0)
 
 
+def freed(spark: SparkSession) -> None:
+    """Shuffle files of finished stages go once both collectors have run."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 class Scratch:
     """Written tables that can be removed once a later table no longer needs them."""
 

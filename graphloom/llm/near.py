@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from . import simhash
 from ._components import components
-from ._shared import boxed, col, unboxed, written
+from ._shared import Scratch, boxed, col, freed, unboxed, written
 
 SHINGLE, PERCENT, SEED = 5, 80, 42
 #: One text in SAMPLE is looked at for common shingles, and so many of these are remembered.
@@ -173,12 +173,18 @@ def _verified(pairs: DataFrame, each: DataFrame, percent: int) -> DataFrame:
             out.append(both * (100 + percent) >= (len(g) + len(h)) * percent)
         return pd.Series(out, dtype=bool)
 
-    pairs = written(pairs, "candidates")
+    scratch = Scratch(each.sparkSession)
+    pairs = scratch.keep(pairs, "candidates")
     need = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
     whole = each.select("sid", "grams").join(need, "sid", "left_semi").groupBy("sid").agg(F.first("grams").alias("grams"))
-    whole = written(whole, "candidate-sets")
+    whole = scratch.keep(whole, "candidate-sets")
     got = pairs.join(whole.toDF("a", "_x"), "a").join(whole.toDF("b", "_y"), "b")
-    return written(got.where(similar("_x", "_y")).select("a", "b"), "similar")
+    found = written(got.where(similar("_x", "_y")).select("a", "b"), "similar")
+    # Each comparison shuffles the sets; its files go before the next one.
+    del pairs, need, whole, got
+    scratch.drop()
+    freed(each.sparkSession)
+    return found
 
 
 def _balls(each: DataFrame, percent: int) -> DataFrame:
@@ -210,6 +216,7 @@ def _roots(each: DataFrame, percent: int = PERCENT) -> DataFrame:
     at = each.select("sid", "n", F.posexplode("head").alias("pos", "gram"))
     at = at.withColumns({"_lo": F.min("sid").over(w), "_hi": F.max("sid").over(w)}).where("_lo <> _hi")
     at = written(at.select("gram", "sid", "n", "pos").distinct(), "shared-shingles")
+    freed(each.sparkSession)
     roots, turn = _merged(None, _balls(each, percent)), 0
     while True:
         rest = at.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
@@ -239,6 +246,7 @@ def _roots(each: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     sketch = each.select("sid", "grams").join(rest.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.first("grams").alias("grams"))
     rest = written(rest.join(sketch.select("sid", parities("grams").alias("odd")), "sid").select("gram", "sid", "n", "pos", "root", "odd"), "sketched")
+    freed(each.sparkSession)
     y = rest.toDF("gram", "_sid", "_n", "_pos", "_root", "_odd")
     differ = sum((F.bit_count(F.get("odd", F.lit(i)).bitwiseXOR(F.get("_odd", F.lit(i)))) for i in range(1, PARITY)), F.bit_count(F.get("odd", F.lit(0)).bitwiseXOR(F.get("_odd", F.lit(0)))))
     near_enough = differ * (100 + percent) <= (F.col("n") + F.col("_n")) * (100 - percent)

@@ -23,14 +23,13 @@ there are enough; an empty table gives no rows; other columns stay as they are.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import Scratch, boxed, col, hot_keys, spread_join, written
+from ._shared import Scratch, boxed, col, freed, hot_keys, spread_join, written
 
 WINDOW, ANCHOR = 35, 8
 
@@ -91,12 +90,6 @@ def text_key(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("text"), text, F.length(text)).alias("t2")]
 
 
-def _freed(spark: SparkSession) -> None:
-    """Shuffle files of finished stages go once both collectors have run."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def _rows(names: str, cols) -> pd.DataFrame:
     import numpy as np
 
@@ -140,7 +133,7 @@ def repeats(docs: DataFrame, *, text: str = "text", window: int = WINDOW, anchor
     often = anchors.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("e").alias("x"), F.max("e").alias("y")).where("n > 1")
     often = scratch.keep(often.select("a", "n", (F.col("x") != F.col("y")).alias("mixed")), "frequent-anchors")
     met = scratch.keep(spread_join(anchors, often.drop("n"), ["a"], "inner", hot_keys(often, ["a"])), "met")
-    _freed(spark)
+    freed(spark)
     # Where all extents of a seed are equal, everything in them is repeated. Else
     # equal extents are, and one of each kind meets the others window by window.
     mixed = met.where("mixed")
@@ -172,13 +165,13 @@ def repeats(docs: DataFrame, *, text: str = "text", window: int = WINDOW, anchor
 
     windows = spread_join(t, grow, ["t1", "t2"], "inner", common).select("t1", "t2", "t", "extents").mapInPandas(extend, "w1 long, w2 long, t1 long, t2 long, at int, alone boolean")
     windows = scratch.keep(windows, "windows")
-    _freed(spark)
+    freed(spark)
     again = scratch.keep(windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n"), F.max("alone").alias("alone")).where("n > 1 and alone").select("w1", "w2"), "repeated-windows")
     single = windows.where("alone").join(again, ["w1", "w2"], "left_semi").select("t1", "t2", F.col("at").alias("lo"), F.col("at").alias("hi"))
     found = whole.union(single).groupBy("t1", "t2", "lo", "hi").agg(F.lit(1).alias("one"))
     out = written(found.groupBy("t1", "t2").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "repeats")
     scratch.drop()
-    _freed(spark)
+    freed(spark)
     return out
 
 
