@@ -54,8 +54,8 @@ static int area2(struct point *p, int r)
     for (;;) { draw(p); }
 }
 ''',
-"core/Engine.java":'''package quarry.core;
-import quarry.shapes.Shape;
+"core/Engine.java":'''package acme.core;
+import acme.shapes.Shape;
 import static java.lang.Math.max;
 import java.util.*;
 public class Engine extends Base implements Run, Other {
@@ -254,7 +254,7 @@ WANT = {
     "src/index.ts": ("pkg::src", "variable x, interface Shape, class Circle, method Circle::constructor, method Circle::area, variable LIMIT, function helper", "Circle::area>Math.sqrt, Circle::area>helper, helper>b", "Shape inherits Base, Circle inherits Round, Circle implements Shape"),
     "core/Engine.kt": ("pkg::core::Engine", "interface Run, method Run::go, class Engine, class Engine::Companion, method Engine::Companion::make, method Engine::go, function top, variable LIMIT", "Engine::Companion::make>Engine, Engine::go>start, top>helper", "Engine inherits Base, Engine inherits Run"),
     "shapes/circle.c": ("pkg::shapes::circle", "variable MAX, function SQ, class point, class pt, class color, variable color::RED, variable color::GREEN, variable counter, function area, function area2", "area2>area, area2>draw", ""),
-    "core/Engine.java": ("quarry::core::Engine", "class Engine, class Engine::Mode, variable Engine::Mode::ON, variable Engine::Mode::OFF, method Engine::Engine, method Engine::go, interface Run", "Engine::go>ArrayList, Engine::go>make, Engine::go>other, Engine::go>max", "Engine inherits Base, Engine implements Run, Engine implements Other, Run inherits X"),
+    "core/Engine.java": ("acme::core::Engine", "class Engine, class Engine::Mode, variable Engine::Mode::ON, variable Engine::Mode::OFF, method Engine::Engine, method Engine::go, interface Run", "Engine::go>ArrayList, Engine::go>make, Engine::go>other, Engine::go>max", "Engine inherits Base, Engine implements Run, Engine implements Other, Run inherits X"),
     "shapes/circle.go": ("pkg::shapes", "interface Shape, class Circle, method Circle::Area, function helper, variable Limit", "Circle::Area>Sqrt, Circle::Area>helper, helper>Println", "Shape inherits Base"),
     "lib/util.sh": ("pkg::lib::util", "variable LIMIT, function greet", "greet>echo, greet>run_it, >greet", ""),
     "shapes/Circle.cpp": ("pkg::shapes::Circle", "class geo::Circle, method geo::Circle::Circle, method geo::Circle::area, method geo::Circle::size, function geo::free_fn", "geo::Circle::area>compute, geo::Circle::size>helper, geo::free_fn>other::go", "Circle inherits Shape, Circle inherits Other"),
@@ -271,7 +271,7 @@ WANT = {
 }
 IMPORTS = {
     "src/net.rs": "pkg::util help+O, external::std HashMap, pkg::x x", "src/index.ts": "pkg::src::util b+c, external::react React, pkg::y x", "core/Engine.kt": "pkg::core::Other O, external::kotlin ",
-    "shapes/circle.c": "pkg::core::engine , external::sys ", "core/Engine.java": "quarry::shapes::Shape Shape, external::java max, external::java ", "shapes/circle.go": "external::fmt fmt, external::math m, pkg::core core",
+    "shapes/circle.c": "pkg::core::engine , external::sys ", "core/Engine.java": "acme::shapes::Shape Shape, external::java max, external::java ", "shapes/circle.go": "external::fmt fmt, external::math m, pkg::core core",
     "lib/util.sh": "pkg::lib::other ", "shapes/Circle.cpp": "pkg::shapes::Circle , external::std vector", "Shapes/Circle.swift": "external::Foundation Foundation", "lib/circle.rb": "pkg::lib::shape , external::json ",
     "lib/shapes.R": "pkg::lib::util , external::stats stats", "Shapes.jl": "external::Base sqrt+sin, pkg::Core ", "Core/Engine.cs": "external::System , pkg::Shapes ", "Core/Engine.php": "pkg::Shapes::Circle C, pkg::Core::util ",
     "Engine.scala": "pkg::shapes::Circle C, pkg::shapes::Square Square, external::scala ", "Core/Engine.hs": "pkg::Shapes Circle+area, external::Data M", "Core/Engine.ex": "pkg::Shapes::Circle C, external::Enum map", "core/engine.lua": "pkg::core::util util",
@@ -320,5 +320,5 @@ def test_a_mixed_tree_becomes_a_graph(spark):
     g, _ = build.build(repo.extract(spark.createDataFrame(rows, "package string, file string, text string, path string")))
     e = {(r["src"], r["dst"], r["kind"]) for r in g.edges.collect()}
     assert ("pkg::src::Circle::area", "pkg::src::helper", "calls") in e and ("pkg::net", "external::std", "imports") in e
-    assert ("pkg::net::Client", "pkg::net::Draw", "implements") in e and ("quarry::core::Engine", "quarry::shapes::Shape", "imports") not in e
+    assert ("pkg::net::Client", "pkg::net::Draw", "implements") in e and ("acme::core::Engine", "acme::shapes::Shape", "imports") not in e
     assert g.nodes.where("kind = 'module'").count() >= 14
