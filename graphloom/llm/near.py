@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from . import simhash
 from ._components import components
-from ._shared import Scratch, boxed, col, freed, unboxed, written
+from ._shared import Scratch, boxed, col, freed, small_batches, unboxed, written
 
 SHINGLE, PERCENT, SEED = 5, 80, 42
 #: One text in SAMPLE is looked at for common shingles, and so many of these are remembered.
@@ -179,7 +179,8 @@ def _verified(pairs: DataFrame, each: DataFrame, percent: int) -> DataFrame:
     whole = each.select("sid", "grams").join(need, "sid", "left_semi").groupBy("sid").agg(F.first("grams").alias("grams"))
     whole = scratch.keep(whole, "candidate-sets")
     got = pairs.join(whole.toDF("a", "_x"), "a").join(whole.toDF("b", "_y"), "b")
-    found = written(got.where(similar("_x", "_y")).select("a", "b"), "similar")
+    with small_batches(each.sparkSession):
+        found = written(got.where(similar("_x", "_y")).select("a", "b"), "similar")
     # Each comparison shuffles the sets; its files go before the next one.
     del pairs, need, whole, got
     scratch.drop()
@@ -245,7 +246,8 @@ def _roots(each: DataFrame, percent: int = PERCENT) -> DataFrame:
         return pd.Series([parity(_numbers(g)) for g in grams], dtype=object)
 
     sketch = each.select("sid", "grams").join(rest.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.first("grams").alias("grams"))
-    rest = written(rest.join(sketch.select("sid", parities("grams").alias("odd")), "sid").select("gram", "sid", "n", "pos", "root", "odd"), "sketched")
+    with small_batches(each.sparkSession):
+        rest = written(rest.join(sketch.select("sid", parities("grams").alias("odd")), "sid").select("gram", "sid", "n", "pos", "root", "odd"), "sketched")
     freed(each.sparkSession)
     y = rest.toDF("gram", "_sid", "_n", "_pos", "_root", "_odd")
     differ = sum((F.bit_count(F.get("odd", F.lit(i)).bitwiseXOR(F.get("_odd", F.lit(i)))) for i in range(1, PARITY)), F.bit_count(F.get("odd", F.lit(0)).bitwiseXOR(F.get("_odd", F.lit(0)))))
@@ -257,7 +259,9 @@ def _roots(each: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", *, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(key, h, root, component_id) for each row: its text's hash, its class, the class's smallest key."""
-    each = written(sets(docs, key, text, shingle=shingle, percent=percent), "shingle-sets")
+    with small_batches(docs.sparkSession):
+        each = written(sets(docs, key, text, shingle=shingle, percent=percent), "shingle-sets")
+    freed(docs.sparkSession)
     rooted = each.select(key, "h", "sid").join(_roots(each, percent), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     rooted = written(rooted.select(key, "h", "root"), "rooted")
     least = rooted.groupBy("root").agg(F.min(key).alias("component_id"))
