@@ -50,6 +50,8 @@ WIDTH = 6
 #: Neighbours are compared again, in other orders, while more pairs than CROWD are left for each text at a shingle
 #: and the comparison before linked one in FEW of these or more.
 CROWD, FEW = 4, 64
+#: Candidates are sent to all tasks, so that only their sets are shuffled, where there are no more pairs than this; else all are joined.
+SENT = 250_000
 #: Words of 64 parity bits for each set.
 PARITY = 8
 
@@ -176,6 +178,8 @@ def _verified(pairs: DataFrame, each: DataFrame, percent: int) -> DataFrame:
     scratch = Scratch(each.sparkSession)
     pairs = scratch.keep(pairs, "candidates")
     need = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
+    if pairs.count() <= SENT:
+        need = F.broadcast(need)
     whole = each.select("sid", "grams").join(need, "sid", "left_semi").groupBy("sid").agg(F.first("grams").alias("grams"))
     whole = scratch.keep(whole, "candidate-sets")
     got = pairs.join(whole.toDF("a", "_x"), "a").join(whole.toDF("b", "_y"), "b")
