@@ -93,6 +93,13 @@ def small_batches(spark: SparkSession, rows: int = 1000):
         spark.conf.set(key, before)
 
 
+def long_rows(spark: SparkSession, rows: int = 1000) -> None:
+    """From now on Arrow carries so many rows at once at most in this session: what is returned unread meets Python later."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = int(spark.conf.get(key))
+    spark.conf.set(key, str(min(rows, before) if before > 0 else rows))
+
+
 class Scratch:
     """Written tables that can be removed once a later table no longer needs them."""
 

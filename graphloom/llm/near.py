@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from . import simhash
 from ._components import components
-from ._shared import Scratch, boxed, col, freed, small_batches, unboxed, written
+from ._shared import Scratch, boxed, col, freed, hot_keys, small_batches, spread_join, unboxed, written
 
 SHINGLE, PERCENT, SEED = 5, 80, 42
 #: One text in SAMPLE is looked at for common shingles, and so many of these are remembered.
@@ -50,7 +50,7 @@ WIDTH = 6
 #: Neighbours are compared again, in other orders, while more pairs than CROWD are left for each text at a shingle
 #: and the comparison before linked one in FEW of these or more.
 CROWD, FEW = 4, 64
-#: Candidates are sent to all tasks, so that only their sets are shuffled, where there are no more pairs than this; else all are joined.
+#: The hashes of texts with candidates are sent to all tasks, so that no other text moves, where there are no more than this; else they are joined.
 SENT = 250_000
 #: Words of 64 parity bits for each set.
 PARITY = 8
@@ -115,44 +115,87 @@ def _common(docs: DataFrame, text: str, shingle: int) -> list[int]:
             for at in range(0, len(b), ROWS):
                 yield pd.DataFrame({"gram": np.concatenate([shingles(hashes(t, shingle)) for t in b["t"].iloc[at : at + ROWS]]).astype("int64")})
 
-    some = docs.where(F.pmod(F.xxhash64(text), F.lit(SAMPLE)) == 0).select(F.col(text).alias("t"))
+    some = docs.where(F.pmod(F.xxhash64(col(text)), F.lit(SAMPLE)) == 0).select(col(text).alias("t"))
     got = some.mapInPandas(of, "gram long").groupBy("gram").count().where("count > 1")
     return [r["gram"] for r in got.orderBy(F.desc("count"), "gram").limit(COMMON).collect()][::-1]
 
 
-def sets(docs: DataFrame, key: str = "doc_id", text: str = "text", *, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(key, h, sid, n, fp, head, grams): a row's text hash, its set's name, size and fingerprint, the shingles it is found by, the whole set."""
+def _hash_of(data: bytes) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(data, SEED) - (1 << 63)
+
+
+def sets(docs: DataFrame, key: str = "doc_id", text: str = "text", *, shingle: int = SHINGLE) -> DataFrame:
+    """(key, h, sid, n, fp, odd): a row's text hash, its set's name, size, fingerprint and parity bits."""
+    kind = dict(docs.select(col(key).alias("k")).dtypes)["k"]
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in (whole.iloc[at : at + ROWS] for whole in batches for at in range(0, len(whole), ROWS)):
+            out = []
+            for t in b["t"]:
+                hashed = hashes(t, shingle)
+                g = shingles(hashed)
+                fp = simhash.of_hashes(hashed) if len(g) else 0
+                out.append((_hash_of(_bytes(g)), len(g), fp - (fp >> 63 << 64), parity(g)))
+            got = pd.DataFrame(out, columns=["sid", "n", "fp", "odd"])
+            yield pd.concat([b[["k", "h"]].reset_index(drop=True), got], axis=1)
+
+    d = docs.select(col(key).alias("k"), F.xxhash64(col(text)).alias("h"), col(text).alias("t"))
+    return d.mapInPandas(read, f"k {kind}, h long, sid long, n int, fp long, odd array<long>").withColumnRenamed("k", key)
+
+
+def heads(docs: DataFrame, text: str = "text", *, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """(gram, sid, n, pos): the shingles that each set is found by; sets that a task meets again are left out."""
     common = _common(docs, text, shingle)
-    kind = dict(docs.select(F.col(key).alias("k")).dtypes)["k"]
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np
-        import xxhash
 
         known = np.array(common, dtype="<u8")
         by = np.argsort(known)
-        known, place = known[by], by + 1
-        for b in (whole.iloc[at : at + ROWS] for whole in batches for at in range(0, len(whole), ROWS)):
+        known, place, met = known[by], by + 1, set()
+        for texts in (whole["t"].iloc[at : at + ROWS] for whole in batches for at in range(0, len(whole), ROWS)):
             out = []
-            for t in b["t"]:
-                hashed = hashes(t, shingle)
-                g = shingles(hashed)
-                n = len(g)
-                fp = simhash.of_hashes(hashed) if n else 0
+            for t in texts:
+                g = shingles(hashes(t, shingle))
+                n, sid = len(g), _hash_of(_bytes(g))
+                if not n or sid in met:
+                    continue
+                met.add(sid)
                 rank = np.zeros(n, dtype=np.int64)
-                if len(known) and n:
+                if len(known):
                     at = np.minimum(np.searchsorted(known, g), len(known) - 1)
                     rank = np.where(known[at] == g, place[at], 0)
                 least = -(-percent * n // 100)
-                head = g[np.argsort(rank, kind="stable")][: n - least + 1] if n else g
-                data = _bytes(g)
-                out.append((xxhash.xxh64_intdigest(data, SEED) - (1 << 63), n, fp - (fp >> 63 << 64), head.astype("int64"), data))
-            got = pd.DataFrame(out, columns=["sid", "n", "fp", "head", "grams"])
-            yield pd.concat([b[["k", "h"]].reset_index(drop=True), got], axis=1)
+                out.append((sid, n, g[np.argsort(rank, kind="stable")][: n - least + 1].astype("int64")))
+            if out:
+                long = [len(x[2]) for x in out]
+                yield pd.DataFrame({"gram": np.concatenate([x[2] for x in out]), "sid": np.repeat(np.array([x[0] for x in out], dtype=np.int64), long), "n": np.repeat(np.array([x[1] for x in out], dtype=np.int32), long), "pos": np.concatenate([np.arange(m, dtype=np.int32) for m in long])})
+
+    return docs.select(col(text).alias("t")).mapInPandas(read, "gram long, sid long, n int, pos int")
+
+
+def _whole(docs: DataFrame, text: str, texts: DataFrame, shingle: int) -> DataFrame:
+    """(sid, grams): the whole sets of texts(h), each once; few texts are sent to all tasks, so that no others move."""
+    if texts.count() <= SENT:
+        texts = F.broadcast(texts)
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        met = set()
+        for part in (whole["t"].iloc[at : at + ROWS] for whole in batches for at in range(0, len(whole), ROWS)):
+            out = []
+            for t in part:
+                data = _bytes(shingles(hashes(t, shingle)))
+                sid = _hash_of(data)
+                if sid not in met:
+                    met.add(sid)
+                    out.append((sid, data))
+            if out:
+                yield pd.DataFrame(out, columns=["sid", "grams"])
 
-    d = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("h"), F.col(text).alias("t"))
-    got = d.mapInPandas(read, f"k {kind}, h long, sid long, n int, fp long, head array<long>, grams binary")
-    return got.withColumnRenamed("k", key)
+    d = docs.select(F.xxhash64(col(text)).alias("h"), col(text).alias("t")).join(texts, "h", "left_semi")
+    return d.select("t").mapInPandas(read, "sid long, grams binary").groupBy("sid").agg(F.first("grams").alias("grams"))
 
 
 def _may(a: str, b: str, percent: int) -> Column:
@@ -162,8 +205,23 @@ def _may(a: str, b: str, percent: int) -> Column:
     return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (behind * (100 + percent) >= (na + nb) * percent)
 
 
-def _verified(pairs: DataFrame, each: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough."""
+def _differ(a: str, b: str) -> Column:
+    """In how many parity bits two sets disagree."""
+    each = [F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(PARITY)]
+    return sum(each[1:], each[0])
+
+
+def _near_enough(percent: int) -> Column:
+    """Whether sets with n, odd and _n, _odd can be similar enough: they differ by as many elements as bits, at least."""
+    return _differ("odd", "_odd") * (100 + percent) <= (F.col("n") + F.col("_n")) * (100 - percent)
+
+
+def _verified(pairs: DataFrame, sketch: DataFrame, whole, percent: int) -> DataFrame:
+    """The pairs (a, b) of sets in sketch(sid, h, n, odd) whose whole sets are similar enough.
+
+    Size and parity bits go first; whole(h) gives the sets (sid, grams) of the
+    texts that are left, and only those.
+    """
 
     @F.pandas_udf("boolean")
     def similar(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -175,32 +233,35 @@ def _verified(pairs: DataFrame, each: DataFrame, percent: int) -> DataFrame:
             out.append(both * (100 + percent) >= (len(g) + len(h)) * percent)
         return pd.Series(out, dtype=bool)
 
-    scratch = Scratch(each.sparkSession)
-    pairs = scratch.keep(pairs, "candidates")
+    spark = sketch.sparkSession
+    scratch, s = Scratch(spark), sketch.select("sid", "n", "odd")
+    ends = pairs.join(s.toDF("a", "n", "odd"), "a").join(s.toDF("b", "_n", "_odd"), "b")
+    ends = ends.where((F.least("n", "_n") * 100 >= F.greatest("n", "_n") * percent) & _near_enough(percent))
+    pairs = scratch.keep(ends.select("a", "b"), "candidates")
     need = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
-    if pairs.count() <= SENT:
-        need = F.broadcast(need)
-    whole = each.select("sid", "grams").join(need, "sid", "left_semi").groupBy("sid").agg(F.first("grams").alias("grams"))
-    whole = scratch.keep(whole, "candidate-sets")
-    got = pairs.join(whole.toDF("a", "_x"), "a").join(whole.toDF("b", "_y"), "b")
-    with small_batches(each.sparkSession):
+    with small_batches(spark):
+        sets = scratch.keep(whole(scratch.keep(sketch.join(need, "sid", "left_semi").select("h"), "candidate-texts")), "candidate-sets")
+    freed(spark)
+    # The smaller name stands in many pairs of a group: its set is joined last.
+    got = pairs.join(sets.toDF("b", "_y"), "b").join(sets.toDF("a", "_x"), "a")
+    with small_batches(spark):
         found = written(got.where(similar("_x", "_y")).select("a", "b"), "similar")
-    # Each comparison shuffles the sets; its files go before the next one.
-    del pairs, need, whole, got
+    # Each comparison shuffles sets; its files go before the next one.
+    del pairs, need, sets, ends, got
     scratch.drop()
-    freed(each.sparkSession)
+    freed(spark)
     return found
 
 
-def _balls(each: DataFrame, percent: int) -> DataFrame:
+def _balls(each: DataFrame, sketch: DataFrame, whole, percent: int) -> DataFrame:
     """Similar pairs among sets whose fingerprints are equal or linked: a set for each such set, and one for each link."""
-    fps = each.where("n > 0").select("fp", "sid").distinct()
+    fps = each.join(sketch.select("sid"), "sid", "left_semi").select("fp", "sid").distinct()
     least = written(fps.groupBy("fp").agg(F.min("sid").alias("least"), F.count(F.lit(1)).alias("m")), "set-fingerprints")
     own = fps.join(least.where("m > 1"), "fp").where("sid <> least").select(F.col("least").alias("a"), F.col("sid").alias("b"))
     ends = least.select(F.col("fp"), F.col("least"))
     linked = simhash.links(least.select("fp")).toDF("fa", "fb").join(ends.toDF("fa", "a"), "fa").join(ends.toDF("fb", "b"), "fb").select("a", "b")
     pairs = own.union(linked).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return _verified(pairs, each, percent)
+    return _verified(pairs, sketch, whole, percent)
 
 
 def _merged(roots: DataFrame | None, new: DataFrame) -> DataFrame:
@@ -215,14 +276,24 @@ def _merged(roots: DataFrame | None, new: DataFrame) -> DataFrame:
     return written(every.join(over, "root", "left").select("sid", F.coalesce("_top", "root").alias("root")), "roots")
 
 
-def _roots(each: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(sid, root) of the sets that are similar to others: root names the component."""
-    w = Window.partitionBy("gram")
-    at = each.select("sid", "n", F.posexplode("head").alias("pos", "gram"))
-    at = at.withColumns({"_lo": F.min("sid").over(w), "_hi": F.max("sid").over(w)}).where("_lo <> _hi")
-    at = written(at.select("gram", "sid", "n", "pos").distinct(), "shared-shingles")
-    freed(each.sparkSession)
-    roots, turn = _merged(None, _balls(each, percent)), 0
+def _roots(docs: DataFrame, text: str, each: DataFrame, shingle: int, percent: int) -> DataFrame | None:
+    """(sid, root) of the sets that are similar to others: root names the component. None without any."""
+    spark, w = docs.sparkSession, Window.partitionBy("gram")
+    with small_batches(spark):
+        at = heads(docs, text, shingle=shingle, percent=percent)
+        at = at.withColumns({"_lo": F.min("sid").over(w), "_hi": F.max("sid").over(w)}).where("_lo <> _hi")
+        at = written(at.select("gram", "sid", "n", "pos").distinct(), "shared-shingles")
+    freed(spark)
+    if at.isEmpty():
+        return None
+    # Similar sets share a shingle here, so others need not be looked at again.
+    sketch = each.join(at.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.first("n").alias("n"), F.first("odd").alias("odd"), F.min("h").alias("h"))
+    sketch = written(sketch, "sketches")
+
+    def whole(texts: DataFrame) -> DataFrame:
+        return _whole(docs, text, texts, shingle)
+
+    roots, turn = _merged(None, _balls(each, sketch, whole, percent)), 0
     while True:
         rest = at.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
         rest = rest.withColumns({"_lo": F.min("root").over(w), "_hi": F.max("root").over(w)}).where("_lo <> _hi")
@@ -239,37 +310,39 @@ def _roots(each: DataFrame, percent: int = PERCENT) -> DataFrame:
             d = rest.withColumns({f"_{c}": F.lag(c).over(by) for c in ("sid", "n", "pos", "root")})
             d = d.where(F.col("_sid").isNotNull() & (F.col("root") != F.col("_root")) & _may("", "_", percent)).select(F.least("sid", "_sid").alias("a"), F.greatest("sid", "_sid").alias("b"))
             near = d if near is None else near.union(d)
-        new = _verified(near.distinct(), each, percent)
+        new = _verified(near.distinct(), sketch, whole, percent)
         merged = new.count()
         if not merged:
             break
         roots, turn = _merged(roots, new), turn + 1
 
-    @F.pandas_udf("array<long>")
-    def parities(grams: pd.Series) -> pd.Series:
-        return pd.Series([parity(_numbers(g)) for g in grams], dtype=object)
-
-    sketch = each.select("sid", "grams").join(rest.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.first("grams").alias("grams"))
-    with small_batches(each.sparkSession):
-        rest = written(rest.join(sketch.select("sid", parities("grams").alias("odd")), "sid").select("gram", "sid", "n", "pos", "root", "odd"), "sketched")
-    freed(each.sparkSession)
+    rest = written(rest.join(sketch.select("sid", "odd"), "sid").select("gram", "sid", "n", "pos", "root", "odd"), "sketched")
+    freed(spark)
     y = rest.toDF("gram", "_sid", "_n", "_pos", "_root", "_odd")
-    differ = sum((F.bit_count(F.get("odd", F.lit(i)).bitwiseXOR(F.get("_odd", F.lit(i)))) for i in range(1, PARITY)), F.bit_count(F.get("odd", F.lit(0)).bitwiseXOR(F.get("_odd", F.lit(0)))))
-    near_enough = differ * (100 + percent) <= (F.col("n") + F.col("_n")) * (100 - percent)
-    far = rest.join(y, (rest["gram"] == y["gram"]) & F.expr("sid < _sid and root <> _root") & _may("", "_", percent) & near_enough)
+    far = rest.join(y, (rest["gram"] == y["gram"]) & F.expr("sid < _sid and root <> _root") & _may("", "_", percent) & _near_enough(percent))
     far = far.select(F.col("sid").alias("a"), F.col("_sid").alias("b")).distinct()
-    return _merged(roots, _verified(far, each, percent))
+    return _merged(roots, _verified(far, sketch, whole, percent))
+
+
+def _rooted(docs: DataFrame, key: str, text: str, shingle: int, percent: int) -> DataFrame:
+    """(key, h, root) for each row, in one task for each part of docs, however many copies a set has."""
+    with small_batches(docs.sparkSession):
+        each = written(sets(docs, key, text, shingle=shingle), "sets")
+    roots = _roots(docs, text, each, shingle, percent)
+    rows = each.select(col(key), "h", "sid")
+    if roots is None:
+        return rows.withColumnRenamed("sid", "root")
+    hot = hot_keys(rows.groupBy("sid").agg(F.count(F.lit(1)).alias("n")), ["sid"])
+    got = spread_join(rows, roots, ["sid"], "left", hot)
+    return written(got.select(col(key), "h", F.coalesce("root", "sid").alias("root")), "rooted")
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", *, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(key, h, root, component_id) for each row: its text's hash, its class, the class's smallest key."""
-    with small_batches(docs.sparkSession):
-        each = written(sets(docs, key, text, shingle=shingle, percent=percent), "shingle-sets")
-    freed(docs.sparkSession)
-    rooted = each.select(key, "h", "sid").join(_roots(each, percent), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    rooted = written(rooted.select(key, "h", "root"), "rooted")
-    least = rooted.groupBy("root").agg(F.min(key).alias("component_id"))
-    return rooted.join(least, "root").select(key, "h", "root", "component_id")
+    rooted = _rooted(docs, key, text, shingle, percent)
+    of = rooted.groupBy("root").agg(F.min(col(key)).alias("component_id"), F.count(F.lit(1)).alias("n"))
+    least = written(of, "class-keys")
+    return spread_join(rooted, least.drop("n"), ["root"], "inner", hot_keys(least, ["root"])).select(col(key), "h", "root", "component_id")
 
 
 def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", *, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -277,8 +350,9 @@ def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", *, s
 
     Rows whose key is null stay: nothing names the one to keep.
     """
-    got = classes(docs, key, text, shingle=shingle, percent=percent)
-    keep = got.where(F.col(key) == F.col("component_id")).groupBy("root", F.col(key).alias("k")).agg(F.min("h").alias("h")).select("k", "h").distinct()
+    rooted = _rooted(docs, key, text, shingle, percent)
+    named = rooted.where(col(key).isNotNull())
+    keep = named.groupBy("root").agg(F.min(F.struct(col(key).alias("k"), F.col("h").alias("h"))).alias("x")).select("x.k", "x.h").distinct()
     d = boxed(docs, k=col(key), h=F.xxhash64(col(text)))
-    kept = d.join(keep, ["k", "h"], "left_semi").withColumn("nth", F.row_number().over(Window.partitionBy("k", "h").orderBy(F.lit(0)))).where("nth = 1")
+    kept = d.join(keep, ["k", "h"], "left_semi").dropDuplicates(["k", "h"])
     return unboxed(kept).unionByName(docs.where(col(key).isNull()))

@@ -39,7 +39,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import col
+from ._shared import col, written
 
 #: What a sign may stand for. Fixed values.
 LOOKS = {
@@ -316,15 +316,16 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
     model = language_model(docs, text=text)
     y = labels.select(col(key).alias("key"), col(label).cast("int").alias("y")).where("key is not null and y in (0, 1)").where(fold(F.col("key")) != 1)
     y = y.groupBy("key").agg(F.max("y").alias("y"))
-    rows = docs.select(col(key).alias("key"), F.coalesce(col(text), F.lit("")).alias("t")).join(y, "key")
     sizes = {r["y"]: r["count"] for r in y.groupBy("y").count().collect()}
     total = sum(sizes.values())
     if len(sizes) < 2:
         share = sizes.get(1, 0) / total if total else 0.5
         return Model(model, bias=float(np.log((share + 1e-3) / (1 - share + 1e-3))))
-    share = F.when(F.col("y") == 1, sample_rows / 2 / sizes[1]).otherwise(sample_rows / 2 / sizes[0])
-    luck = F.xxhash64("key", F.lit("sample")).bitwiseAND((1 << 53) - 1) / float(1 << 53)
-    chosen = rows.where(luck < share)
+    # The keys of the sample are bounded, so they are sent to the texts and no other text moves.
+    luck = F.xxhash64("key", F.lit("sample"))
+    keys = [y.where(F.col("y") == v).orderBy(luck, "key").limit(sample_rows // 2) for v in (0, 1)]
+    rows = docs.select(col(key).alias("key"), F.coalesce(col(text), F.lit("")).alias("t"))
+    chosen = written(rows.join(F.broadcast(keys[0].union(keys[1])), "key"), "labelled-sample")
 
     def seen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[int, Counter] = {0: Counter(), 1: Counter()}
