@@ -13,7 +13,7 @@ empty table gives an empty one.
 from __future__ import annotations
 
 from graphloom.llm import langid, mixing, near, packing, substring
-from graphloom.llm._shared import fresh_path, made, sweep
+from graphloom.llm._shared import fresh_path, long_rows, made, sweep
 from graphloom.llm.queries import tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,8 +22,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from the labels of the documents themselves; keeps what has a language.
 
     Null and empty texts and texts without a letter go; repeated rows go or stay
-    together; without any label nothing has a language, and all rows go.
+    together; without any label nothing has a language, and all rows go. The
+    session's Arrow batches are small from here on (1,000 rows): texts are long.
     """
+    long_rows(spark)
     return langid.known(docs, langid.train(docs))
 
 
