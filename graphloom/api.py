@@ -13,7 +13,7 @@ from . import build, schema, store
 from .graph import Graph
 from .operators import closure, communities, coupling, diff, history, layout, measures, topology
 from .operators.project import projection
-from .operators.rank import rank_answer
+from .operators.rank import rank, rank_answer
 from .sources import repo
 
 
@@ -66,9 +66,9 @@ QUERIES = {
     "path": lambda g, a, b: closure.path(g, a, b), "neighborhood": lambda g, node, depth=1: measures.neighborhood(g, node, depth),
     "search": lambda g, query, limit=measures.LIMIT: measures.search(g, query, limit), "symbol": lambda g, node: measures.dossier(g, node),
     "stats": measures.stats, "rank": _rank, "metrics": lambda g: {"types": coupling.type_metrics(g), "cohesion": coupling.cohesion(g), "packages": coupling.package_metrics(g)},
-    "history": _history, "communities": _communities, "topo_sort": lambda g: topology.topo_sort(projection(g)), "cycles": topology.cycles, "render": _render,
+    "history": _history, "communities": _communities, "topo_sort": lambda g, order="ready": topology.topo_sort(projection(g), order), "cycles": topology.cycles, "render": _render,
     "diff": lambda g, other: diff.answer(g, other), "snapshot": lambda g, audit=(), diagnostics=None: store.snapshot(g, audit, diagnostics),
-    "diagnose_hotspot": lambda g, node, by="fan_in", diagnostics=None: diff.diagnose(g, rank_answer(g, by).rows, node, diagnostics),
+    "diagnose_hotspot": lambda g, node, by="fan_in", diagnostics=None: diff.diagnose(g, rank(g, by), node, diagnostics),
     "schema": lambda g: {"node_kinds": g.profile.node_kinds, "edge_kinds": g.profile.edge_kinds, "queries": sorted(QUERIES), "commands": sorted(COMMANDS)},
 }
 

@@ -2,7 +2,8 @@
 
 Iterated measures run as array kernels while the links fit in memory (checked),
 else as rounds of join and sum. Path-based measures walk from each node in
-parallel over the tasks, each with the whole adjacency.
+parallel over the tasks, each with the whole adjacency; beyond the bound all
+nodes walk at once, in rounds of joins (`waves`).
 """
 
 from __future__ import annotations
@@ -14,12 +15,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import KERNEL_EDGES, bounded_links, checkpointed
+from . import waves
 from .closure import Adjacency
 from .project import Projection
 
 DAMPING, ROUNDS, TOLERANCE, ALPHA, BETA = 0.85, 100, 1e-6, 0.1, 1.0
 #: Nodes up to which exact betweenness is offered.
 BETWEENNESS_NODES = 50_000
+#: Links for each node from which paths are counted level by level.
+WIDE = 4
 
 
 def _arrays(p: Projection, most: int):
@@ -116,10 +120,11 @@ def katz(p: Projection, most: int = KERNEL_EDGES) -> DataFrame | None:
     return _iterate(p, lambda s, x: s * ALPHA + BETA, 1.0, lambda n: n * TOLERANCE, lambda v, norm: v, most)
 
 
-def _per_source(p: Projection, links: DataFrame, schema: str, visit, most: int) -> DataFrame:
+def _per_source(p: Projection, links: DataFrame, schema: str, visit, most: int) -> DataFrame | None:
+    """What visit finds from each node; None where the links do not fit in memory."""
     found = bounded_links(links, most)
     if found is None:
-        raise ValueError(f"not measured: more than {most} links")
+        return None
     graph = Adjacency(*found)
     n = p.nodes.count()
 
@@ -145,7 +150,58 @@ def closeness(p: Projection, most: int = KERNEL_EDGES) -> DataFrame:
         return pd.DataFrame(out, columns=["id", "value"])
 
     back = p.links.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return _per_source(p, back, "id string, value double", visit, most)
+    got = _per_source(p, back, "id string, value double", visit, most)
+    if got is None:
+        far = waves.levels(back, p.nodes.select(F.col("id").alias("seed"))).groupBy(F.col("seed").alias("id")).agg(F.sum("n").alias("r"), F.sum(F.col("n") * F.col("level")).alias("s"))
+        value = F.col("r") / F.col("s") * F.col("r") / (p.nodes.count() - 1)
+        got = p.nodes.join(far, "id", "left").select("id", F.coalesce(value, F.lit(0.0)).alias("value"))
+    return got
+
+
+def _by_queue(graph, start: int, total) -> None:
+    """Adds the shares of the paths from start, node by node: for graphs with long ways."""
+    sigma, level, order, before, head = {start: 1.0}, {start: 0}, [start], {start: []}, 0
+    while head < len(order):
+        x = order[head]
+        head += 1
+        for y in map(int, graph.to[graph.at[x] : graph.at[x + 1]]):
+            if y not in level:
+                level[y], sigma[y], before[y] = level[x] + 1, 0.0, []
+                order.append(y)
+            if level[y] == level[x] + 1:
+                sigma[y] += sigma[x]
+                before[y].append(x)
+    delta = dict.fromkeys(order, 0.0)
+    for y in reversed(order):
+        for x in before[y]:
+            delta[x] += sigma[x] / sigma[y] * (1 + delta[y])
+        if y != start:
+            total[y] += delta[y]
+
+
+def _by_level(graph, start: int, total) -> None:
+    """The same, all links of a level at once: for graphs with many links to a node."""
+    import numpy as np
+
+    n = len(graph.ids)
+    level, sigma, front, steps, depth = np.full(n, -1), np.zeros(n), np.array([start]), [], 0
+    level[start], sigma[start] = 0, 1.0
+    while len(front):
+        lo, many = graph.at[front], graph.at[front + 1] - graph.at[front]
+        src = np.repeat(front, many)
+        dst = graph.to[np.arange(many.sum()) + np.repeat(lo - np.concatenate([[0], np.cumsum(many)[:-1]]), many)]
+        depth += 1
+        on = level[dst] < 0
+        src, dst = src[on], dst[on]
+        sigma += np.bincount(dst, weights=sigma[src], minlength=n)
+        front = np.unique(dst)
+        level[front] = depth
+        steps.append((src, dst))
+    delta = np.zeros(n)
+    for src, dst in reversed(steps):
+        delta += np.bincount(src, weights=sigma[src] / sigma[dst] * (1 + delta[dst]), minlength=n)
+    delta[start] = 0.0
+    total += delta
 
 
 def betweenness(p: Projection, most: int = KERNEL_EDGES) -> DataFrame | None:
@@ -158,30 +214,14 @@ def betweenness(p: Projection, most: int = KERNEL_EDGES) -> DataFrame | None:
         import numpy as np
 
         total = np.zeros(len(graph.ids))
+        of = _by_level if len(graph.to) >= WIDE * len(graph.ids) else _by_queue
         for s in ids:
-            if s not in graph.of:
-                continue
-            start = graph.of[s]
-            sigma, level, order, before, head = {start: 1.0}, {start: 0}, [start], {start: []}, 0
-            while head < len(order):
-                x = order[head]
-                head += 1
-                for y in map(int, graph.to[graph.at[x] : graph.at[x + 1]]):
-                    if y not in level:
-                        level[y], sigma[y], before[y] = level[x] + 1, 0.0, []
-                        order.append(y)
-                    if level[y] == level[x] + 1:
-                        sigma[y] += sigma[x]
-                        before[y].append(x)
-            delta = dict.fromkeys(order, 0.0)
-            for y in reversed(order):
-                for x in before[y]:
-                    delta[x] += sigma[x] / sigma[y] * (1 + delta[y])
-                if y != start:
-                    total[y] += delta[y]
+            if s in graph.of:
+                of(graph, graph.of[s], total)
         at = np.flatnonzero(total)
         return pd.DataFrame({"id": [graph.ids[i] for i in at], "part": total[at]})
 
-    parts = _per_source(p, p.links, "id string, part double", visit, most).groupBy("id").agg(F.sum("part").alias("part"))
+    parts = _per_source(p, p.links, "id string, part double", visit, most)
+    parts = waves.path_shares(p.nodes, p.links) if parts is None else parts.groupBy("id").agg(F.sum("part").alias("part"))
     scale = 1 / ((n - 1) * (n - 2)) if n > 2 else 1.0
     return p.nodes.join(parts, "id", "left").select("id", (F.coalesce("part", F.lit(0.0)) * scale).alias("value"))

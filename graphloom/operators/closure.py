@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import KERNEL_EDGES, Graph, bounded_links, checkpointed
+from .waves import levels
 
 
 class Adjacency:
@@ -133,13 +134,13 @@ def blast_radius(g: Graph, id: str) -> DataFrame:
 def sizes(links: DataFrame, seeds: DataFrame, most: int = KERNEL_EDGES) -> DataFrame:
     """(seed, n): how many nodes each of seeds(seed) reaches, itself left out; seeds that reach none are left out.
 
-    In memory only the counts leave a walk. Beyond the bound they are counted
-    from the pairs of the closure.
+    In memory only the counts leave a walk. Beyond the bound 64 walks share a
+    long, and no pair of seed and node is ever a row.
     """
     links = links.select("src", "dst").distinct()
     found = bounded_links(links, most)
     if found is None:
-        return closure(links, seeds, most).groupBy("seed").agg(F.count(F.lit(1)).alias("n"))
+        return levels(links, seeds).groupBy("seed").agg(F.sum("n").alias("n"))
     graph = Adjacency(*found)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -150,10 +151,10 @@ def sizes(links: DataFrame, seeds: DataFrame, most: int = KERNEL_EDGES) -> DataF
     return seeds.select("seed").distinct().repartition("seed").mapInPandas(count, "seed string, n long")
 
 
-def blast_sizes(g: Graph) -> DataFrame:
+def blast_sizes(g: Graph, most: int = KERNEL_EDGES) -> DataFrame:
     """(id, value): sizes of all blast radii; no zeros, no boundary nodes."""
     seeds = g.real().select(F.col("id").alias("seed"))
-    return sizes(_reversed(g.links("breakage")), seeds).select(F.col("seed").alias("id"), F.col("n").alias("value"))
+    return sizes(_reversed(g.links("breakage")), seeds, most).select(F.col("seed").alias("id"), F.col("n").alias("value"))
 
 
 def path(g: Graph, a: str, b: str) -> DataFrame | None:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..graph import Graph, parent
+from ..graph import Graph, checkpointed, parent
 
 TYPES = ("class", "interface")
 
@@ -49,22 +49,25 @@ def cohesion(g: Graph) -> DataFrame:
     Methods with equal sets of members count as one set; different sets meet
     only on members that they share.
     """
-    own = _owners(g).where("kind = 'method'").select("id", "owner")
-    node = g.nodes.select("id", "label", "refs")
-    labels = g.nodes.select(F.col("id").alias("dst"), F.col("label").alias("to_label"))
-    touch = g.edges.where("kind in ('reads', 'writes')").join(own.withColumnRenamed("id", "src"), "src").join(labels, "dst")
-    methods = own.join(node, "id")
-    names = methods.select("owner", "label").union(touch.where("kind = 'writes'").select("owner", "to_label")).distinct()
-    used = methods.select("owner", "id", F.explode("refs").alias("label")).union(touch.select("owner", F.col("src").alias("id"), "to_label"))
+    kinds = g.nodes.select("id", "kind", "label", "refs")
+    types = kinds.where(F.col("kind").isin(*TYPES)).select(F.col("id").alias("owner"))
+    own = checkpointed(kinds.where("kind = 'method'").withColumn("owner", parent(F.col("id"))).join(types, "owner", "left_semi").select("id", "owner", "label", "refs"))
+    touch = g.edges.where("kind in ('reads', 'writes')").select("src", "dst", "kind").distinct()
+    touch = touch.join(own.select(F.col("id").alias("src"), "owner"), "src").join(kinds.select(F.col("id").alias("dst"), F.col("label").alias("to_label")), "dst")
+    touch = checkpointed(touch.select("owner", F.col("src").alias("id"), "to_label", "kind"))
+    names = own.select("owner", "label").union(touch.where("kind = 'writes'").select("owner", "to_label")).distinct()
+    used = own.select("owner", "id", F.explode("refs").alias("label")).union(touch.select("owner", "id", "to_label"))
     # A label counts where the owner has a member of that name: one row each, never a type's whole member list.
     seen = used.join(names, ["owner", "label"], "left_semi").groupBy("owner", "id").agg(F.array_sort(F.collect_set("label")).alias("s"))
-    m = own.join(seen, ["owner", "id"], "left").withColumn("s", F.coalesce("s", F.array().cast("array<string>")))
-    sets = m.groupBy("owner", "s").agg(F.count(F.lit(1)).alias("n"))
+    m = own.select("owner", "id").join(seen, ["owner", "id"], "left").withColumn("s", F.coalesce("s", F.array().cast("array<string>")))
+    sets = checkpointed(m.groupBy("owner", "s").agg(F.count(F.lit(1)).alias("n")))
     n = sets.groupBy("owner").agg(F.sum("n").alias("methods"), F.max(F.size("s") > 0).alias("any"))
     own_pairs = sets.select("owner", F.when(F.size("s") > 0, F.col("n") * (F.col("n") - 1) / 2).otherwise(F.lit(0.0)).alias("p"))
     # Different sets meet on the members they share, each pair counted once.
     key = F.sha1(F.array_join("s", "\x00"))
     each = sets.where(F.size("s") > 0).select("owner", "n", key.alias("k"), F.explode("s").alias("member"))
+    # A member of one set alone meets no other.
+    each = checkpointed(each.withColumn("_sets", F.count(F.lit(1)).over(Window.partitionBy("owner", "member"))).where("_sets > 1").drop("_sets"))
     met = each.join(each.select("owner", "member", F.col("k").alias("k2"), F.col("n").alias("n2")), ["owner", "member"]).where("k < k2")
     cross = met.select("owner", "k", "k2", "n", "n2").distinct().select("owner", (F.col("n") * F.col("n2")).cast("double").alias("p"))
     shared = own_pairs.union(cross).groupBy("owner").agg(F.sum("p").cast("long").alias("sharing"))

@@ -74,10 +74,18 @@ def report(found: DataFrame, top: int = 10) -> str:
     return "\n".join(lines + [f"| {r['id']} | {r['before']} | {r['after']} | {r['delta']:+d} |" for r in rows])
 
 
-def diagnose(g: Graph, ranking: DataFrame, id: str, diagnostics: DataFrame | None = None) -> DataFrame:
-    """One row: rank and value in ranking(id, value), blast size, neighbours at depth 1, unresolved references."""
-    value = ranking.where(F.col("id") == id).select("value").first()
-    ahead = None if value is None else ranking.where((F.col("value") > value[0]) | ((F.col("value") == value[0]) & (F.col("id") < id))).count() + 1
+def diagnose(g: Graph, ranking: DataFrame | None, id: str, diagnostics: DataFrame | None = None) -> DataFrame:
+    """One row: rank and value in the whole ranking(id, value), blast size, neighbours at depth 1, unresolved references.
+
+    Rank and value are null for a node that the ranking leaves out, or without a ranking.
+    """
+    value = ahead = None
+    if ranking is not None:
+        ranking = checkpointed(ranking.select("id", "value"))
+        value = ranking.where(F.col("id") == id).select("value").first()
+    if value is not None:
+        first = (F.col("value") > value[0]) | ((F.col("value") == value[0]) & (F.col("id") < id))
+        ahead = ranking.where(first).count() + 1
     blast = closure(_reversed(g.links("breakage")), g.spark.createDataFrame([(id,)], "seed string")).count()
     near = neighborhood(g, id).where("level > 0").count()
     loose = unresolved(g).where(F.col("id") == id).first()

@@ -7,7 +7,7 @@ import heapq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..graph import KERNEL_EDGES, Graph, bounded_links, checkpointed
+from ..graph import KERNEL_EDGES, Graph, bounded_links, checkpointed, numbered
 from .project import Projection
 
 
@@ -117,18 +117,50 @@ def cycles(g: Graph) -> DataFrame:
     return sets.where((F.size("members") > 1) | F.col("loop")).drop("loop").join(kinds, "component")
 
 
-def topo_sort(p: Projection) -> DataFrame:
-    """(position, members, cyclic): dependencies first; of ready groups the one with the smallest member.
+def layers(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, layer) over links(src, dst) without cycles, src after dst: 0 for what waits for nothing, else one more than the last it waits for.
 
-    The order of a queue is serial: the condensed links come to the driver,
-    refused beyond the checked bound.
+    Rounds peel off what is ready: each takes the peeled nodes' links alone and
+    counts down what their users still wait for.
     """
-    comp = checkpointed(components(p.nodes, p.links))
+    e = checkpointed(links.select("src", "dst").distinct())
+    waits = checkpointed(e.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("n")))
+    out = front = checkpointed(nodes.select("id").join(waits, "id", "left_anti").select("id", F.lit(0).cast("long").alias("layer")))
+    layer = 0
+    while not front.isEmpty():
+        layer += 1
+        freed = e.join(front.select(F.col("id").alias("dst")), "dst").groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("less"))
+        waits = checkpointed(waits.join(freed, "id", "left").select("id", (F.col("n") - F.coalesce("less", F.lit(0))).alias("n")))
+        front = waits.where("n = 0").select("id", F.lit(layer).cast("long").alias("layer"))
+        waits = waits.where("n > 0")
+        out = checkpointed(out.unionByName(front))
+    return out
+
+
+def topo_sort(p: Projection, by: str = "ready", most: int = KERNEL_EDGES) -> DataFrame:
+    """(position, members, cyclic): groups of mutual dependencies, what they depend on first.
+
+    by="ready": of the groups that could come next, the one with the smallest
+    member. That order is serial; where there are more groups or links between
+    them than `most`, and with by="layers", groups come by layers (`layers`),
+    and by their smallest member in each, and no name reaches the driver.
+    """
+    if by not in ("ready", "layers"):
+        raise ValueError(f"unknown order: {by}")
+    comp = checkpointed(components(p.nodes, p.links, most))
     across = p.links.join(comp.toDF("src", "a"), "src").join(comp.toDF("dst", "b"), "dst").where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
-    found = bounded_links(across)
+    groups = comp.groupBy("component").agg(F.array_sort(F.collect_list("id")).alias("members"))
+    few = by == "ready" and groups.select("component").limit(most + 1).count() <= most
+    found = bounded_links(across, most) if few else None
     if found is None:
-        raise ValueError(f"not measured: more than {KERNEL_EDGES} links between groups")
-    names = [r[0] for r in comp.select("component").distinct().toLocalIterator()]
+        layer = layers(groups.select(F.col("component").alias("id")), across).withColumnRenamed("id", "component")
+        place = numbered(layer, ["layer", "component"], "position")
+    else:
+        place = _ready_order(p.nodes.sparkSession, [r[0] for r in groups.select("component").toLocalIterator()], found)
+    return place.join(groups, "component").select("position", "members", (F.size("members") > 1).alias("cyclic"))
+
+
+def _ready_order(spark, names: list[str], found) -> DataFrame:
     waits, users = dict.fromkeys(names, 0), {}
     for a, b in zip(found[0][found[1]], found[0][found[2]]):  # a depends on b
         waits[a] += 1
@@ -142,6 +174,4 @@ def topo_sort(p: Projection) -> DataFrame:
             waits[y] -= 1
             if not waits[y]:
                 heapq.heappush(ready, y)
-    place = p.nodes.sparkSession.createDataFrame(list(enumerate(order)), "position long, component string")
-    sets = comp.groupBy("component").agg(F.array_sort(F.collect_list("id")).alias("members"))
-    return place.join(sets, "component").select("position", "members", (F.size("members") > 1).alias("cyclic"))
+    return spark.createDataFrame(list(enumerate(order)), "position long, component string")

@@ -39,6 +39,11 @@ def _trade(rest: str) -> str:
     return _sql(views.sql_of(views.TRADE), rest)
 
 
+def _trade_parts(names: str, rest: str) -> str:
+    """The same without recursion, from the named tables of the view alone."""
+    return "WITH " + ", ".join(f"{n} AS ({views.TRADE[n]})" for n in names.split()) + rest
+
+
 def _followers(rest: str) -> str:
     return _sql(views.sql_of(views.FOLLOWERS), rest)
 
@@ -90,6 +95,12 @@ def rank_blast_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
     return closure.blast_sizes(views.trade(spark, sf_dir))
 
 
+@query(SQL["rank_blast_radius"])
+def rank_blast_radius_waves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as joins of words of 64 walks, as where no task holds the links."""
+    return closure.blast_sizes(views.trade(spark, sf_dir), most=0)
+
+
 _HIT = "CASE WHEN lower(label) = 'p7' THEN 0 WHEN starts_with(lower(label), 'p7') THEN 1 WHEN contains(lower(label), 'p7') THEN 2 WHEN contains(lower(id), 'p7') THEN 3 END"
 
 
@@ -141,14 +152,13 @@ def metrics_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return api.query(views.trade(spark, sf_dir), "metrics")["types"]
 
 
-@query(_trade(_OWN + """, ms AS (SELECT id, owner FROM own WHERE kind = 'method'
-), touched AS (SELECT m.owner, x.src AS id, n.label, x.kind FROM edges x JOIN ms m ON x.src = m.id JOIN nodes n ON n.id = x.dst WHERE x.kind IN ('reads', 'writes')
-), names AS (SELECT owner, label FROM touched WHERE kind = 'writes' UNION SELECT m.owner, n.label FROM ms m JOIN nodes n ON n.id = m.id
-), used AS (SELECT DISTINCT t.owner, t.id, t.label FROM touched t JOIN names n ON t.owner = n.owner AND t.label = n.label
-), counts AS (SELECT owner, count(*) AS k FROM ms GROUP BY owner
-), shared AS (SELECT owner, count(*) AS sharing FROM (SELECT DISTINCT a.owner, a.id, b.id FROM used a JOIN used b ON a.owner = b.owner AND a.label = b.label AND a.id < b.id) t GROUP BY owner
-), ok AS (SELECT c.owner, coalesce(s.sharing, 0) AS sharing, c.k * (c.k - 1) // 2 AS pairs FROM counts c LEFT JOIN shared s ON c.owner = s.owner WHERE k >= 2 AND c.owner IN (SELECT owner FROM used))
-SELECT n.id, sharing, pairs - sharing AS non_sharing, round(sharing / pairs, 9) AS tcc FROM nodes n LEFT JOIN ok ON n.id = ok.owner WHERE n.kind IN ('class', 'interface')"""))
+#: A customer's orders write parts; a supplier's offers read one part each, of their own name, so no two share one.
+@query(_trade_parts("places cust supp lines ords offers", """, used AS (SELECT DISTINCT ords.owner, ords.id, lines.pk FROM lines JOIN ords ON lines.ok = ords.ok
+), ms AS (SELECT owner, count(*) AS k FROM ords GROUP BY owner UNION ALL SELECT owner, count(*) FROM offers GROUP BY owner
+), touching AS (SELECT DISTINCT owner FROM used UNION ALL SELECT DISTINCT owner FROM offers
+), shared AS (SELECT owner, count(*) AS sharing FROM (SELECT DISTINCT a.owner, a.id, b.id FROM used a JOIN used b ON a.owner = b.owner AND a.pk = b.pk AND a.id < b.id) t GROUP BY owner
+), ok AS (SELECT ms.owner, coalesce(s.sharing, 0) AS sharing, k * (k - 1) // 2 AS pairs FROM ms JOIN touching t ON ms.owner = t.owner LEFT JOIN shared s ON ms.owner = s.owner WHERE k >= 2)
+SELECT n.id, sharing, pairs - sharing AS non_sharing, round(sharing / pairs, 9) AS tcc FROM (SELECT id FROM cust UNION ALL SELECT id FROM supp) n LEFT JOIN ok ON n.id = ok.owner"""))
 def metrics_cohesion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return api.query(views.trade(spark, sf_dir), "metrics")["cohesion"].withColumn("tcc", F.round("tcc", 9))
 
@@ -321,6 +331,19 @@ def rank_betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.withColumn("value", F.round("value", 9)) if got is not None else _declined(spark, "id string, value double")
 
 
+@query(SQL["rank_closeness"])
+def rank_closeness_waves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as joins of words of 64 walks, as where no task holds the links."""
+    return centrality.closeness(projection(views.followers(spark, sf_dir)), most=0).withColumn("value", F.round("value", 9))
+
+
+@query(SQL["rank_betweenness"])
+def rank_betweenness_waves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in batches of starts, level by level, as where no task holds the links."""
+    got = centrality.betweenness(projection(views.followers(spark, sf_dir)), most=0)
+    return got.withColumn("value", F.round("value", 9)) if got is not None else _declined(spark, "id string, value double")
+
+
 #: A user's events are in one component as long as each leads back to the one before; nothing else leads back.
 _ISLANDS = """, runs AS (SELECT id, u, sum(CASE WHEN t IN ('signup', 'view') AND before IS NOT NULL THEN 0 ELSE 1 END) OVER (PARTITION BY u ORDER BY ts, e) AS run FROM seen
 ), comp AS MATERIALIZED (SELECT id, min(id) OVER (PARTITION BY u, run) AS component FROM runs)"""
@@ -354,6 +377,13 @@ def topo_sort_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order.agg(F.count(F.lit(1)).alias("groups"), F.count_if("cyclic").alias("cyclic"), F.sum(size).alias("members")).crossJoin(late)
 
 
+@query(_trade(f""", lv AS (SELECT id, CASE WHEN id IN (SELECT src FROM edges WHERE kind IN ('calls', 'writes')) THEN 2 WHEN id IN (SELECT src FROM edges WHERE kind = 'reads') THEN 1 ELSE 0 END AS y FROM nodes WHERE {REAL})
+SELECT CAST(row_number() OVER (ORDER BY y, id) - 1 AS BIGINT) AS position, id AS members, false AS cyclic FROM lv"""))
+def topo_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order by layers: what depends on nothing first, peeled off in rounds."""
+    return api.query(views.trade(spark, sf_dir), "topo_sort", order="layers").withColumn("members", F.array_join("members", " "))
+
+
 @query()
 def community_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return api.query(views.journeys(spark, sf_dir), "communities")["labels"]
@@ -508,7 +538,9 @@ def layout_force(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got if got is not None else _declined(spark, "id string, x double, y double")
 
 
-@query(_trade(""" SELECT a.id, CAST(CASE WHEN e.src IS NULL THEN 0 WHEN f.src IS NULL THEN 1 WHEN g.src IS NULL THEN 2 ELSE 3 END AS INTEGER) AS depth, e.src AS parent FROM nodes a
-LEFT JOIN edges e ON e.dst = a.id AND e.kind = 'contains' LEFT JOIN edges f ON f.dst = e.src AND f.kind = 'contains' LEFT JOIN edges g ON g.dst = f.src AND g.kind = 'contains'"""))
+@query(_trade_parts("places cust supp lines ords offers", """ SELECT DISTINCT package AS id, CAST(0 AS INTEGER) AS depth, CAST(NULL AS VARCHAR) AS parent FROM places
+UNION ALL SELECT module, 1, package FROM places UNION ALL SELECT id, 2, module FROM cust UNION ALL SELECT id, 2, module FROM supp
+UNION ALL SELECT id, 3, owner FROM ords UNION ALL SELECT id, 3, owner FROM offers
+UNION ALL SELECT concat('part::p', p_partkey), 0, NULL FROM part UNION ALL SELECT DISTINCT concat('external::', p_brand), 0, NULL FROM part"""))
 def layout_clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return api.query(views.trade(spark, sf_dir), "render", kind="clustered")["rows"]
