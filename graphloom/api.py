@@ -56,7 +56,9 @@ def _render(g, kind="layered"):
         got = layout.force(projection(g))
         return {"measured": got is not None, "rows": got}
     if kind == "clustered":
-        return {"measured": True, "rows": layout.clustered(g)}
+        rows = layout.clustered(g)
+        size = rows.agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height")).first()
+        return {"measured": True, "rows": rows, "width": size["width"] or 0, "height": size["height"] or 0}
     s = layout.structure(g)
     return {"measured": True, "rows": layout.layered(s.nodes.select("id"), s.edges.where("kind <> 'contains'").select("src", "dst").distinct())}
 

@@ -8,7 +8,7 @@ from html import escape
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..graph import KERNEL_EDGES, Graph, bounded_links, checkpointed
+from ..graph import KERNEL_EDGES, Graph, bounded_links, checkpointed, numbered, running, union
 from .project import Projection
 from .topology import components
 
@@ -52,16 +52,67 @@ def layered(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return comp.join(level.withColumnRenamed("c", "component"), "component").select("id", (F.row_number().over(w) - 1).cast("long").alias("x"), "y")
 
 
+def _before(df: DataFrame, within: str, value) -> DataFrame:
+    """df with `off`: the sum of value over the smaller ids of the same `within`, however many these are."""
+    d = running(df, [within, "id"], value, "upto").withColumn("upto", F.col("upto") - value)
+    base = d.groupBy(within).agg(F.min("upto").alias("_base"))
+    return d.join(base, within).withColumn("off", F.col("upto") - F.col("_base")).drop("upto", "_base")
+
+
 def clustered(g: Graph) -> DataFrame:
-    """(id, depth, parent): containment bands, for domains whose containers carry the picture."""
-    up = g.edges.where(g.profile.is_in("containment")).groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
-    level = checkpointed(g.nodes.select("id").join(up, "id", "left").where("parent is null").select("id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent")))
-    out, depth = level, 0
+    """(id, depth, parent, x, y): containment bands.
+
+    A container stands at the head of its band. What it contains and contains
+    nothing itself is stacked below it in id order; what contains something
+    stands beside that stack, bands side by side in id order. A band is as wide
+    as its stack (1) and the bands in it. Nodes that no root leads to take a
+    last row in id order, without depth. Of several containers the smallest
+    counts. Widths are summed from the deepest level up, places from the roots
+    down: two rounds for each level.
+    """
+    up = g.edges.where(g.profile.is_in("containment")).join(g.nodes.select(F.col("id").alias("src")), "src", "left_semi").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
+    tree = checkpointed(g.nodes.select("id").join(up, "id", "left"))
+    inner = tree.where("parent is not null").select(F.col("parent").alias("id")).distinct().withColumn("inner", F.lit(True))
+    tree = checkpointed(tree.join(inner, "id", "left").select("id", "parent", F.coalesce("inner", F.lit(False)).alias("inner")))
+    levels, level = [], tree.where("parent is null")
     while not level.isEmpty():
-        depth += 1
-        level = checkpointed(up.join(level.select(F.col("id").alias("parent")), "parent", "left_semi").select("id", F.lit(depth).alias("depth"), "parent"))
-        out = out.union(level)
-    return out
+        levels.append(checkpointed(level))
+        level = tree.join(levels[-1].where("inner").select(F.col("id").alias("parent")), "parent", "left_semi")
+    # Bottom-up: what each container's children give to its width.
+    sized, below = [], None
+    for d in reversed(levels):
+        if below is not None:
+            d = d.join(below, "id", "left")
+        wide = F.greatest(F.coalesce("wide", F.lit(1)), F.lit(1)) if below is not None else F.lit(1)
+        d = checkpointed(d.select("id", "parent", "inner", wide.cast("long").alias("width")))
+        sized.insert(0, d)
+        below = d.where("parent is not null").groupBy(F.col("parent").alias("id")).agg((F.coalesce(F.sum(F.when(F.col("inner"), F.col("width"))), F.lit(0)) + F.max((~F.col("inner")).cast("long"))).alias("wide"))
+    # Top-down: the place among siblings, from the parent's.
+    out, heads = [], None
+    for depth, d in enumerate(sized):
+        if heads is None:
+            here = _before(d.withColumn("parent", F.lit("")), "parent", F.col("width"))
+            here = here.select("id", F.lit(None).cast("string").alias("parent"), "inner", F.col("off").alias("x"), F.lit(0).cast("long").alias("y"))
+        else:
+            side = _before(d.where("inner"), "parent", F.col("width")).select("id", "parent", "inner", "off")
+            stack = _before(d.where("not inner"), "parent", F.lit(1)).select("id", "parent", "inner", "off")
+            leaves = stack.select("parent").distinct().withColumn("_stack", F.lit(1))
+            side = side.join(heads, "parent").join(leaves, "parent", "left").select("id", "parent", "inner", (F.col("px") + F.coalesce("_stack", F.lit(0)) + F.col("off")).alias("x"), F.lit(depth).cast("long").alias("y"))
+            here = side.unionByName(stack.join(heads, "parent").select("id", "parent", "inner", F.col("px").alias("x"), (F.lit(depth) + F.col("off")).cast("long").alias("y")))
+        here = checkpointed(here)
+        heads = here.where("inner").select(F.col("id").alias("parent"), F.col("x").alias("px"))
+        out.append(here.select("id", F.lit(depth).alias("depth"), "parent", "x", "y"))
+    if not out:
+        return tree.select("id", F.lit(None).cast("int").alias("depth"), "parent", F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y")) if tree.isEmpty() else _last_row(tree, 0)
+    placed = union(out)
+    rest = checkpointed(tree.join(placed.select("id"), "id", "left_anti"))
+    if rest.isEmpty():
+        return placed
+    return placed.unionByName(_last_row(rest, placed.agg(F.max("y")).first()[0] + 1))
+
+
+def _last_row(rest: DataFrame, y: int) -> DataFrame:
+    return numbered(rest, ["id"], "x").select("id", F.lit(None).cast("int").alias("depth"), "parent", "x", F.lit(y).cast("long").alias("y"))
 
 
 def force(p: Projection) -> DataFrame | None:

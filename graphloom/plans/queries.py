@@ -538,9 +538,22 @@ def layout_force(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got if got is not None else _declined(spark, "id string, x double, y double")
 
 
-@query(_trade_parts("places cust supp lines ords offers", """ SELECT DISTINCT package AS id, CAST(0 AS INTEGER) AS depth, CAST(NULL AS VARCHAR) AS parent FROM places
-UNION ALL SELECT module, 1, package FROM places UNION ALL SELECT id, 2, module FROM cust UNION ALL SELECT id, 2, module FROM supp
-UNION ALL SELECT id, 3, owner FROM ords UNION ALL SELECT id, 3, owner FROM offers
-UNION ALL SELECT concat('part::p', p_partkey), 0, NULL FROM part UNION ALL SELECT DISTINCT concat('external::', p_brand), 0, NULL FROM part"""))
+#: Customers with orders and suppliers with offers are bands of width 1; the others are leaves of their module.
+@query(_trade_parts("places cust supp lines ords offers", """, three AS (SELECT id, owner FROM ords UNION ALL SELECT id, owner FROM offers
+), two AS (SELECT id, module, id IN (SELECT owner FROM three) AS has FROM (SELECT id, module FROM cust UNION ALL SELECT id, module FROM supp) t
+), leaf AS (SELECT id, module, row_number() OVER (PARTITION BY module ORDER BY id) - 1 AS off FROM two WHERE NOT has
+), band AS (SELECT id, module, row_number() OVER (PARTITION BY module ORDER BY id) - 1 AS off FROM two WHERE has
+), one AS (SELECT module AS id, package, CASE WHEN module IN (SELECT module FROM leaf) THEN 1 ELSE 0 END AS stack, (SELECT count(*) FROM band b WHERE b.module = p.module) AS bands FROM places p
+), onew AS (SELECT *, stack + bands > 0 AS has, greatest(stack + bands, 1) AS width FROM one
+), onex AS (SELECT *, coalesce(sum(CASE WHEN has THEN width ELSE 0 END) OVER (PARTITION BY package ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off,
+  sum(CASE WHEN has THEN 0 ELSE 1 END) OVER (PARTITION BY package ORDER BY id) - 1 AS nth FROM onew
+), pack AS (SELECT package AS id, max(CASE WHEN has THEN 0 ELSE 1 END) AS stack, greatest(sum(CASE WHEN has THEN width ELSE 0 END) + max(CASE WHEN has THEN 0 ELSE 1 END), 1) AS width FROM onew GROUP BY package
+), roots AS (SELECT id, stack, width FROM pack UNION ALL SELECT concat('part::p', p_partkey), 0, 1 FROM part UNION ALL SELECT DISTINCT concat('external::', p_brand), 0, 1 FROM part
+), root AS (SELECT id, stack, coalesce(sum(width) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS x FROM roots
+), mods AS (SELECT m.id, m.package, m.stack, CASE WHEN m.has THEN r.x + r.stack + m.off ELSE r.x END AS x, CASE WHEN m.has THEN 1 ELSE 1 + m.nth END AS y FROM onex m JOIN root r ON m.package = r.id
+), types AS (SELECT b.id, b.module, m.x + m.stack + b.off AS x, 2 AS y FROM band b JOIN mods m ON b.module = m.id UNION ALL SELECT l.id, l.module, m.x, 2 + l.off FROM leaf l JOIN mods m ON l.module = m.id
+), got AS (SELECT id, 0 AS depth, CAST(NULL AS VARCHAR) AS parent, x, 0 AS y FROM root UNION ALL SELECT id, 1, package, x, y FROM mods UNION ALL SELECT id, 2, module, x, y FROM types
+  UNION ALL SELECT t.id, 3, t.owner, b.x, 3 + row_number() OVER (PARTITION BY t.owner ORDER BY t.id) - 1 FROM three t JOIN types b ON t.owner = b.id)
+SELECT id, CAST(depth AS INTEGER) AS depth, parent, CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y FROM got"""))
 def layout_clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return api.query(views.trade(spark, sf_dir), "render", kind="clustered")["rows"]

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .graph import Graph
+from .graph import Graph, checkpointed
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -56,8 +59,10 @@ JOURNEYS = {
     "nodes": "SELECT id, 'function' AS kind, t AS label, CAST(NULL AS INT) AS decisions FROM seen",
 }
 
-#: Tables that others are built from, kept (memory, then disk) for the session so that they are read once.
-KEPT = ("lines", "ords", "sold", "offers", "seen", "nodes", "edges")
+#: Tables that several others are built from: kept while a graph is made, so that they are read once.
+SHARED = ("lines", "ords", "sold", "offers", "seen")
+#: Finished graphs of this process by application, folder and view: their nodes and edges, written to the shared folder.
+_MADE: dict[tuple, tuple[DataFrame, DataFrame]] = {}
 
 
 def sql_of(parts: dict[str, str]) -> str:
@@ -71,16 +76,35 @@ def register(spark: SparkSession, sf_dir: str, tables: list[str]) -> None:
 
 
 def _graph(spark: SparkSession, sf_dir: str, parts: dict[str, str], tables: list[str]) -> Graph:
-    register(spark, sf_dir, tables)
-    made = {}
-    for name, text in parts.items():
-        made[name] = spark.sql(text)
-        if name in KEPT:
-            made[name] = made[name].cache()
-        made[name].createOrReplaceTempView(name)
+    """Made once for a session and folder; afterwards a query starts from two written tables, not from the view's plan.
+
+    While it is made its tables have names of their own, so no view of the user's is touched.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, *parts)
+    if key not in _MADE:
+        mark = f"graphloom_{uuid.uuid4().hex[:8]}_"
+        named = re.compile(rf"\b(?:{'|'.join([*parts, *tables])})\b(?!::)")
+        kept, made = [], {}
+        try:
+            for t in tables:
+                spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(mark + t)
+            for name, text in parts.items():
+                df = spark.sql(named.sub(lambda m: mark + m[0], text))
+                if name in SHARED:
+                    kept.append(df := df.cache())
+                df.createOrReplaceTempView(mark + name)
+                if name in ("nodes", "edges"):
+                    made[name] = checkpointed(df)
+        finally:
+            for name in [*tables, *parts]:
+                spark.catalog.dropTempView(mark + name)
+            for df in kept:
+                df.unpersist()
+        _MADE[key] = made["nodes"], made["edges"]
+    nodes, edges = _MADE[key]
     none = F.lit(None)
-    nodes = made["nodes"].withColumns({"refs": none.cast("array<string>"), "measures": none.cast("map<string,string>")})
-    return Graph(nodes, made["edges"].withColumn("attrs", none.cast("map<string,string>")))
+    nodes = nodes.withColumns({"refs": none.cast("array<string>"), "measures": none.cast("map<string,string>")})
+    return Graph(nodes, edges.withColumn("attrs", none.cast("map<string,string>")))
 
 
 def trade(spark: SparkSession, sf_dir: str) -> Graph:

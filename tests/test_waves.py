@@ -106,3 +106,24 @@ def test_diagnosis_of_any_node(spark):
     row = api.query(g, "diagnose_hotspot", node="alone").first()
     assert (row["rank"], row["value"], row["blast"]) == (None, None, 0)
     assert diff.diagnose(g, None, "x30").first()["rank"] is None
+
+
+def test_clustered_bands(spark):
+    from graphloom.operators import layout
+
+    inside = [("p", "m1"), ("p", "m2"), ("p", "x"), ("m1", "c"), ("m1", "a"), ("m1", "b"), ("c", "d"), ("m2", "e"), ("q", "f"), ("k", "l"), ("l", "k")]
+    nodes = sorted({x for p in inside for x in p} | {"z"})
+    g = Graph(spark.createDataFrame([(x, "module", x) for x in nodes], "id string, kind string, label string"), spark.createDataFrame([(a, b, "contains", None) for a, b in inside], "src string, dst string, kind string, line int"))
+    got = {r.id: (r.depth, r.x, r.y) for r in layout.clustered(g).collect()}
+    # p: its leaf x below it, then m1 (a stack and the band of c: 2 wide), then m2; q after p's band of 4, z after q.
+    assert got == {"p": (0, 0, 0), "x": (1, 0, 1), "m1": (1, 1, 1), "a": (2, 1, 2), "b": (2, 1, 3), "c": (2, 2, 2), "d": (3, 2, 3), "m2": (1, 3, 1), "e": (2, 3, 2), "q": (0, 4, 0), "f": (1, 4, 1), "z": (0, 5, 0), "k": (None, 0, 4), "l": (None, 1, 4)}
+
+
+def test_views_leave_the_users_names_alone(spark):
+    from graphloom import views
+
+    spark.range(3).createOrReplaceTempView("nodes")
+    before = {t.name for t in spark.catalog.listTables()}
+    views.followers(spark, "/root/testdata/sf0.001")
+    assert {t.name for t in spark.catalog.listTables()} == before and spark.table("nodes").count() == 3
+    spark.catalog.dropTempView("nodes")
