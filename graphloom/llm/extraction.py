@@ -4,7 +4,9 @@ A page becomes its leaf blocks in order: the text between block-level tags,
 with the tags, classes and ids above it. Each block is article or not; a block's
 score comes from features of its ancestors and its text, neighbours are tied by
 transition weights, and Viterbi picks the best labelling of the whole page. The
-weights are fitted by gradient ascent on labelled pages.
+weights are fitted by gradient ascent on labelled pages. Where the best
+labelling keeps nothing, the best one with one article is taken if it is nearly
+as likely (LEAN).
 
 Scripts, styles, titles, drawings, templates, frames and comments of the markup
 are no blocks; each ends at its end tag. One that is never closed ends where the
@@ -26,6 +28,7 @@ columns stay as they are.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -58,6 +61,12 @@ BLOCK_TAG = re.compile(rf"</?(?:{'|'.join(sorted(BLOCK))})(?=[\s/>])", re.I)
 FRAME = re.compile(r"<(/?)iframe(?=[\s/>])[^>]*>?", re.I)
 
 
+#: Pages that the standard model is fitted on.
+TRAINING_PAGES = 2000
+#: Nats by which keeping something may be less likely than an empty text: pages are read for their texts.
+LEAN = 3.0
+
+
 class Place:
     """A path from the root; own holds the features that no ancestor has."""
 
@@ -296,13 +305,31 @@ class Model:
             out.append(at)
         return out[::-1]
 
+    def some(self, scores) -> list[int]:
+        """The best labelling; where that keeps nothing, the best one that keeps something, if it is not worse by more than LEAN."""
+        best = self.viterbi(scores)
+        if any(best) or not best:
+            return best
+        # Nothing kept so far, in the article, behind it; each with where its article began and ended.
+        m, none = self.moves, 0.0
+        inside, behind = (-math.inf, 0), (-math.inf, 0, 0)
+        for i, s in enumerate(scores):
+            begin = (none + m[0][1] if i else self.first) + s
+            stay = inside[0] + m[1][1] + s
+            leave, rest = inside[0] + m[1][0], behind[0] + m[0][0]
+            behind = (leave, inside[1], i) if leave > rest else (rest, *behind[1:])
+            inside = (begin, i) if begin > stay else (stay, inside[1])
+            none += m[0][0] if i else 0.0
+        value, lo, hi = max((inside[0], inside[1], len(scores)), behind)
+        return [int(lo <= i < hi) for i in range(len(scores))] if value >= none - LEAN else best
+
 
 def train(pages: list[str] | None = None, *, steps: int = 150, rate: float = 0.5, decay: float = 1e-3) -> Model:
     """Maximum likelihood of the labels on labelled pages, pages side by side."""
     import numpy as np
 
     blocks = block_parser()
-    found = [[(path_features(p) + text_features(t, a, p.form()), y) for p, t, a, y in blocks(h) if y is not None] for h in (pages or labelled_pages.pages(900))]
+    found = [[(path_features(p) + text_features(t, a, p.form()), y) for p, t, a, y in blocks(h) if y is not None] for h in (pages or labelled_pages.pages(TRAINING_PAGES))]
     found = [x for x in found if x]
     index: dict[str, int] = {}
     for page in found:
@@ -369,7 +396,7 @@ def extractor(model: Model):
     def extract(html):
         found = blocks(html)
         scores = [(score(p) if p.score is None else p.score) + sum(weight(f, 0.0) for f in text_features(t, linked, p.form())) for p, t, linked, _ in found]
-        return "\n\n".join(b[1] for b, keep in zip(found, model.viterbi(scores)) if keep)
+        return "\n\n".join(b[1] for b, keep in zip(found, model.some(scores)) if keep)
 
     return extract
 

@@ -2,9 +2,11 @@
 
 A page is a random layout of parts as pages have them: menus, headers, adverts,
 notices, forms, sidebars, reader comments and footers around or inside an
-article. Some pages are untidy, as real ones are: a form around everything,
-articles without a name or without any tags, end tags left out, names that no
-list has. Each leaf block carries its label in the attribute data-keep, which
+article. Most pages say little by their names: on two thirds all names are left
+out or made up, parts lie in nested wrappers without a meaning or in the columns
+of a grid, and a page may be an article and reader comments and nothing else.
+Some are untidy, as real ones are: a form around everything, articles without a
+name or without any tags, end tags left out. Each leaf block carries its label in the attribute data-keep, which
 the trainer reads and no feature does.
 """
 
@@ -28,13 +30,19 @@ NAMES = {
 }
 
 
+#: Names of wrappers that say how a part is placed and not what it is; fixed values.
+LAYOUT = "container container-fluid row col col-md-8 col-md-4 col-sm-12 wrapper wrap inner outer grid flex box block section left right center clearfix a b c x".split()
+
+
 class Page:
     def __init__(self, seed: int, names: dict[str, list[str]]):
         self.r, self.out, self.names = random.Random(seed), [], names
+        #: Share of the names that say nothing, and of parts without one: of the whole page, mostly.
+        self.made_up, self.nameless = self.r.choice([(0.2, 0.2), (1.0, 0.2), (0.5, 1.0)])
 
     def named(self, part: str) -> str:
-        """A usual name of the part, or one that says nothing."""
-        if self.r.random() < 0.2:
+        """A usual name of the part, or one that says nothing: prose in a part that nothing marks as another is an article's."""
+        if self.r.random() < (self.made_up if part in ("article", "menu", "share") else 0.12):
             return "".join(self.r.choices(SYLLABLES, k=2)) + self.r.choice(["", "-1", "_x"])
         return self.r.choice(self.names[part])
 
@@ -43,7 +51,7 @@ class Page:
         return " ".join("".join(self.r.choices(SYLLABLES, k=self.r.randint(1, 4))) for _ in range(n)).capitalize() + end
 
     def name(self, part: str) -> str:
-        if self.r.random() < 0.2:
+        if self.r.random() < (self.nameless if part in ("article", "menu") else 0.2):
             return ""
         return f' {self.r.choice(["class", "class", "id"])}="{self.named(part)}"'
 
@@ -57,13 +65,41 @@ class Page:
 
     def box(self, part: str, tags: list[str], body) -> None:
         tag = self.r.choice(tags)
-        named = self.name(part) if tag != "div" and tag != "section" else f' class="{self.named(part)}"'
+        named = self.name(part) if tag in ("nav", "header", "footer", "aside", "form", "ul", "article", "main") else f' class="{self.named(part)}"'
         self.inside(tag, named, body)
 
+    def wrapped(self, body, most: int = 6) -> None:
+        """Inside wrappers that mean nothing, sometimes many of them."""
+        deep = self.r.randint(7, 40) if self.r.random() < 0.05 else self.r.randint(0, most)
+        tags = [self.r.choice(["div", "div", "div", "div", "section"]) for _ in range(deep)]
+        for t in tags:
+            self.out.append(f"<{t}{self.neutral()}>")
+        body()
+        self.out += [f"</{t}>" for t in reversed(tags)]
+
+    def neutral(self) -> str:
+        kind = self.r.random()
+        if kind < 0.4:
+            return ""
+        if kind < 0.7:
+            return f' class="{self.r.choice(LAYOUT)}"'
+        return f' {self.r.choice(["class", "id"])}="{"".join(self.r.choices(SYLLABLES, k=self.r.randint(1, 3)))}"'
+
+    def grid(self, bodies) -> None:
+        """Columns in a row, each a part of the page."""
+        def row():
+            for body in bodies:
+                self.inside("div", self.neutral(), body)
+
+        self.inside("div", self.neutral(), lambda: self.inside("div", self.neutral(), row))
+
     def links(self) -> None:
         for _ in range(self.r.randint(2, 7)):
             self.leaf("li", f'<a href="/x">{self.words(1, 3)}</a>', False)
 
+    def links_column(self) -> None:
+        self.inside("ul", "", self.links)
+
     def menu(self) -> None:
         self.box("menu", ["nav", "nav", "div", "ul"], self.links)
 
@@ -129,7 +165,7 @@ class Page:
 
     def article(self) -> None:
         def prose():
-            for _ in range(self.r.randint(1, 9)):
+            for _ in range(self.r.choice([1, 1, 2, 3, 4, 6, 9])):
                 kind = self.r.random()
                 if kind < 0.7:
                     text = self.words(1, 90, ".")
@@ -152,8 +188,8 @@ class Page:
                     self.inside("div", f' class="{self.named("share")}"', lambda: self.leaf("span", f'<a href="/s">{self.words(1, 2)}</a>', False))
 
         def body():
-            if self.r.random() < 0.9:
-                self.leaf("h1", self.words(1, 12), True)
+            if self.r.random() < 0.6:
+                self.leaf(self.r.choice(["h1", "h1", "h2"]), self.words(1, 12), True)
             if self.r.random() < 0.2:
                 self.inside("div", f' class="{self.named("article")}"', prose)
             else:
@@ -168,6 +204,8 @@ class Page:
         kind = self.r.random()
         tag = self.r.choice(["article", "article", "article", "main", "div", "div", "section"])
         name = f' class="{self.named("article")}"'
+        if self.nameless == 1.0 and self.r.random() < 0.7:
+            name = ""
         if kind < 0.06:
             self.out.append(f'<{tag}{name} data-keep="1">{bare()}</{tag}>')
         elif kind < 0.1:
@@ -185,8 +223,10 @@ class Page:
             return f'<body data-keep="1">{self.words(5, 200, ".")}'
         if r.random() < 0.05:
             self.out.append('<noscript data-keep="0">' + self.words(4, 20, ".") + "</noscript>")
-        if r.random() < 0.12:  # nothing but the article
-            self.article()
+        if r.random() < 0.35:  # nothing but the article, and perhaps comments on it
+            self.wrapped(self.article)
+            if r.random() < 0.5:
+                self.box("comments", ["div", "section"], lambda: [self.leaf("p", self.words(3, 60, "."), False) for _ in range(r.randint(1, 4))])
             return f'<html><body data-keep="1">{"".join(self.out)}</body></html>'
         around = r.random() < 0.1
         if around:
@@ -194,9 +234,14 @@ class Page:
         for part, chance in ((self.notice, 0.2), (self.header, 0.4), (self.menu, 0.7), (self.form, 0 if around else 0.2), (self.advert, 0.3), (lambda: self.bare("advert"), 0.5), (lambda: self.bare("notice"), 0.2), (self.sidebar, 0.2)):
             if r.random() < chance:
                 part()
-        if r.random() < 0.3:
+        shape = r.random()
+        if shape < 0.2:
             self.inside("main", "", self.article)
-        elif r.random() < 0.95:
+        elif shape < 0.4:
+            self.grid(r.sample([self.article, r.choice([self.links_column, self.sidebar, self.menu])], 2))
+        elif shape < 0.65:
+            self.wrapped(self.article)
+        elif shape < 0.96:
             self.article()
         for part, chance in ((self.comments, 0.35), (self.sidebar, 0.35), (self.advert, 0.2), (lambda: self.bare("advert"), 0.2), (self.form, 0 if around else 0.2), (self.menu, 0.2), (self.footer, 0.5), (lambda: self.bare("footer"), 0.5), (self.notice, 0.1)):
             if r.random() < chance:
