@@ -10,11 +10,11 @@ from graphloom.operators.project import projection
 from pyspark.sql import functions as F
 
 
-def some_links(seed, n=70, m=150):
+def some_links(seed, n=40, m=90):
     r = random.Random(seed)
     pairs = {(f"n{r.randrange(n):03}", f"n{r.randrange(n):03}") for _ in range(m)}
     hub = {("n000", f"n{i:03}") for i in range(1, n, 3)}
-    chain = {(f"z{i}", f"z{i + 1}") for i in range(9)}
+    chain = {(f"z{i}", f"z{i + 1}") for i in range(4)}
     return sorted(pairs | hub | chain | {("loop", "loop")})
 
 
@@ -36,9 +36,8 @@ def walk(pairs, start):
     return level
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_levels_are_those_of_plain_walks(spark, seed):
-    pairs = some_links(seed)
+def test_levels_are_those_of_plain_walks(spark):
+    pairs = some_links(1)
     g = graph(spark, pairs)
     got = {(r.seed, r.level): r.n for r in waves.levels(g.links("closure"), g.nodes.select(F.col("id").alias("seed"))).collect()}
     want = defaultdict(int)
@@ -57,13 +56,14 @@ def test_sizes_beyond_the_bound(spark):
     assert waves.levels(g.links("closure").limit(0), g.nodes.select(F.col("id").alias("seed"))).count() == 0
 
 
-@pytest.mark.parametrize("wide", [0, 10**9])
-def test_centralities_beyond_the_bound(spark, monkeypatch, wide):
-    monkeypatch.setattr(centrality, "WIDE", wide)  # both ways of counting in memory
+def test_centralities_beyond_the_bound(spark, monkeypatch):
     p = projection(graph(spark, some_links(4)))
     for f in (centrality.closeness, centrality.betweenness):
-        one, other = ({r.id: r.value for r in f(p, **k).collect()} for k in ({}, {"most": 0}))
-        assert one.keys() == other.keys() and all(abs(one[k] - other[k]) < 1e-12 for k in one)
+        other = {r.id: r.value for r in f(p, most=0).collect()}
+        for wide in (0, 10**9):  # both ways of counting in memory
+            monkeypatch.setattr(centrality, "WIDE", wide)
+            one = {r.id: r.value for r in f(p).collect()}
+            assert one.keys() == other.keys() and all(abs(one[k] - other[k]) < 1e-12 for k in one)
     assert max(one.values()) > 0
 
 
