@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .graph import Graph, checkpointed
+from .graph import Graph, shared_folder
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -94,7 +94,9 @@ def _graph(spark: SparkSession, sf_dir: str, parts: dict[str, str], tables: list
                     kept.append(df := df.cache())
                 df.createOrReplaceTempView(mark + name)
                 if name in ("nodes", "edges"):
-                    made[name] = checkpointed(df)
+                    path = f"{shared_folder(spark)}/graphloom/{mark}{name}"
+                    df.write.parquet(path)
+                    made[name] = spark.read.schema(df.schema).parquet(path)
         finally:
             for name in [*tables, *parts]:
                 spark.catalog.dropTempView(mark + name)
