@@ -6,6 +6,7 @@ import hashlib
 import hmac
 import json
 import time
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,10 @@ from .profile import embedded
 
 VERSION = "2.0"
 YEAR = 365 * 24 * 3600
+#: Tables written in order, so that a lookup skips files and row groups by their bounds; edges are there by either end.
+ORDER = {"nodes": ["id"], "edges": ["src", "dst"], "edges_in": ["dst", "src"]}
+#: An insert into a graph of so many parts makes it one part again.
+PARTS = 16
 
 
 def entry_hash(seq: int, ts: str, op: str, payload: str, prev: str) -> str:
@@ -70,7 +75,12 @@ def first_rows(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 class Store:
-    """A folder with one sub-folder per generation. A new generation counts once the pointer names it."""
+    """A folder with one sub-folder per generation. A new generation counts once the pointer names it.
+
+    A generation's tables have parts: what replaced the graph, and what each
+    insert since then has added. An insert writes only its own part; older
+    generations keep theirs.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -92,23 +102,47 @@ class Store:
     def _table(self, name: str, n: int | None = None) -> str:
         return f"{self.path}/gen={n or self.generation()}/{name}"
 
-    def replace_graph(self, g: Graph, diagnostics: DataFrame | None = None, audit: list[tuple] | None = None) -> int:
-        n = self.generation() + 1
-        g.nodes.write.mode("overwrite").parquet(self._table("nodes", n))
-        g.edges.write.mode("overwrite").parquet(self._table("edges", n))
-        d = diagnostics if diagnostics is not None else self.spark.createDataFrame([], schema.DIAGNOSTICS)
-        d.write.mode("overwrite").parquet(self._table("diagnostics", n))
-        self.spark.createDataFrame(audit or [], schema.AUDIT).write.mode("overwrite").parquet(self._table("audit", n))
-        meta = [("profile", g.profile.id), ("schema_version", VERSION), ("generation", str(n))]
-        self.spark.createDataFrame(meta, schema.META).write.mode("overwrite").parquet(self._table("meta", n))
+    def _put(self, name: str, df: DataFrame, n: int) -> None:
+        by = ORDER.get(name)
+        df = df.repartitionByRange(*by).sortWithinPartitions(*by) if by else df
+        df.write.mode("overwrite").parquet(self._table(name, n))
+
+    def _put_graph(self, nodes: DataFrame, edges: DataFrame, n: int) -> None:
+        self._put("nodes", nodes, n)
+        self._put("edges", edges, n)
+        self._put("edges_in", self.spark.read.parquet(self._table("edges", n)), n)
+
+    def _close(self, n: int, profile: str, parts: dict[str, list[int]]) -> int:
+        meta = [("profile", profile), ("schema_version", VERSION), ("generation", str(n)), ("parts", json.dumps(parts))]
+        self._put("meta", self.spark.createDataFrame(meta, schema.META), n)
         self._point(n)
         return n
 
+    def replace_graph(self, g: Graph, diagnostics: DataFrame | None = None, audit: list[tuple] | None = None) -> int:
+        n = self.generation() + 1
+        self._put_graph(g.nodes, g.edges, n)
+        self._put("diagnostics", diagnostics if diagnostics is not None else self.spark.createDataFrame([], schema.DIAGNOSTICS), n)
+        self._put("audit", self.spark.createDataFrame(audit or [], schema.AUDIT), n)
+        return self._close(n, g.profile.id, {k: [n] for k in (*ORDER, "diagnostics", "audit")})
+
+    def compact(self) -> int:
+        """The newest generation again, in one part."""
+        return self.replace_graph(self.load_graph(), self.read("diagnostics"), self.load_audit())
+
+    def parts(self) -> dict[str, list[int]]:
+        """The generations that hold the parts of each table; a store made before there were parts has one."""
+        n, said = self.generation(), self.meta().get("parts")
+        return json.loads(said) if said else {k: [n] for k in ("nodes", "edges", "diagnostics", "audit")}
+
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self._table(name))
+        parts = self.parts()
+        if name not in parts and name == "edges_in":
+            name = "edges"
+        each = [self.spark.read.parquet(self._table(name, n)) for n in parts[name]]
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), each)
 
     def meta(self) -> dict[str, str]:
-        return {r["key"]: r["value"] for r in self.read("meta").collect()}
+        return {r["key"]: r["value"] for r in self.spark.read.parquet(self._table("meta")).collect()}
 
     def load_graph(self) -> Graph:
         """The newest generation. One of an older format gets the fields it lacks as nulls; a newer format is refused."""
@@ -122,6 +156,10 @@ class Store:
     def get_node(self, id: str) -> DataFrame:
         return self.read("nodes").where(F.col("id") == id)
 
+    def get_links(self, id: str, incoming: bool = False) -> DataFrame:
+        """A node's links, from the copy of the edges that lies in the order of this end."""
+        return self.read("edges_in" if incoming else "edges").where(F.col("dst" if incoming else "src") == id)
+
     def counts(self) -> tuple[int, int]:
         return self.read("nodes").count(), self.read("edges").count()
 
@@ -131,13 +169,19 @@ class Store:
         return log or genesis()
 
     def insert_graph(self, g: Graph) -> tuple[int, int]:
-        """Adds what is not there yet, as a new generation; how many nodes and edges that was."""
-        old = self.load_graph()
+        """Adds what is not there yet, as a new part and generation; how many nodes and edges that was."""
+        if len(self.parts()["nodes"]) >= PARTS:
+            self.compact()
+        old, parts = self.load_graph(), self.parts()
         new_nodes, new_edges = migrated(g.nodes, old.nodes.schema), migrated(g.edges, old.edges.schema)
         nodes = checkpointed(first_rows(new_nodes, ["id"]).join(old.nodes, "id", "left_anti").select(*old.nodes.columns))
         edges = checkpointed(first_rows(new_edges, ["src", "dst", "kind"]).join(old.edges, ["src", "dst", "kind"], "left_anti").select(*old.edges.columns))
         added = nodes.count(), edges.count()
-        self.replace_graph(Graph(old.nodes.unionByName(nodes), old.edges.unionByName(edges), old.profile), self.read("diagnostics"), self.load_audit())
+        n = self.generation() + 1
+        self._put_graph(nodes, edges, n)
+        if "edges_in" not in parts:  # an older store has no edges by target yet
+            self._put("edges_in", old.edges.unionByName(edges), n)
+        self._close(n, old.profile.id, parts | {k: [*parts.get(k, []), n] for k in ORDER})
         return added
 
     def add_annotation(self, target: str, body: str, ts: str | None = None) -> None:

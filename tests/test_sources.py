@@ -182,6 +182,31 @@ def test_store_and_snapshot(spark, tmp_path):
     assert store.verify_certificate(text + " ", cert, b"other", now=100 + 2 * store.YEAR) == ["digest", "signature", "expired"]
 
 
+def test_inserts_add_parts(spark, tmp_path, monkeypatch):
+    def rows(ids, links):
+        n = spark.createDataFrame([(i, "module", i) for i in ids], "id string, kind string, label string")
+        return Graph(store.migrated(n, schema.NODES), store.migrated(spark.createDataFrame(links, "src string, dst string, kind string"), schema.EDGES))
+
+    s, folder = store.Store(spark, str(tmp_path / "db")), tmp_path / "db"
+    s.replace_graph(rows([f"n{i:04d}" for i in range(2000)], [(f"n{i:04d}", "n0007", "calls") for i in range(2000)]), audit=store.audit_append([], "index", "{}", "7"))
+    before = {f: f.stat().st_mtime_ns for f in folder.rglob("*.parquet")}
+    assert s.insert_graph(rows(["n0001", "x1", "x2"], [("n0001", "n0007", "calls"), ("x1", "n0007", "calls"), ("x1", "x2", "calls")])) == (2, 2)
+    assert s.parts()["nodes"] == [1, 2] and s.parts()["audit"] == [1] and s.counts() == (2002, 2002)
+    assert {f: f.stat().st_mtime_ns for f in before} == before
+    assert sum(spark.read.parquet(str(folder / "gen=2" / t)).count() for t in store.ORDER) == 6
+    assert s.get_links("n0007", incoming=True).count() == 2001 and {r["dst"] for r in s.get_links("x1").collect()} == {"n0007", "x2"}
+    assert s.get_node("x1").first()["label"] == "x1" and s.load_audit()[-1][2] == "index"
+    # Files lie in the order of their key, so their bounds do not overlap and a lookup is pushed to them.
+    for name, by in store.ORDER.items():
+        ends = sorted(tuple(r) for r in s.spark.read.parquet(str(folder / "gen=1" / name)).groupBy(F.input_file_name()).agg(F.min(by[0]), F.max(by[0])).select("`min(%s)`" % by[0], "`max(%s)`" % by[0]).collect())
+        assert all(a[1] <= b[0] for a, b in zip(ends, ends[1:]))
+    plan = s.get_links("n0007", incoming=True)._jdf.queryExecution().toString()
+    assert plan.count("EqualTo(dst,n0007)") >= 2
+    monkeypatch.setattr(store, "PARTS", 2)
+    assert s.insert_graph(rows(["x3"], [])) == (1, 0) and s.parts()["nodes"] == [3, 4] and s.counts() == (2003, 2002)
+    assert s.insert_graph(rows([], [])) == (0, 0) and s.counts() == (2003, 2002)
+
+
 def test_english(spark):
     t = spark.createDataFrame([("# A [b](u) **c**\n> d\n- e",)], "t string").select(english.clean_markdown(F.col("t")).alias("t")).first()["t"]
     assert t == "A b c\nd\ne"
