@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -19,6 +22,18 @@ _NATIONS = "WITH m AS (SELECT n_nationkey AS n, concat('r', n_regionkey) AS pack
 _MET = ", met AS (SELECT DISTINCT a.id AS src, a.package AS here, b.id AS dst, b.package AS there, b.n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN m a ON c_nationkey = a.n JOIN supplier ON l_suppkey = s_suppkey JOIN m b ON s_nationkey = b.n)"
 
 
+def _leave(s: store.Store) -> None:
+    with contextlib.suppress(Exception):  # the session may have gone first
+        s.remove()
+
+
+def _fresh_store(spark: SparkSession) -> store.Store:
+    """A store of its own in the shared folder; it goes when the process ends, for results read it until then."""
+    s = store.Store(spark, f"{shared_folder(spark)}/graphloom-store/{uuid.uuid4().hex[:12]}")
+    atexit.register(_leave, s)
+    return s
+
+
 def _raw(spark: SparkSession, sf_dir: str, **parts) -> build.Raw:
     """The sellers' raw rows with some tables replaced, the others but files and symbols empty."""
     raw = views.sellers(spark, sf_dir)
@@ -162,10 +177,8 @@ UNION ALL SELECT 'edges', kind, count(*) FROM edges GROUP BY kind
 UNION ALL SELECT 'nodes', '*', count(*) FROM nodes UNION ALL SELECT 'edges', '*', count(*) FROM edges"""))
 def store_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Half the graph stored, the rest inserted, what is there again left alone; then read back."""
-    import uuid
-
     g = views.trade(spark, sf_dir)
-    s = store.Store(spark, f"{shared_folder(spark)}/graphloom-store/{uuid.uuid4().hex[:12]}")
+    s = _fresh_store(spark)
     half = F.pmod(F.xxhash64("id"), F.lit(2)) == 0
     s.replace_graph(Graph(g.nodes.where(half), g.edges.where("kind <> 'calls'"), g.profile), audit=store.audit_append([], "index", "{}", "1"))
     s.insert_graph(g)
@@ -241,8 +254,9 @@ def asked_in_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_trade(f""" SELECT id, kind, label, n_in, n_out FROM nodes LEFT JOIN (SELECT dst, count(*) AS n_in FROM edges GROUP BY dst) i ON i.dst = id LEFT JOIN (SELECT src, count(*) AS n_out FROM edges GROUP BY src) o ON o.src = id WHERE id = '{HUB}'"""))
 def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One node of a stored graph with its links counted, read through pushed-down filters."""
-    g = views.trade(spark, sf_dir)
-    one = g.nodes.where(F.col("id") == HUB).select("id", "kind", "label")
-    count = lambda end, name: g.edges.where(F.col(end) == HUB).groupBy(F.col(end).alias("id")).agg(F.count(F.lit(1)).alias(name))
+    """One node of a stored graph with its links counted: each read goes to the table that lies in the order of its key."""
+    s = _fresh_store(spark)
+    s.replace_graph(views.trade(spark, sf_dir))
+    one = s.get_node(HUB).select("id", "kind", "label")
+    count = lambda end, name: s.get_links(HUB, incoming=end == "dst").groupBy(F.col(end).alias("id")).agg(F.count(F.lit(1)).alias(name))
     return reduce(lambda a, b: a.join(b, "id", "left"), [count("dst", "n_in"), count("src", "n_out")], one)

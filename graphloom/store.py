@@ -89,6 +89,10 @@ class Store:
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
+    def remove(self) -> None:
+        fs, p = self._fs(self.path)
+        fs.delete(p, True)
+
     def generation(self) -> int:
         """The newest one whose marker is there; 0 for none."""
         fs, p = self._fs(f"{self.path}/current")
