@@ -85,7 +85,7 @@ def index(spark: SparkSession, root: str, path: str, name: str) -> dict:
     generation = s.replace_graph(g, diagnostics, store.audit_append(log, "index", json.dumps({"root": root})))
     nodes, edges = s.counts()
     kinds = {r["kind"]: r["count"] for r in s.diagnostics().groupBy("kind").count().collect()}
-    return {"generation": generation, "files": raw.files.count(), "nodes": nodes, "edges": edges, "diagnostics": dict(sorted(kinds.items()))}
+    return {"generation": generation, "files": raw.files.count(), "symbols": raw.symbols.count(), "nodes": nodes, "edges": edges, "diagnostics": dict(sorted(kinds.items()))}
 
 
 def verify(spark: SparkSession, path: str) -> dict:

@@ -25,7 +25,7 @@ def stored(spark, tmp_path_factory):
 
 def test_index_reports_and_stores(spark, stored):
     path, report = stored
-    assert report["generation"] == 1 and report["files"] == 3 and report["diagnostics"] == {"UnresolvedCall": 1}
+    assert report["generation"] == 1 and report["files"] == 3 and report["symbols"] == 4 and report["diagnostics"] == {"UnresolvedCall": 1}
     g = store.Store(spark, path).load_graph()
     e = {(r["src"], r["dst"], r["kind"]) for r in g.edges.collect()}
     assert ("top::a::run", "top::b::go", "calls") in e and ("top::a", "top::b", "imports") in e and ("top::a::run", "external::missing", "calls") in e
