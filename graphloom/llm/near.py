@@ -20,7 +20,9 @@ a join on shared shingles the rest. No pair is missed:
 4. What is left at a shingle in different components are pairs, of which sizes,
    places and parity bits rule out most before whole sets are compared: 512 bits
    say of how many elements with a bit a set has an odd number, so in as many
-   bits as two sets disagree, at least, they differ by an element.
+   bits as two sets disagree, at least, they differ by an element. Of long texts
+   all bits are chance, so these have counts besides, in places that grow with
+   the set: by as much as two sets' counts differ, at least, they differ too.
 
 Texts with equal sets are one node from the start.
 
@@ -54,6 +56,8 @@ CROWD, FEW = 4, 64
 SENT = 250_000
 #: Words of 64 parity bits for each set.
 PARITY = 8
+#: Sets of more elements than LONG have counts too, one byte for at most EACH elements.
+LONG, EACH = 512, 8
 
 
 def hashes(text: str | None, shingle: int = SHINGLE):
@@ -87,6 +91,25 @@ def parity(grams):
     return np.packbits(odd.astype(bool), bitorder="little").view("<i8")
 
 
+def counts(grams) -> bytes | None:
+    """How many elements have each remainder, modulo 256, for the least power of two of remainders; None for small sets."""
+    import numpy as np
+
+    if len(grams) <= LONG:
+        return None
+    places = 1 << (-(-len(grams) // EACH) - 1).bit_length()
+    return np.bincount((grams % np.uint64(places)).astype(np.int64), minlength=places).astype(np.uint8).tobytes()
+
+
+def apart(x: bytes, y: bytes) -> int:
+    """By how many elements two sets differ, at least: their counts, the longer folded to the shorter, around 256."""
+    import numpy as np
+
+    a, b = sorted((np.frombuffer(x, dtype=np.uint8), np.frombuffer(y, dtype=np.uint8)), key=len)
+    d = a - b.reshape(-1, len(a)).sum(axis=0, dtype=np.uint8)
+    return int(np.minimum(d, -d).sum(dtype=np.int64))
+
+
 def _bytes(grams) -> bytes:
     import numpy as np
 
@@ -127,7 +150,7 @@ def _hash_of(data: bytes) -> int:
 
 
 def sets(docs: DataFrame, key: str = "doc_id", text: str = "text", *, shingle: int = SHINGLE) -> DataFrame:
-    """(key, h, sid, n, fp, odd): a row's text hash, its set's name, size, fingerprint and parity bits."""
+    """(key, h, sid, n, fp, odd, counts): a row's text hash, its set's name, size, fingerprint, parity bits and, of a long text, counts."""
     kind = dict(docs.select(col(key).alias("k")).dtypes)["k"]
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -137,12 +160,12 @@ def sets(docs: DataFrame, key: str = "doc_id", text: str = "text", *, shingle: i
                 hashed = hashes(t, shingle)
                 g = shingles(hashed)
                 fp = simhash.of_hashes(hashed) if len(g) else 0
-                out.append((_hash_of(_bytes(g)), len(g), fp - (fp >> 63 << 64), parity(g)))
-            got = pd.DataFrame(out, columns=["sid", "n", "fp", "odd"])
+                out.append((_hash_of(_bytes(g)), len(g), fp - (fp >> 63 << 64), parity(g), counts(g)))
+            got = pd.DataFrame(out, columns=["sid", "n", "fp", "odd", "counts"])
             yield pd.concat([b[["k", "h"]].reset_index(drop=True), got], axis=1)
 
     d = docs.select(col(key).alias("k"), F.xxhash64(col(text)).alias("h"), col(text).alias("t"))
-    return d.mapInPandas(read, f"k {kind}, h long, sid long, n int, fp long, odd array<long>").withColumnRenamed("k", key)
+    return d.mapInPandas(read, f"k {kind}, h long, sid long, n int, fp long, odd array<long>, counts binary").withColumnRenamed("k", key)
 
 
 def heads(docs: DataFrame, text: str = "text", *, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -217,12 +240,16 @@ def _near_enough(percent: int) -> Column:
 
 
 def _verified(pairs: DataFrame, sketch: DataFrame, whole, percent: int) -> DataFrame:
-    """The pairs (a, b) of sets in sketch(sid, h, n, odd) whose whole sets are similar enough.
+    """The pairs (a, b) of sets in sketch(sid, h, n, odd, counts) whose whole sets are similar enough.
 
-    Size and parity bits go first; whole(h) gives the sets (sid, grams) of the
+    Size, parity bits and counts go first; whole(h) gives the sets (sid, grams) of the
     texts that are left, and only those.
     """
 
+    @F.pandas_udf("boolean")
+    def counts_allow(x: pd.Series, y: pd.Series, most: pd.Series) -> pd.Series:
+        return pd.Series([a is None or b is None or apart(a, b) <= m for a, b, m in zip(x, y, most)], dtype=bool)
+
     @F.pandas_udf("boolean")
     def similar(x: pd.Series, y: pd.Series) -> pd.Series:
         import numpy as np
@@ -234,10 +261,12 @@ def _verified(pairs: DataFrame, sketch: DataFrame, whole, percent: int) -> DataF
         return pd.Series(out, dtype=bool)
 
     spark = sketch.sparkSession
-    scratch, s = Scratch(spark), sketch.select("sid", "n", "odd")
-    ends = pairs.join(s.toDF("a", "n", "odd"), "a").join(s.toDF("b", "_n", "_odd"), "b")
+    scratch, s = Scratch(spark), sketch.select("sid", "n", "odd", "counts")
+    ends = pairs.join(s.toDF("a", "n", "odd", "counts"), "a").join(s.toDF("b", "_n", "_odd", "_counts"), "b")
     ends = ends.where((F.least("n", "_n") * 100 >= F.greatest("n", "_n") * percent) & _near_enough(percent))
-    pairs = scratch.keep(ends.select("a", "b"), "candidates")
+    most = F.floor((F.col("n") + F.col("_n")) * (100 - percent) / (100 + percent))
+    with small_batches(spark):
+        pairs = scratch.keep(ends.where(counts_allow("counts", "_counts", most)).select("a", "b"), "candidates")
     need = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
     with small_batches(spark):
         sets = scratch.keep(whole(scratch.keep(sketch.join(need, "sid", "left_semi").select("h"), "candidate-texts")), "candidate-sets")
@@ -287,7 +316,7 @@ def _roots(docs: DataFrame, text: str, each: DataFrame, shingle: int, percent: i
     if at.isEmpty():
         return None
     # Similar sets share a shingle here, so others need not be looked at again.
-    sketch = each.join(at.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.first("n").alias("n"), F.first("odd").alias("odd"), F.min("h").alias("h"))
+    sketch = each.join(at.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.first("n").alias("n"), F.first("odd").alias("odd"), F.first("counts").alias("counts"), F.min("h").alias("h"))
     sketch = written(sketch, "sketches")
 
     def whole(texts: DataFrame) -> DataFrame:

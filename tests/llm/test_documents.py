@@ -159,6 +159,11 @@ def near_rows():
             out.append(" ".join(w if base % 3 else [*w, line]))
             at = r.randrange(len(w))
             w = [*w[:at], cases.words(r, 1), *w[at + r.randint(0, 1) :]]
+    passage = cases.words(r, 300)
+    for n in (520, 900, 2000):
+        w = cases.words(r, n).split()
+        for cut in (0, 1, n // 10, n // 9, n // 8, n // 3):
+            out += [" ".join([*w[cut:], passage]), " ".join([passage, *w[: n - cut], cases.words(r, cut)])]
     center = cases.words(r, 80).split()
     for _ in range(60):
         at = r.randrange(80)
@@ -166,6 +171,26 @@ def near_rows():
     return [(i, t, None) for i, t in enumerate(out)]
 
 
+def test_counts_never_say_more_than_the_sets_differ():
+    r = np.random.default_rng(5)
+    assert near.counts(np.arange(near.LONG, dtype="<u8")) is None
+    for n in (513, 1024, 1025, 5000, 40_000):
+        g = np.unique(r.integers(0, 1 << 48, n).astype("<u8"))
+        assert len(near.counts(g)) * near.EACH >= len(g)
+        for m in (0, 1, n // 9, n // 2, n):
+            h = np.unique(np.concatenate([g[m:], r.integers(0, 1 << 48, m // 2 + 600).astype("<u8")]))
+            differ = len(np.setxor1d(g, h))
+            for x, y in ((g, h), (h, g)):
+                if near.counts(x) and near.counts(y):
+                    assert near.apart(near.counts(x), near.counts(y)) <= differ
+        assert near.apart(near.counts(g), near.counts(g)) == 0
+        other = np.unique(r.integers(0, 1 << 48, n).astype("<u8"))
+        assert near.apart(near.counts(g), near.counts(other)) * 180 > 20 * (len(g) + len(other))
+    # All elements at one place: its count goes round 256.
+    heap = np.arange(1, 1000, dtype="<u8") << np.uint64(20)
+    assert near.apart(near.counts(heap), near.counts(heap[:700])) <= 299
+
+
 @pytest.mark.parametrize("common", [0, 50_000])
 def test_near_duplicates_are_pairs_of_80_percent(spark, monkeypatch, common):
     monkeypatch.setattr(near, "SAMPLE", 1)
