@@ -9,8 +9,10 @@ the exact integer product is taken.
 
 Queries come in blocks too. First every query block meets the longest vectors,
 which gives each query a threshold; then it meets the prefix of blocks that its
-bound cannot rule out, and a pair of blocks gives k rows per query at most. The
-driver sees LENGTHS block lengths at most; the prefix is found by bisection.
+bound cannot rule out. That is done in groups of blocks on both sides, so a
+query block goes once to a group of vector blocks and gives k rows per query
+there at most, and neither side is ever broadcast. The driver sees LENGTHS block
+lengths at most; the prefix is found by bisection.
 
 Defined results: vectors that are null or hold null or non-finite components
 take no part; shorter vectors count as if zeros followed; a query never meets
@@ -34,6 +36,8 @@ EXACT = float(1 << 52)
 LENGTHS = 1 << 16
 #: The longest vectors are sent to all tasks where their blocks take less than this.
 SENT_BYTES = 32 << 20
+#: Blocks of vectors and of queries that meet in one task at a time.
+GROUP, QUERY_GROUP = 16, 32
 
 
 def integer_vectors(df: DataFrame, *, key: str, vector: str, scale: int) -> DataFrame:
@@ -67,7 +71,7 @@ def _moments(vectors: DataFrame, dim: int):
 
 
 def _blocks(vectors: DataFrame, rows: int, dim: int, turn, head: int) -> DataFrame:
-    """Rows sorted by (norm desc, key) as blocks: place, n, longest, and the arrays as bytes."""
+    """Rows sorted by (norm desc, key) as blocks: place, n, longest, and the arrays as bytes, components in the narrowest integers that hold them."""
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np
@@ -86,18 +90,18 @@ def _blocks(vectors: DataFrame, rows: int, dim: int, turn, head: int) -> DataFra
         m = np.zeros((len(b), dim), dtype=np.int64)
         for i, v in enumerate(b["v"]):
             m[i, : len(v)] = v
-        r = m @ turn
-        rest = np.sqrt((r[:, head:] ** 2).sum(axis=1))
+        rest = np.sqrt(((m @ turn[:, head:]) ** 2).sum(axis=1))
         ids = b["key"].astype("Int64")
+        kind = np.result_type(np.min_scalar_type(m.min(initial=0)), np.min_scalar_type(-1 - m.max(initial=0)))
         return pd.DataFrame({
             "pid": [int(b["pid"].iloc[0])], "longest": [float(b["norm"].max())], "n": [len(b)],
             "ids": [ids.fillna(0).to_numpy(dtype=np.int64).tobytes()], "no_id": [ids.isna().to_numpy().tobytes()],
-            "norms": [b["norm"].to_numpy(dtype=float).tobytes()], "v": [m.tobytes()], "front": [r[:, :head].tobytes()], "rest": [rest.tobytes()],
+            "norms": [b["norm"].to_numpy(dtype=float).tobytes()], "kind": [kind.str], "v": [m.astype(kind).tobytes()], "rest": [rest.tobytes()],
         })
 
     order = [F.col("norm").desc(), F.col("key").asc_nulls_last()]
     d = vectors.repartitionByRange(partitions(vectors.sparkSession), *order).sortWithinPartitions(*order).withColumn("pid", F.spark_partition_id())
-    b = d.mapInPandas(build, "pid int, longest double, n int, ids binary, no_id binary, norms binary, v binary, front binary, rest binary")
+    b = d.mapInPandas(build, "pid int, longest double, n int, ids binary, no_id binary, norms binary, kind string, v binary, rest binary")
     return written(b.withColumn("nr", F.monotonically_increasing_id()), "blocks")
 
 
@@ -108,36 +112,53 @@ def _placed(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("_in", F.row_number().over(w) - 1).join(F.broadcast(off), "pid").withColumn("place", (F.col("_in") + F.col("_off")).cast("long")).drop("_in", "_off", "pid", "nr")
 
 
-def _search(k: int, dim: int, head: int):
-    def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _search(k: int, dim: int, turn, head: int):
+    """found(rows of query blocks, rows of vector blocks): per query the k best of all vectors that may reach its threshold, as frames of FOUND."""
+    front = turn[:, :head]
+
+    def arr(x, kind="float64"):
         import numpy as np
 
-        def arr(x, n=0, kind=np.float64):
-            a = np.frombuffer(x, dtype=kind)
-            return a.reshape(n, -1) if n else a
+        return np.frombuffer(x, dtype=kind)
 
-        for b in batches:
-            for r in b.itertuples(index=False):
-                q, x = arr(r.q_v, r.q_n, np.int64), arr(r.v, r.n, np.int64)
-                qid, xid, none = arr(r.q_ids, 0, np.int64), arr(r.ids, 0, np.int64), arr(r.no_id, 0, np.bool_)
-                qn, xn = arr(r.q_norms), arr(r.norms)
-                least = arr(r.least)
+    def block(r, v, kind):
+        """The components as longs, and their first rotated coordinates."""
+        import numpy as np
+
+        m = arr(v, kind).reshape(-1, dim).astype(np.int64)
+        return m, m @ front
+
+    def found(queries, vectors) -> Iterator[pd.DataFrame]:
+        import numpy as np
+
+        held = sorted(((r, *block(r, r.v, r.kind), arr(r.ids, "int64"), arr(r.no_id, "bool")) for r in vectors), key=lambda h: h[0].place)
+        for r in queries:
+            q, q_front = block(r, r.q_v, r.q_kind)
+            qid, qn, q_rest, least = arr(r.q_ids, "int64"), arr(r.q_norms), arr(r.q_rest), arr(r.least).copy()
+            best: dict[int, list] = {}
+            for b, x, x_front, xid, none in held:
+                if not r.begin <= b.place < r.until:
+                    continue
+                xn = arr(b.norms)
                 # Doubles may be off by a little; the slack keeps every vector in doubt.
-                reach = arr(r.q_front, r.q_n) @ arr(r.front, r.n).T + np.outer(arr(r.q_rest), arr(r.rest))
+                reach = q_front @ x_front.T + np.outer(q_rest, arr(b.rest))
                 slack = 1e-9 * np.outer(qn, xn) + 1e-6
                 may = reach + slack >= least[:, None]
                 may &= (qid[:, None] != xid[None, :]) | none[None, :]
                 exact = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * dim < EXACT
-                out = []
                 for i in np.nonzero(may.any(axis=1))[0]:
                     c = np.nonzero(may[i])[0]
                     s = (x[c].astype(float) @ q[i].astype(float)).astype(np.int64) if exact else np.array([sum(int(a) * int(e) for a, e in zip(q[i], y)) for y in x[c]])
                     top = np.lexsort((xid[c], none[c], -s))[:k]
-                    out += [(int(r.q_place), int(i), int(qid[i]), None if none[c[t]] else int(xid[c[t]]), int(s[t])) for t in top if s[t] >= least[i]]
-                if out:
-                    yield pd.DataFrame(out, columns=["q_place", "q_row", "query_id", "vec_id", "score"]).astype({"vec_id": "Int64"})
+                    got = [(-int(s[t]), bool(none[c[t]]), int(xid[c[t]])) for t in top if s[t] >= least[i]]
+                    best[i] = sorted(best.get(i, []) + got)[:k]
+                    if len(best[i]) == k:
+                        least[i] = max(least[i], -best[i][-1][0])
+            out = [(int(r.q_place), int(i), int(qid[i]), None if none else x, -s) for i, rows in best.items() for s, none, x in rows]
+            if out:
+                yield pd.DataFrame(out, columns=["q_place", "q_row", "query_id", "vec_id", "score"]).astype({"vec_id": "Int64"})
 
-    return go
+    return found
 
 
 FOUND = "q_place long, q_row int, query_id long, vec_id long, score long"
@@ -161,19 +182,25 @@ def top_k(df: DataFrame, *, key: str = "vec_id", vector: str = "embedding", ever
 
     x = written(_placed(_blocks(v, block, dim, turn, head)), "placed")
     q = written(_placed(_blocks(v.where(F.col("key") % every == 0), query_block, dim, turn, head)), "queries")
-    q = q.select(*[F.col(c).alias(f"q_{c}") for c in q.columns if c != "no_id"])
+    q = q.select(*[F.col(c).alias(f"q_{c}") for c in q.columns if c not in ("no_id", "longest")])
     none = F.udf(lambda n: np.full(n, -np.inf).tobytes(), "binary")
     blocks = x.count()
     stride = max(1, -(-blocks // LENGTHS))
     lengths = [-r["longest"] for r in x.where(F.col("place") % stride == 0).select("place", "longest").orderBy("place").collect()]
 
     ahead = max(1, min(first_blocks, blocks))
-    first = q.withColumn("least", none("q_n")).withColumn("place", F.explode(F.array(*[F.lit(p).cast("long") for p in range(ahead)])))
-    go = _search(k, dim, head)
-    longest = x.where(F.col("place") < ahead)
-    # A block is `block` rows of dim numbers and dim rotated ones, at most.
-    longest = F.broadcast(longest) if ahead * block * (16 * dim + 32) < SENT_BYTES else longest
-    found = written(first.join(longest, "place").mapInPandas(go, FOUND), "first")
+    first = q.withColumns({"least": none("q_n"), "begin": F.lit(0), "until": F.lit(ahead)}).withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(ahead - 1))))
+    search = _search(k, dim, turn, head)
+
+    def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for r in b.itertuples(index=False):
+                yield from search([r], [r])
+
+    longest = x.where(F.col("place") < ahead).withColumn("at", F.col("place").cast("int"))
+    # A block is `block` rows of dim numbers at most.
+    longest = F.broadcast(longest) if ahead * block * (8 * dim + 32) < SENT_BYTES else longest.hint("merge")
+    found = written(first.join(longest, "at").mapInPandas(go, FOUND), "first")
 
     # The k-th score so far of each query, as an array beside its block.
     w = Window.partitionBy("q_place", "q_row").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last())
@@ -190,8 +217,19 @@ def top_k(df: DataFrame, *, key: str = "vec_id", vector: str = "embedding", ever
         until = max(first_blocks, min(blocks, stride * int(np.searchsorted(lengths, -reach.min(), side="right"))))
         return least.tobytes(), until
 
-    more = q.join(kth, "q_place", "left").withColumn("b", bound("q_n", "q_norms", "kth")).withColumn("least", F.col("b.least"))
-    more = more.where(F.col("b.until") > first_blocks).withColumn("place", F.explode(F.sequence(F.lit(first_blocks).cast("long"), F.col("b.until") - 1))).drop("b", "kth")
-    rest = more.join(x, "place").mapInPandas(go, FOUND) if blocks > first_blocks else found.limit(0)
+    more = q.join(kth, "q_place", "left").withColumn("b", bound("q_n", "q_norms", "kth")).withColumns({"least": F.col("b.least"), "begin": F.lit(first_blocks).cast("long"), "until": F.col("b.until")})
+    more = written(more.where(F.col("until") > first_blocks).withColumn("q_group", F.floor(F.col("q_place") / QUERY_GROUP)).drop("b", "kth"), "more")
+    # Each side goes once to every group of the other that it may have to meet.
+    reach = more.groupBy("q_group").agg(F.max("until").alias("_until")).toDF("group", "_until")
+    asked = more.withColumn("x_group", F.explode(F.sequence(F.lit(first_blocks // GROUP).cast("long"), F.floor((F.col("until") - 1) / GROUP))))
+    near = x.where(F.col("place") >= first_blocks).withColumn("x_group", F.floor(F.col("place") / GROUP))
+    near = near.join(F.broadcast(reach), F.col("place") < F.col("_until")).drop("_until").withColumnRenamed("group", "q_group")
+
+    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        got = list(search(a.itertuples(index=False), b.itertuples(index=False)))
+        return pd.concat(got) if got else pd.DataFrame(columns=["q_place", "q_row", "query_id", "vec_id", "score"])
+
+    on = ["q_group", "x_group"]
+    rest = asked.groupBy(*on).cogroup(near.groupBy(*on)).applyInPandas(meet, FOUND) if blocks > first_blocks else found.limit(0)
     both = found.union(rest).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return both.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import html
+import math
 import random
 import re
 import time
@@ -276,3 +277,19 @@ def test_pages_held_out_are_not_empty():
         extract, blocks = extraction.extractor(model), extraction.block_parser()
         articles = [h for h in labelled_pages.pages(400, seed=11, names=names) if any(y for *_, y in blocks(h))]
         assert sum(not extract(h) for h in articles) <= most
+
+
+def test_top_k_never_broadcasts_repeated_query_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=4)]) for i in range(120)], "vec_id long, embedding array<float>")
+    monkeypatch.setattr(topk, "GROUP", 2)
+    monkeypatch.setattr(topk, "QUERY_GROUP", 3)
+    got = topk.top_k(df, every=3, block=8, query_block=2)
+    # Both sides are dealt to groups: a join of the repeated blocks might be planned as a broadcast of all of them.
+    assert "FlatMapCoGroupsInPandas" in got._jdf.queryExecution().optimizedPlan().toString()
+    v = {r["vec_id"]: [math.floor(256 * x) for x in r["embedding"]] for r in df.collect()}
+    want = set()
+    for q in range(0, 120, 3):
+        best = sorted((-sum(a * b for a, b in zip(v[q], x)), i) for i, x in v.items() if i != q)[:5]
+        want |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(best)}
+    assert {tuple(r) for r in got.collect()} == want
