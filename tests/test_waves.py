@@ -127,3 +127,19 @@ def test_views_leave_the_users_names_alone(spark):
     views.followers(spark, "/root/testdata/sf0.001")
     assert {t.name for t in spark.catalog.listTables()} == before and spark.table("nodes").count() == 3
     spark.catalog.dropTempView("nodes")
+
+
+def test_superseded_rounds_leave_no_tables(spark):
+    from graphloom import graph
+
+    n = 12
+    links = spark.createDataFrame([(f"n{i:02}", f"n{i + 1:02}") for i in range(n)], "src string, dst string")
+    nodes = spark.createDataFrame([(f"n{i:02}",) for i in range(n + 1)], "id string")
+    before = len(graph._MADE)
+    got = {r["id"]: r["layer"] for r in topology.layers(nodes, links).collect()}
+    assert got == {f"n{i:02}": n - i for i in range(n + 1)}
+    # Twelve rounds; only the last table is still read.
+    assert len(graph._MADE) - before == 1
+    found = closure.closure(links, nodes.limit(1).select(F.lit("n00").alias("seed")), most=0)
+    assert {(r["id"], r["level"]) for r in found.collect()} == {(f"n{i:02}", i) for i in range(1, n + 1)}
+    assert len(graph._MADE) - before == 2
