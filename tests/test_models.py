@@ -46,3 +46,15 @@ def test_strict_accounting(spark):
     assert {(r["reference"], r["problem"]) for r in got} == {("C9", "undeclared"), ("B2", "missing")}
     with pytest.raises(Exception, match="format"):
         models.declarations(spark.createDataFrame([('{"format": "x"}',)], "text string")).collect()
+
+
+def test_many_models_share_a_call_and_their_formulas(spark):
+    from graphloom.functions import sheet
+
+    rows = [(str(m), "v", r, f, n, None) for m in range(50) for r, f, n in (("A1", None, float(m)), ("B1", "=A1*2", None), ("C1", "=1+", None), ("D1", "=C1", None))]
+    cells = spark.createDataFrame(rows, "model string, sheet string, reference string, formula string, number double, text string")
+    got = sheet.evaluate(cells)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInPandas" in plan and "FlatMapGroupsInPandas" not in plan
+    have = {(r["model"], r["reference"]): (r["value"], r["error"]) for r in got.collect()}
+    assert have == {(str(m), c): x for m in range(50) for c, x in (("A1", (float(m), None)), ("B1", (2.0 * m, None)), ("C1", (None, "Parse")), ("D1", (None, "AbsentInput")))}
