@@ -51,7 +51,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return _read(df.sparkSession, _write(df, name), df.schema)
 
 
+#: Names in the session's catalog of those that are bucketed, by path.
+_NAMED: dict[str, str] = {}
+
+
+def bucketed(df: DataFrame, by: str, buckets: int, name: str) -> DataFrame:
+    """Like written, for rows that stay where they are when they are joined on `by` alone: each task's rows should share its value."""
+    path, table = fresh_path(df.sparkSession, name), f"graphloom_{uuid.uuid4().hex[:12]}"
+    if not _MADE:
+        atexit.register(_leave, df.sparkSession)
+    _MADE.append(path)
+    _NAMED[path] = table
+    df.write.format("parquet").option("path", path).bucketBy(buckets, by).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 def remove(spark: SparkSession, path: str) -> None:
+    if path in _NAMED:
+        spark.sql(f"DROP TABLE IF EXISTS {_NAMED.pop(path)}")
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
     if path in _MADE:

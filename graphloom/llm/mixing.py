@@ -27,11 +27,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import boxed, col, offsets, ranked, unboxed, words_of, written
+from ._shared import boxed, bucketed, col, offsets, ranked, unboxed, words_of, written
 
 LATTICE = 1 << 31
 GOLDEN = 1327217885  # 2**31 / golden ratio, made odd
 
+#: Buckets for each task of the input, so that few of them hold several tasks' rows.
+BUCKETS_EACH = 2
+
 
 @dataclass
 class Mix:
@@ -128,8 +131,12 @@ def mixed_rows(docs: DataFrame, *, key: str = "doc_id", text: str = "text", sour
     Each row is taken for itself, whatever it has in common with others. Rows
     without words are no part of the shares and stay once.
     """
-    d = written(boxed(docs, rid=F.monotonically_increasing_id(), key=col(key), text=col(text), source=col(source)), "rows")
+    # Copies come to the rows: those of one task of the input as one array, in the order of its numbers. Texts are not shuffled.
+    rows = boxed(docs, rid=F.monotonically_increasing_id(), part=F.spark_partition_id(), key=col(key), text=col(text), source=col(source))
+    d = bucketed(rows, "part", BUCKETS_EACH * max(1, rows.rdd.getNumPartitions()), "rows")
     took = mix(d, key="key", text="text", source="source", row="rid", **options).taken
     copies = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int")
-    out = d.select("row", "rid").join(took.select("rid", copies.alias("copies")).where("copies > 0"), "rid")
-    return unboxed(out.select("row", F.explode(F.sequence(F.lit(1), "copies"))))
+    each = took.select(F.shiftright("rid", 33).cast("int").alias("part"), F.struct("rid", copies.alias("copies")).alias("c"))
+    each = each.groupBy("part").agg(F.array_sort(F.collect_list("c"))["copies"].alias("all"))
+    out = d.select("row", "rid", "part").join(each.hint("shuffle_hash"), "part").select("row", F.get("all", F.col("rid").bitwiseAND(F.lit((1 << 33) - 1)).cast("int")).alias("copies"))
+    return unboxed(out.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), "copies"))))
