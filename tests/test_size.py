@@ -46,3 +46,25 @@ def test_unresolved_does_not_shuffle_the_edges(spark):
         assert df.count() == g.edges.where("dst like 'external::%'").select("src").distinct().count() > 0
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_closeness_walks_many_starts_at_once(spark):
+    """Distances of plain walks, on a dense graph and a chain; few bytes of starts are not put into one task."""
+    import random
+
+    import numpy as np
+    from graphloom.graph import dealt
+    from graphloom.operators import centrality
+    from graphloom.operators.closure import Adjacency
+
+    rnd = random.Random(5)
+    for n, links in ((150, {(rnd.randrange(150), rnd.randrange(150)) for _ in range(400)}), (200, {(i, i + 1) for i in range(199)})):
+        links = sorted((a, b) for a, b in links if a != b)
+        graph = Adjacency(np.array([f"n{i:03}" for i in range(n)], dtype=object), np.array([a for a, _ in links]), np.array([b for _, b in links]))
+        r, s = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+        centrality._distances(graph, list(range(n)), r, s)
+        walks = [graph.walk(i) for i in range(n)]
+        assert r.tolist() == [sum(i in w and i != j for j, w in enumerate(walks)) for i in range(n)]
+        assert s.tolist() == [sum(w.get(i, 0) for w in walks) for i in range(n)]
+    some = spark.range(40).selectExpr("cast(id as string) as id")
+    assert dealt(some, "id").mapInPandas(lambda b: b, "id string").rdd.getNumPartitions() > 1
