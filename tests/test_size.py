@@ -68,3 +68,18 @@ def test_closeness_walks_many_starts_at_once(spark):
         assert s.tolist() == [sum(w.get(i, 0) for w in walks) for i in range(n)]
     some = spark.range(40).selectExpr("cast(id as string) as id")
     assert dealt(some, "id").mapInPandas(lambda b: b, "id string").rdd.getNumPartitions() > 1
+
+
+def test_stored_tables_are_compressed_and_inserts_take_first_rows(spark, tmp_path):
+    from graphloom.graph import Graph
+    from graphloom.store import Store
+
+    nodes = lambda rows: spark.createDataFrame(rows, "id string, kind string, label string").coalesce(1)
+    edges = lambda rows: spark.createDataFrame(rows, "src string, dst string, kind string, line int").coalesce(1)
+    s = Store(spark, str(tmp_path / "store"))
+    s.replace_graph(Graph(nodes([("a", "function", "old")]), edges([("a", "a", "calls", 1)])))
+    assert s.insert_graph(Graph(nodes([("a", "function", "new"), ("b", "function", "first"), ("b", "function", "second")]), edges([("a", "a", "calls", 9), ("b", "a", "calls", 7), ("b", "a", "calls", 3)]))) == (1, 1)
+    g = s.load_graph()
+    assert sorted((r["id"], r["label"]) for r in g.nodes.collect()) == [("a", "old"), ("b", "first")]
+    assert sorted((r["src"], r["line"]) for r in g.edges.collect()) == [("a", 1), ("b", 7)]
+    assert all(f.endswith(".zstd.parquet") for f in [*g.nodes.inputFiles(), *g.edges.inputFiles()])
