@@ -4,8 +4,8 @@ import random
 
 import pytest
 from graphloom.graph import Graph
-from graphloom.operators import blocks, topology
-from graphloom.operators.project import projection
+from graphloom.operators import blocks, communities, topology
+from graphloom.operators.project import Projection, projection
 from pyspark.sql import functions as F
 
 
@@ -83,3 +83,28 @@ def test_order_of_blocks(spark):
     g = Graph(spark.createDataFrame([(i, "function", i) for i in ids], "id string, kind string, label string"), links(spark, pairs).selectExpr("src", "dst", "'calls' AS kind", "CAST(NULL AS INT) AS line"))
     p = projection(g)
     assert topology.topo_sort(p, most=0).orderBy("position").collect() == topology.topo_sort(p, by="layers").orderBy("position").collect()
+
+
+def _unlike(pairs):
+    ids = sorted({x for p in pairs for x in p})
+    return ids, [(a, b, 1) for a, b in sorted({(min(p), max(p)) for p in pairs if p[0] != p[1]})]
+
+
+@pytest.mark.parametrize("order", ["near", "far"])
+def test_communities_of_blocks(spark, order):
+    """Cliques in a ring, whose ids lie in one block or are strewn over all: before, more pairs than the bound were refused."""
+    name = (lambda c, i: f"k{c:02}::{i}") if order == "near" else (lambda c, i: f"m{i}::{c:02}")
+    pairs = [(name(c, i), name(c, j)) for c in range(12) for i in range(5) for j in range(i)] + [(name(c, 0), name((c + 1) % 12, 1)) for c in range(12)]
+    ids, rows = _unlike(pairs)
+    nodes = spark.createDataFrame([(i,) for i in [*ids, "z"]], "id string")
+    p = Projection(nodes, links(spark, pairs), spark.createDataFrame(rows, "a string, b string, weight long"))
+    whole = communities.communities(p).cache()
+    for most in (30, 0):
+        got = communities.communities(p, most, 40).cache()
+        assert got.count() == 61 and got.select("community").distinct().count() == got.agg(F.max("community")).first()[0] + 1
+        q, best = (communities.modularity(p, x).first()["q"] for x in (got, whole))
+        assert q > best - 0.1
+        # Each community is held together by its own links.
+        of = dict(map(tuple, got.collect()))
+        label = communities._parts(len(ids), [(ids.index(a), ids.index(b), w) for a, b, w in rows], [of[i] for i in ids])
+        assert len(set(label)) == len({of[i] for i in ids})
