@@ -73,6 +73,19 @@ def test_batches_of_starts_add_up(spark):
     assert whole.keys() == parts.keys() and all(abs(whole[k] - parts[k]) < 1e-9 for k in whole)
 
 
+def test_block_of_shares_takes_no_rounds(spark, monkeypatch):
+    """The rounds before wrote a table for each level, there and back; what a block gives equals them."""
+    count, real = [0], waves.checkpointed
+    monkeypatch.setattr(waves, "checkpointed", lambda df: (count.__setitem__(0, count[0] + 1), real(df))[1])
+    pairs = [(f"n{i:02}", f"n{i + 1:02}") for i in range(7)] + [("n01", "x"), ("x", "n03"), ("n04", "n04")]
+    links = spark.createDataFrame(pairs, "src string, dst string")
+    nodes = spark.createDataFrame([(f"n{i:02}",) for i in range(8)], "id string")  # x is walked through, but not from
+    one = {r.id: r.part for r in waves.path_shares(nodes, links).collect()}
+    assert count[0] < 6
+    other = {r.id: r.part for r in waves.path_shares(nodes, links, size=0).collect()}
+    assert one.keys() == other.keys() and all(abs(one[k] - other[k]) < 1e-9 for k in one) and one["x"] == one["n02"] == 5.0
+
+
 def test_order_by_layers(spark):
     pairs = some_links(6)
     p = projection(graph(spark, pairs))
