@@ -85,6 +85,52 @@ def test_order_of_blocks(spark):
     assert topology.topo_sort(p, most=0).orderBy("position").collect() == topology.topo_sort(p, by="layers").orderBy("position").collect()
 
 
+def counted(spark, df):
+    """df, and how many of its rows have been made so far."""
+    made = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            made.add(len(b))
+            yield b
+
+    return df.mapInPandas(run, df.schema), made
+
+
+def test_order_makes_its_links_once(spark):
+    """Before, they were made anew for the bound, for the blocks and for the links between groups."""
+    e, made = counted(spark, links(spark, strips(6)))
+    ids = {x for q in strips(6) for x in q}
+    p = Projection(spark.createDataFrame([(i,) for i in sorted(ids)], "id string"), e, None)
+    topology.topo_sort(p, most=0)
+    assert made.value == len(set(strips(6)))
+
+
+def test_cycles_make_their_edges_twice(spark):
+    """Once for the links and once for their kinds; before, also for the nodes, the loops and each kind's component."""
+    pairs = sorted(set(strips(6)))
+    e, made = counted(spark, spark.createDataFrame([(a, b, "calls", None) for a, b in pairs], "src string, dst string, kind string, line int"))
+    ids = sorted({x for q in pairs for x in q})
+    got = topology.cycles(Graph(spark.createDataFrame([(i, "function", i) for i in ids], "id string, kind string, label string"), e)).collect()
+    assert made.value <= 2 * len(pairs)
+    assert {"u09::e09"} <= {m for r in got for m in r.members} and {r.edge_kind for r in got} == {"calls"}
+    # Of several kinds the one that the profile names first is found inside each component.
+    two = spark.createDataFrame([("a", "b", "calls", 1), ("b", "a", "calls", 1), ("b", "a", "imports", 1), ("c", "d", "calls", 1), ("d", "c", "calls", 1), ("a", "c", "imports", 1)], "src string, dst string, kind string, line int")
+    g = Graph(spark.createDataFrame([(i, "function", i) for i in "abcd"], "id string, kind string, label string"), two)
+    first = min(("calls", "imports"), key=g.profile.closure.index)
+    assert {(r.component, r.edge_kind) for r in topology.cycles(g).collect()} == {("a", first), ("c", "calls")}
+
+
+def test_few_ready_groups_go_to_blocks(spark, monkeypatch):
+    """Before, three layers were peeled by joins over all links although one node of 400 was ready."""
+    count, real = [0], topology.checkpointed
+    monkeypatch.setattr(topology, "checkpointed", lambda df: (count.__setitem__(0, count[0] + 1), real(df))[1])
+    e = links(spark, [(f"c{i:03}", f"c{i + 1:03}") for i in range(400)])
+    nodes = e.select(F.col("src").alias("id")).union(e.select("dst")).distinct()
+    assert dict(map(tuple, topology.layers(nodes, e, 100).collect())) == {f"c{i:03}": 400 - i for i in range(401)}
+    assert count[0] == 4
+
+
 def _unlike(pairs):
     ids = sorted({x for p in pairs for x in p})
     return ids, [(a, b, 1) for a, b in sorted({(min(p), max(p)) for p in pairs if p[0] != p[1]})]
