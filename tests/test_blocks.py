@@ -4,7 +4,7 @@ import random
 
 import pytest
 from graphloom.graph import Graph
-from graphloom.operators import blocks, communities, topology
+from graphloom.operators import blocks, closure, communities, topology
 from graphloom.operators.project import Projection, projection
 from pyspark.sql import functions as F
 
@@ -131,6 +131,29 @@ def test_few_ready_groups_go_to_blocks(spark, monkeypatch):
     assert count[0] == 4
 
 
+def test_walks_of_blocks(spark, monkeypatch):
+    """Before, a walk beyond the bound wrote two tables for each of its steps."""
+    pairs = sorted({*strips(8), *((f"v{i:03}", f"v{i + 1:03}") for i in range(60)), ("u11::e14", "v000")})
+    e = links(spark, pairs)
+    g = Graph(spark.createDataFrame([(i, "function", i) for i in sorted({x for q in pairs for x in q})], "id string, kind string, label string"), e.selectExpr("src", "dst", "'calls' AS kind", "CAST(NULL AS INT) AS line"))
+    start, count, real, bounded, asked = "u00::e00", [0], blocks.checkpointed, closure.bounded_links, [0]
+    want = {r.id: r.level for r in closure.descendants(g, start).collect()}
+    way = sorted(map(tuple, closure.path(g, start, "v060").collect()))
+    for m in (blocks, closure):
+        monkeypatch.setattr(m, "checkpointed", lambda df, *by: (count.__setitem__(0, count[0] + 1), real(df, *by))[1])
+    assert {r.id: r.level for r in blocks.reached(e, start, 30).collect()} == want | {start: 0}
+    assert len(want) > 200 and count[0] < 60
+    assert {r.id: r.level for r in blocks.reached(e, "nowhere", 30).collect()} == {"nowhere": 0}
+    count[0] = 0
+    monkeypatch.setattr(closure, "KERNEL_EDGES", 1)
+    monkeypatch.setattr(closure, "bounded_links", lambda e: bounded(e) if asked[0] else asked.__setitem__(0, 1))
+    assert sorted(map(tuple, closure.path(g, start, "v060").collect())) == way and len(way) == want["v060"]
+    assert {r.id: r.level for r in closure.descendants(g, start).collect()} == want
+    asked[0] = 0
+    assert closure.path(g, "v060", start) is None
+    assert count[0] < 20
+
+
 def _unlike(pairs):
     ids = sorted({x for p in pairs for x in p})
     return ids, [(a, b, 1) for a, b in sorted({(min(p), max(p)) for p in pairs if p[0] != p[1]})]
