@@ -1,7 +1,7 @@
 """Known answers on small graphs."""
 
 import pytest
-from graphloom import api, profile
+from graphloom import api, build, profile
 from graphloom.graph import Graph
 from graphloom.operators import centrality, closure, communities, coupling, diff, history, layout, measures, topology
 from graphloom.operators.project import projection
@@ -198,3 +198,28 @@ def test_questions(spark):
         api.query(g, "nope")
     with pytest.raises(ValueError):
         api.query(g, "descendants", node="a", colour=1)
+
+
+def test_graph_reads_its_calls_once(spark):
+    """Before, they were made anew for the names, the callers, the edges and the diagnostics, with the places of all."""
+    from graphloom import schema
+
+    files = spark.createDataFrame([("p", "a.py", "p::a", 0), ("q", "b.py", "q::b", 1)], "package string, file string, module_id string, file_seq long")
+    rows = [(0, 1, "p", "a.py", "p::a", "p::a::f", "function", "f", 1, 1), (0, 2, "p", "a.py", "p::a", "p::a::g", "function", "g", 2, 1), (1, 1, "q", "b.py", "q::b", "q::b::f", "function", "f", 1, 1)]
+    symbols = spark.createDataFrame([dict(zip("file_seq sym_seq package file module_id id kind label line column".split(), r)) for r in rows], schema.SYMBOLS)
+    data = [(0, 1, "p::a::g", "f", 5), (0, 2, "p::a::g", "f", 4), (0, 3, "p::a::g", "crate::a::f", 3), (1, 1, "q::b::f", "g", 2), (1, 2, "q::b::f", "crate::a::f", 2), (1, 3, "q::b::f", "gone", 9), (0, 4, "p::a::f", "gone", 8), (1, 4, "ghost", "gone", 7), (0, 5, "p", "f", 6)]
+    made = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            made.add(len(b))
+            yield b
+
+    calls = spark.createDataFrame([dict(zip("file_seq seq from_id to_name line".split(), r)) for r in data], schema.CALLS)
+    raw = build.Raw(files, symbols, spark.createDataFrame([], schema.IMPORTS), calls.mapInPandas(run, calls.schema), spark.createDataFrame([], schema.HERITAGE))
+    g, diagnostics = build.graph_of(raw)
+    got = {(r.src, r.dst, r.line) for r in g.edges.where("kind = 'calls'").collect()}
+    assert made.value == len(data)
+    assert got == {("p::a::g", "p::a::f", 3), ("q::b::f", "p::a::g", 2), ("q::b::f", "q::b::f", 2), ("q::b::f", "external::gone", 9), ("p::a::f", "external::gone", 8), ("p", "p::a::f", 6)}
+    said = [(r.kind, r.payload) for r in diagnostics().orderBy("seq").collect()]
+    assert [k for k, _ in said] == ["UnknownSymbol", "UnresolvedCall", "Cycle"] and '"p::a::f"' in said[1][1] and "ghost" in said[0][1]
