@@ -102,6 +102,18 @@ def test_order_by_layers(spark):
         topology.topo_sort(p, by="chance")
 
 
+def test_ready_order_is_one_order_at_any_size(spark, monkeypatch):
+    """Before, groups came by layers where they were more than the bound."""
+    for pairs in (some_links(6), [(f"n{i:03}", f"n{i * 7 % 40:03}") for i in range(40) if i > i * 7 % 40] + [("a", "n000"), ("n002", "z")], []):
+        p = projection(graph(spark, pairs))
+        want = topology.topo_sort(p).orderBy("position").collect()
+        with monkeypatch.context() as m:
+            m.setattr(topology, "KERNEL_EDGES", 0)
+            assert topology.topo_sort(p).orderBy("position").collect() == want
+    layered = [tuple(r.members) for r in topology.topo_sort(projection(graph(spark, [("a", "z"), ("b", "a"), ("c", "y")])), by="layers").orderBy("position").collect()]
+    assert layered != [tuple(r.members) for r in topology.topo_sort(projection(graph(spark, [("a", "z"), ("b", "a"), ("c", "y")]))).orderBy("position").collect()]
+
+
 def test_layers_are_longest_ways(spark):
     pairs = [("a", "b"), ("b", "c"), ("a", "c"), ("d", "c"), ("e", "a"), ("e", "d")]
     nodes = spark.createDataFrame([(x,) for x in "abcdef"], "id string")
