@@ -73,6 +73,15 @@ def test_batches_of_starts_add_up(spark):
     assert whole.keys() == parts.keys() and all(abs(whole[k] - parts[k]) < 1e-9 for k in whole)
 
 
+def test_betweenness_in_waves_has_no_ceiling(spark, monkeypatch):
+    """Before, more than 50,000 nodes gave one row of nulls."""
+    from graphloom.plans import queries
+
+    monkeypatch.setattr(queries.views, "followers", lambda spark, sf: graph(spark, [("a", "b"), ("b", "c")], ()))
+    monkeypatch.setattr(centrality, "BETWEENNESS_NODES", 1)
+    assert sorted(map(tuple, queries.rank_betweenness_waves(spark, "").collect())) == [("a", 0.0), ("b", 0.5), ("c", 0.0)]
+
+
 def test_block_of_shares_takes_no_rounds(spark, monkeypatch):
     """The rounds before wrote a table for each level, there and back; what a block gives equals them."""
     count, real = [0], waves.checkpointed
