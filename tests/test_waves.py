@@ -48,6 +48,19 @@ def test_levels_are_those_of_plain_walks(spark):
     assert got == want
 
 
+def test_closeness_beyond_one_block(spark, monkeypatch):
+    """Numbers go to the tasks, in no rounds; where they are too many the joins give the same."""
+    p = projection(graph(spark, some_links(7)))
+    count, real = [0], waves.checkpointed
+    with monkeypatch.context() as m:
+        m.setattr(waves, "checkpointed", lambda df: (count.__setitem__(0, count[0] + 1), real(df))[1])
+        one = {r.id: r.value for r in centrality.closeness(p, most=0).collect()}
+    assert count[0] == 2
+    monkeypatch.setattr(waves, "TASK_CELLS", 0)
+    other = {r.id: r.value for r in centrality.closeness(p, most=0).collect()}
+    assert one.keys() == other.keys() and all(abs(one[k] - other[k]) < 1e-12 for k in one) and max(one.values()) > 0
+
+
 def test_sizes_beyond_the_bound(spark):
     g = graph(spark, some_links(3))
     assert sorted(map(tuple, closure.blast_sizes(g, most=0).collect())) == sorted(map(tuple, closure.blast_sizes(g).collect()))
