@@ -61,6 +61,15 @@ def test_closeness_beyond_one_block(spark, monkeypatch):
     assert one.keys() == other.keys() and all(abs(one[k] - other[k]) < 1e-12 for k in one) and max(one.values()) > 0
 
 
+def test_closures_of_few_bytes_are_dealt(spark):
+    """Before, the starts of a closure went to as many tasks as their bytes seemed to need, often one."""
+    g = graph(spark, some_links(8))
+    got = closure.closure(g.links("closure"), g.nodes.select(F.col("id").alias("seed")))
+    assert got.rdd.getNumPartitions() > 1
+    want = {(s, x, n) for s in {r.id for r in g.nodes.collect()} for x, n in walk(some_links(8), s).items() if n}
+    assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
+
+
 def test_sizes_beyond_the_bound(spark):
     g = graph(spark, some_links(3))
     assert sorted(map(tuple, closure.blast_sizes(g, most=0).collect())) == sorted(map(tuple, closure.blast_sizes(g).collect()))
