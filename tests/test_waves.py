@@ -48,6 +48,18 @@ def test_levels_are_those_of_plain_walks(spark):
     assert got == want
 
 
+def test_shallow_seeds_are_counted_and_others_walk(spark, monkeypatch):
+    """Before, every seed had its bit, also the many that lead only to what leads nowhere."""
+    made, real = [], waves.numbered
+    monkeypatch.setattr(waves, "numbered", lambda df, *a: (made.append(df.count()), real(df, *a))[1])
+    pairs = [("p", f"o{i}") for i in range(3)] + [("q", f"o{i}") for i in range(2)] + [("top", "p"), ("top", "q"), ("top", "o0"), ("top", "top"), ("o0", "o0"), ("x", "y"), ("y", "x")]
+    g = graph(spark, pairs)
+    got = {(r.seed, r.level): r.n for r in waves.levels(g.links("closure"), g.nodes.select(F.col("id").alias("seed"))).collect()}
+    assert got == {("p", 1): 3, ("q", 1): 2, ("top", 1): 3, ("top", 2): 2, ("x", 1): 1, ("y", 1): 1}
+    assert made == [3]
+    assert dict(map(tuple, closure.blast_sizes(g, most=0).collect())) == {"o0": 3, "o1": 3, "o2": 2, "p": 1, "q": 1, "x": 1, "y": 1}
+
+
 def test_closeness_beyond_one_block(spark, monkeypatch):
     """Numbers go to the tasks, in no rounds; where they are too many the joins give the same."""
     p = projection(graph(spark, some_links(7)))
